@@ -6,10 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import mixing, packing
+from cadenza.llm import langid, mixing, packing, url_filter, warc
 from cadenza.session import table
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.round_trip(table(spark, sf_dir, "pages"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Rules of the registered query, as (verdict, host and path).
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -34,6 +47,10 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + (u < rate - flo
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,7 +58,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
+    "op2_url_filter": op2_url_filter,
     "op7_mix_sources": op7_mix_sources,
+    "op8_language_id": op8_language_id,
     "op10_pack_sequences": op10_pack_sequences,
 }
 ORACLE_SQL: dict[str, str] = {"op7_mix_sources": OP7_SQL}

@@ -102,10 +102,7 @@ class WordTokenizer:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) in a row, and where each text's ids end."""
-        raw = pc.cast(texts, pa.large_string())
-        marked = pc.match_substring(raw, "<|")
-        lowered = pc.if_else(marked, raw, pc.ascii_lower(raw))  # a special token's spelling is kept
-        lists = pc.ascii_split_whitespace(lowered)
+        lists = pc.ascii_split_whitespace(_lowered(texts))
         flat = pc.dictionary_encode(lists.flatten())
         words = [w.encode() for w in flat.dictionary.to_pylist()]
         entry = self._entries(words) if words else np.zeros(0, np.int64)
@@ -119,6 +116,21 @@ class WordTokenizer:
         return self.ids[where], ends[offsets[1:]]
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased, except where a special token may be spelt."""
+    whole = pa.concat_arrays([pc.cast(texts, pa.large_binary()).take(pa.array(np.arange(len(texts))))])  # own buffers, from offset 0
+    offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1) if len(whole) else np.zeros(1, np.int64)
+    raw = whole.buffers()[2].to_pybytes() if len(whole) and whole.buffers()[2] else b""
+    data = raw.lower()
+    marked = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+    if len(marked):
+        patched = bytearray(data)
+        for k in marked.tolist():
+            patched[offsets[k] : offsets[k + 1]] = raw[offsets[k] : offsets[k + 1]]
+        data = bytes(patched)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+
+
 _tokenizers: dict[str, WordTokenizer] = {}
 
 
