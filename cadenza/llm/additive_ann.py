@@ -56,7 +56,7 @@ class Codebooks:
         return queries @ self.words.transpose(0, 2, 1)
 
 
-def fit(sample: np.ndarray, books: int = 16, size: int = 64, rounds: int = 8, seed: int = 7) -> Codebooks:
+def fit(sample: np.ndarray, books: int = 32, size: int = 64, rounds: int = 5, seed: int = 7) -> Codebooks:
     """Residual k-means, book by book."""
     draw, left, out = np.random.default_rng(seed), sample.copy(), []
     for _ in range(books):
@@ -78,7 +78,7 @@ class Index:
     books: Codebooks
 
 
-def build_index(embeddings: DataFrame, copies: int, books: int = 16, size: int = 64, beam: int = 4, sample: int = 8192) -> Index | None:
+def build_index(embeddings: DataFrame, copies: int, books: int = 32, size: int = 64, beam: int = 4, sample: int = 8192) -> Index | None:
     rows = valid_vectors(embeddings).filter(F.exists("vec", lambda x: x != 0))
     rows = materialize(first_copies(rows, "vec", copies), "ann-rows")
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).select("vec").collect()  # the bounded sample

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadenza.llm import additive_ann, langid, mixing, packing, topk, url_filter, warc
+from cadenza.llm import additive_ann, jaccard, langid, mixing, packing, topk, url_filter, warc
 from cadenza.session import table
 
 
@@ -27,6 +27,26 @@ def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components_of(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+g AS (SELECT doc_id, CASE WHEN words IS NULL OR len(words) = 0 THEN []
+             WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+             ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END AS own FROM w),
+n AS (SELECT doc_id, len(own)::BIGINT AS n_shingles FROM g),
+e AS (SELECT doc_id, unnest(own) AS s FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM e a JOIN e b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * hits >= 75 * (a.n_shingles + b.n_shingles - hits)),
+r AS (SELECT doc_id AS x, doc_id AS c FROM n UNION SELECT l.x, r.c FROM r JOIN l ON l.y = r.x)
+SELECT n.doc_id, n_shingles, min(r.c) AS component_id FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -79,9 +99,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_url_filter": op2_url_filter,
     "op5_additive_ann": op5_additive_ann,
+    "op6_jaccard_components": op6_jaccard_components,
     "op7_mix_sources": op7_mix_sources,
     "op8_language_id": op8_language_id,
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_pack_sequences": op10_pack_sequences,
 }
-ORACLE_SQL: dict[str, str] = {"op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL}
