@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cadenza.llm import additive_ann, jaccard, langid, mixing, packing, topk, url_filter, warc
+from cadenza.llm import additive_ann, chat, jaccard, langid, licenses, mixing, packing, topk, url_filter, warc
 from cadenza.session import table
 
 
@@ -23,6 +24,33 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_and_read(rows, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+OP3_SQL = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+g AS (SELECT conv_id, count(*)::BIGINT AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+        coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+        sum(len(role) + len(text) + {len(chat.BEGIN) + len(chat.END) + 2} + len(regexp_extract_all(text, '{chat.ESCAPABLE}')))::BIGINT AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, len(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("licenses", ",").alias("licenses"), "unmatched")
+
+
 def op5_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return additive_ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -98,6 +126,8 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_url_filter": op2_url_filter,
+    "op3_chat_trees": op3_chat_trees,
+    "op4_license_scan": op4_license_scan,
     "op5_additive_ann": op5_additive_ann,
     "op6_jaccard_components": op6_jaccard_components,
     "op7_mix_sources": op7_mix_sources,
@@ -105,4 +135,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_pack_sequences": op10_pack_sequences,
 }
-ORACLE_SQL: dict[str, str] = {"op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_trees": OP3_SQL, "op4_license_scan": licenses.scan_sql(), "op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL}
