@@ -28,6 +28,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.llm.frequent import most_frequent
+from cadenza.session import materialize
+
 BLOCK, ALLOW = "block", "allow"
 #: Words whose presence in a host labels an example for block.
 SEEDS = ("adult", "ads", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "xxx")
@@ -157,8 +160,7 @@ def page_words(pages: DataFrame, vocabulary: int = 50_000) -> dict[str, int]:
         if html:
             held.update((w,) for w in word.findall(tag.sub(" ", html).lower()) if len(w) <= LONGEST_WORD)
 
-    top = _counted(pages.select("html"), step, 1).orderBy(F.desc("n"), "k0").limit(vocabulary)
-    return {r.k0: r.n for r in top.collect()}  # at most ``vocabulary`` rows
+    return {r.k0: r.n for r in most_frequent(_counted(pages.select("html"), step, 1), vocabulary, "k0")}
 
 
 def train(urls: DataFrame, segmenter: Segmenter, seeds: tuple[str, ...] = SEEDS, vocabulary: int = 50_000) -> NaiveBayes:
@@ -171,10 +173,11 @@ def train(urls: DataFrame, segmenter: Segmenter, seeds: tuple[str, ...] = SEEDS,
         held.update((label, t) for t in segmenter.tokens(host, path))
 
     counts = _counted(urls.select("host", "path"), step, 2)
-    wide = counts.groupBy("k1").agg(*[F.sum(F.when(F.col("k0") == c, F.col("n")).otherwise(0)).alias(c) for c in (BLOCK, ALLOW)])
-    rows = wide.orderBy((F.col("k1") != ""), F.desc(F.col(BLOCK) + F.col(ALLOW)), "k1").limit(vocabulary + 1).collect()  # at most vocabulary + 1 rows
-    docs = next((r for r in rows if r.k1 == ""), None)
-    return NaiveBayes({c: docs[c] for c in (BLOCK, ALLOW)} if docs else {}, {c: {r.k1: r[c] for r in rows if r.k1 and r[c]} for c in (BLOCK, ALLOW)})
+    split = [F.sum(F.when(F.col("k0") == c, F.col("n")).otherwise(0)).alias(c) for c in (BLOCK, ALLOW)]
+    wide = materialize(counts.groupBy("k1").agg(*split, F.sum("n").alias("n")), "url-tokens")
+    docs = wide.filter("k1 = ''").first()
+    rows = most_frequent(wide.filter("k1 != ''"), vocabulary, "k1")
+    return NaiveBayes({c: docs[c] for c in (BLOCK, ALLOW)} if docs else {}, {c: {r.k1: r[c] for r in rows if r[c]} for c in (BLOCK, ALLOW)})
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, vocabulary: int = 50_000) -> DataFrame:
