@@ -47,7 +47,7 @@ def periodic_tiles(records: DataFrame, least_fraction: float = 0.45) -> DataFram
     edges = F.sort_array(F.array_distinct(F.transform(raw, lambda e: F.greatest(F.lit(0), F.least(F.col("length").cast("int"), e)))))
     pairs = F.zip_with(F.slice("__edges", 1, F.size("__edges") - 1), F.slice("__edges", 2, F.size("__edges") - 1), lambda x, y: F.struct(x.alias("start"), y.alias("end")))
     tiles = F.filter(pairs, lambda t: (t["end"] - t["start"]) >= F.lit(least_fraction) * F.col("period"))
-    with_edges = records.withColumn("__edges", edges).filter(F.size("__edges") > 1)
+    with_edges = records.withColumn("__edges", edges)  # not filtered here: the filter would pull the lambda below the scan
     return with_edges.select("*", F.posexplode(tiles).alias("unit", "__tile")).withColumns({"start": F.col("__tile.start"), "end": F.col("__tile.end")}).drop("__edges", "__tile")
 
 

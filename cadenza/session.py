@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a small side is broadcast; beyond it the join is shuffled and AQE splits hot keys.
 BROADCAST_ROWS = 50_000
 
+#: Rows of a narrow table that one task writes, where their number is known.
+ROWS_PER_FILE = 100_000
+
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster, spark-submit's settings hold."""
@@ -19,6 +22,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
@@ -37,14 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Cut the lineage: write df as Parquet to the shared folder and read it back.
 
     Unlike cached blocks the files outlive a lost executor, and unlike a checkpoint
-    they are columnar, so later readers prune columns.
+    they are columnar, so later readers prune columns. Where a bound on the rows is known,
+    tasks and files are as many as these rows need.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
