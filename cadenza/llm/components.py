@@ -16,25 +16,28 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("c"), "m"))
-    return out.filter(F.col("a") != F.col("b")).distinct()
+        out = joined.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+    return out.filter(F.col("a") != F.col("b"))
+
+
+def _is_forest_of_stars(pairs: DataFrame, n: int) -> bool:
+    """Every node hangs on one other, which hangs on none."""
+    if pairs.select("a").distinct().count() < n:
+        return False
+    return not pairs.join(pairs.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> node, root: each node of an edge with the least node it reaches.
 
     Nodes are of any ordered type. A round is written to the shared folder; the driver
-    sees only a count and a checksum of it. Rounds grow with the logarithm of the size.
+    sees only counts. Rounds grow with the logarithm of the size.
     """
     pairs = edges.filter(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    pairs, mark = materialize(pairs, "cc"), None
-    while True:
-        now = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if (now.n, now.s) == mark:
-            break
-        mark = (now.n, now.s)
-        if not now.n:
-            break
-        pairs = materialize(_stars(_stars(pairs, True), False), "cc")
+    pairs = materialize(pairs, "cc")
+    n = pairs.count()
+    while n and not _is_forest_of_stars(pairs, n):
+        pairs = materialize(_stars(_stars(pairs, True), False).distinct(), "cc", rows=2 * n)
+        n = pairs.count()
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

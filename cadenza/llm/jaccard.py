@@ -2,11 +2,12 @@
 
 Documents with equal shingle sets form a class; links are searched between classes.
 
-1. Candidates. Two sets with a Jaccard similarity of at least t share one of the first
-   n - ceil(t n) + 1 elements under any common order. The order puts often repeated
-   shingles last, so shared passages seldom count. Only these prefixes are shuffled, by
-   shingle; classes that meet at a shingle within reach of each other's size fall into
-   one group.
+1. Candidates. Two sets with a Jaccard similarity of at least t share l of the first
+   n - ceil(t n) + l elements under any common order, l being a tenth of the smaller
+   size. The order puts often repeated shingles last. Only these prefixes are shuffled,
+   by shingle. A class that meets others at fewer than l of its shingles has no link;
+   such classes go, and with them the documents that merely share a passage. Classes
+   that still meet, within reach of each other's size, form groups.
 2. Signature trees. In each group a tree is built whose nodes hold the OR of their
    sets' token bitmaps and the range of their sizes. Two trees are walked in step; a
    pair of nodes is dropped if the sizes exclude each other or if the largest possible
@@ -15,7 +16,8 @@ Documents with equal shingle sets form a class; links are searched between class
 3. Large groups are dealt into chunks of at most about ``GROUP`` classes. Each chunk is
    joined with itself, then with its neighbour, then every pair of chunks that isn't
    yet one component; so no task holds more than two chunks, and no link is lost.
-4. Links make components (alternating stars).
+4. Each task names its components; names that later links join are merged by
+   alternating stars.
 
 Nothing is sampled and no candidate is capped. The list of frequent shingles (at most
 ``COMMON``) and the candidate bitmap (2 MB) only order or filter work.
@@ -60,8 +62,13 @@ def _low(key: bytes) -> int:
     return int.from_bytes(key[:8], "little", signed=True)
 
 
+def shared_least(n: int) -> int:
+    """How many prefix elements two linked sets share at least, n being the smaller size; never falls with n."""
+    return max(1, n // 10)
+
+
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + shared_least(n)
 
 
 def need(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -118,7 +125,7 @@ def _postings(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                 shingles, low, size = [], [], []
                 for own in shingle_sets(part.column(0), k):
                     n = len(own)
-                    if n * percent < 100 * (n - 1) and (key := _key(own)) not in seen:  # smaller sets link to equal ones only
+                    if 100 * n >= percent * (n + 1) and (key := _key(own)) not in seen:  # smaller sets link to equal ones only
                         seen.add(key)
                         shingles.append(shared.value.prefix(own, prefix_length(n, percent)))
                         low.append(_low(key))
@@ -133,6 +140,50 @@ def _postings(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
     return docs.select("text").mapInArrow(emit, "shingle long, n int, cls long")
 
 
+def _run_starts(shingle: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Runs of one shingle, cut where the next larger size is out of reach."""
+    return np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (n[1:] * percent > n[:-1] * 100)]))
+
+
+def _by_shingle(postings: DataFrame) -> DataFrame:
+    return postings.select("shingle", "n", "cls").repartition("shingle").sortWithinPartitions("shingle", "n", "cls")
+
+
+def _met(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings at which two classes or more meet."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, sent = tuple(np.zeros(0, np.int64) for _ in range(3)), False
+        for batch in batches:
+            shingle, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
+            if not len(shingle):
+                continue
+            new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])])
+            shingle, n, cls = shingle[new], n[new], cls[new]
+            starts = _run_starts(shingle, n, percent)
+            count = np.diff([*starts, len(cls)])
+            shared = count > 1
+            out = np.repeat(shared, count)
+            if sent:
+                out[0] = False  # the held row is out already, and whoever joins it is not alone
+            open_sent = bool(shared[-1]) or (sent and len(starts) == 1)
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(n[out].astype(np.int32)), pa.array(cls[out])], ["shingle", "n", "cls"])
+            held, sent = (shingle[-1:], n[-1:], cls[-1:]), open_sent
+
+    return _by_shingle(postings).mapInArrow(meet, "shingle long, n int, cls long")
+
+
+def _candidates(postings: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+    """The postings of classes that meet others often enough to have a link."""
+    met = materialize(_met(postings, percent), "jaccard-met")
+    smallest = F.ceil(F.col("n") * percent / 100)  # of the sets linked to one of size n
+    for _ in range(rounds):
+        often = met.groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("hits")).filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(smallest / 10)))
+        met = materialize(_met(met.join(materialize(often.select("cls"), "jaccard-often"), "cls", "left_semi"), percent), "jaccard-met")
+    return met
+
+
 def _meetings(postings: DataFrame, percent: int) -> DataFrame:
     """Edges (a, b) between classes that share a prefix shingle and whose sizes allow a chain of links."""
 
@@ -142,7 +193,7 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
             shingle, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
             if not len(shingle):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (n[1:] * percent > n[:-1] * 100)]))
+            starts = _run_starts(shingle, n, percent)
             least = np.minimum.reduceat(cls, starts)
             root = np.repeat(least, np.diff([*starts, len(cls)]))
             pairs = np.stack([cls, root], 1)[cls != root]
@@ -151,8 +202,7 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
             held = shingle[-1:], n[-1:], least[-1:]  # the last run may go on: its least class stands for it
 
-    dealt = postings.repartition("shingle").sortWithinPartitions("shingle", "n", "cls")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
+    return _by_shingle(postings).mapInArrow(meet, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
@@ -265,19 +315,31 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[
     return out
 
 
-def _search(rows: DataFrame, percent: int) -> DataFrame:
-    """rows (task, key, label, own) -> links (a, b) between keys, task by task."""
+def _search(rows: DataFrame, percent: int, inside: bool) -> DataFrame:
+    """rows (task, key, label, own) -> a, b, task by task.
+
+    inside: each linked key with the least key of its component in the task, labels being
+    the keys. Otherwise: pairs of labels that a link joins.
+    """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = pdf["key"].tolist()
-        links = link_sets([np.frombuffer(x, np.uint64) for x in pdf["own"]], pdf["label"].tolist(), percent)
-        return pd.DataFrame([(keys[i], keys[j]) for i, j in links], columns=["a", "b"], dtype=object)
+        labels = pdf["label"].tolist()
+        links = link_sets([np.frombuffer(x, np.uint64) for x in pdf["own"]], labels, percent)
+        pairs = [(labels[i], labels[j]) for i, j in links]
+        if inside:
+            near: dict[str, set[str]] = {}
+            for x, y in pairs:
+                whole = near.setdefault(x, {x}) | near.setdefault(y, {y})
+                near.update(dict.fromkeys(whole, whole))
+            pairs = [(key, least) for key, whole in near.items() if (least := min(whole)) != key]
+        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
 
     return rows.select("task", "key", "label", "own").groupBy("task").applyInPandas(search, "a string, b string")
 
 
-def _links(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
-    edges = _meetings(_postings(docs, k, percent, Order(frequent)), percent)
+def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
+    """key, root: every linked class with the name of its component."""
+    edges = _meetings(_candidates(_postings(docs, k, percent, Order(frequent)), percent), percent)
     groups = connected_components(edges).toDF("cls", "grp")
     sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
     # chunks are dealt by hash; groups of one chunk need no further look
@@ -285,29 +347,36 @@ def _links(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
     nodes = materialize(nodes, "jaccard-nodes")
     sets = materialize(_sets(docs, k, nodes), "jaccard-sets")
     task = lambda i, j: F.concat_ws(":", F.col("grp").cast("string"), i.cast("string"), j.cast("string"))
-    links = materialize(_search(sets.withColumns({"task": task(F.col("chunk"), F.col("chunk")), "label": F.col("key")}), percent), "jaccard-links")
+    first = _search(sets.withColumns({"task": task(F.col("chunk"), F.col("chunk")), "label": F.col("key")}), percent, inside=True)
+    first = materialize(first.toDF("key", "root"), "jaccard-roots")
     if not nodes.filter("chunks > 1").limit(1).count():
-        return links
+        return first.union(first.select("root", "root").distinct())
 
-    def labelled(found: DataFrame) -> DataFrame:
-        roots = connected_components(found).toDF("node", "root")
-        return sets.filter("chunks > 1").join(roots, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("root", "key")).drop("node", "root")
+    def labelled(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
+        """rows with the name that names (key, root) gives to ``column`` as their label."""
+        known = names.toDF("__key", "__root")
+        return rows.join(known, F.col(column) == F.col("__key"), "left").withColumn("label", F.coalesce("__root", column)).drop("__key", "__root")
 
+    large = labelled(sets.filter("chunks > 1"), first, "key")
     after = F.pmod(F.col("chunk") + 1, F.col("chunks"))
     before = F.pmod(F.col("chunk") - 1, F.col("chunks"))
     ring = F.explode(F.array_distinct(F.array(*[task(F.least("chunk", x), F.greatest("chunk", x)) for x in (before, after)])))
-    links = links.union(materialize(_search(labelled(links).withColumn("task", ring), percent), "jaccard-links"))
-    if not nodes.filter("chunks > 3").limit(1).count():
-        return links
-    rows = labelled(links)
-    parts = materialize(rows.groupBy("grp", "chunk", "chunks").agg(F.min("label").alias("low"), F.max("label").alias("high")), "jaccard-parts")
-    other = parts.select("grp", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    open_pairs = parts.join(other, "grp").filter(  # a row per pair of chunks of a large group, never of documents
-        (F.col("chunk2") > F.col("chunk") + 1) & (F.col("chunk2") - F.col("chunk") < F.col("chunks") - 1)
-        & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
-    )
-    tasks = open_pairs.select("grp", task(F.col("chunk"), F.col("chunk2")).alias("task"), F.explode(F.array("chunk", "chunk2")).alias("chunk"))
-    return links.union(materialize(_search(rows.join(tasks, ["grp", "chunk"]), percent), "jaccard-links"))
+    joined = materialize(_search(large.withColumn("task", ring), percent, inside=False), "jaccard-joined")
+    merged = connected_components(joined)
+    if nodes.filter("chunks > 3").limit(1).count():
+        rows = labelled(large, merged, "label")
+        parts = materialize(rows.groupBy("grp", "chunk", "chunks").agg(F.min("label").alias("low"), F.max("label").alias("high")), "jaccard-parts")
+        other = parts.select("grp", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+        open_pairs = parts.join(other, "grp").filter(  # a row per pair of chunks of a large group, never of documents
+            (F.col("chunk2") > F.col("chunk") + 1) & (F.col("chunk2") - F.col("chunk") < F.col("chunks") - 1)
+            & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
+        )
+        tasks = open_pairs.select("grp", task(F.col("chunk"), F.col("chunk2")).alias("task"), F.explode(F.array("chunk", "chunk2")).alias("chunk"))
+        more = materialize(_search(rows.join(tasks, ["grp", "chunk"]), percent, inside=False), "jaccard-joined")
+        if more.limit(1).count():
+            merged = connected_components(joined.union(more))
+    every = first.union(first.select("root", "root")).union(merged.select("node", "node")).distinct()
+    return labelled(every, merged, "root").select("key", F.col("label").alias("root"))
 
 
 def components_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -316,8 +385,7 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     repeated = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = most_frequent(repeated, COMMON, "shingle")
     rows = scanned.filter("shingle is null").select("doc_id", "n", F.lower(F.hex("key")).alias("key"))
-    links = _links(docs, k, percent, [r.shingle for r in reversed(top)])
-    roots = connected_components(links).toDF("key", "root")
+    roots = _roots(docs, k, percent, [r.shingle for r in reversed(top)])
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     classes = materialize(classes.join(roots, "key", "left"), "jaccard-classes")
     linked = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))

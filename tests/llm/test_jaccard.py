@@ -68,6 +68,15 @@ def test_components(spark, monkeypatch, seed, group, common):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
 
 
+def test_least_sizes_that_link(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[a:b])) for i, (a, b) in enumerate([(0, 7), (0, 8), (10, 16), (10, 17), (20, 29), (20, 28), (30, 35), (30, 34)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.components_of(docs).collect()
+    assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(rows)
+    assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == [0, 0, 2, 3, 4, 4, 6, 7]
+
+
 def test_keep_one_and_empty(spark):
     rows = [(i, t) for i, (_, t) in enumerate(planted(9))]
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string")
