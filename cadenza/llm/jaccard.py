@@ -174,14 +174,23 @@ def _met(postings: DataFrame, percent: int) -> DataFrame:
     return _by_shingle(postings).mapInArrow(meet, "shingle long, n int, cls long")
 
 
-def _candidates(postings: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
-    """The postings of classes that meet others often enough to have a link."""
+_MASK = (1 << _BITMAP_BITS) - 1
+
+
+def _bitmap(classes: DataFrame) -> DataFrame:
+    """The classes' low bits as a bitmap (w, v): 2^18 rows at most, whatever the number of classes."""
+    word = F.shiftright(F.col("cls").bitwiseAND(F.lit(_MASK)), 6)
+    return classes.groupBy(word.alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cls & 63 as int))")).alias("v"))
+
+
+def _candidates(postings: DataFrame, percent: int) -> DataFrame:
+    """The postings of classes that meet others often enough to have a link, and of a few others (bitmap)."""
     met = materialize(_met(postings, percent), "jaccard-met")
     smallest = F.ceil(F.col("n") * percent / 100)  # of the sets linked to one of size n
-    for _ in range(rounds):
-        often = met.groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("hits")).filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(smallest / 10)))
-        met = materialize(_met(met.join(materialize(often.select("cls"), "jaccard-often"), "cls", "left_semi"), percent), "jaccard-met")
-    return met
+    often = met.groupBy("cls").agg(F.max("n").alias("n"), F.count("*").alias("hits")).filter(F.col("hits") >= F.greatest(F.lit(1), F.floor(smallest / 10)))
+    bits = F.broadcast(_bitmap(often))  # 2^18 rows at most
+    hit = met.join(bits, F.shiftright(F.col("cls").bitwiseAND(F.lit(_MASK)), 6) == F.col("w"))
+    return hit.filter(F.expr("(shiftright(v, cast(cls & 63 as int)) & 1) = 1")).drop("w", "v")
 
 
 def _meetings(postings: DataFrame, percent: int) -> DataFrame:
@@ -205,18 +214,21 @@ def _meetings(postings: DataFrame, percent: int) -> DataFrame:
     return _by_shingle(postings).mapInArrow(meet, "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
-    """The sets of the wanted classes (cls), once each: cls, key, n, own (bytes)."""
-    mask = (1 << _BITMAP_BITS) - 1
-    bit = F.col("cls").bitwiseAND(F.lit(mask))
-    words = wanted.groupBy(F.shiftright(bit, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(cls & 63 as int))")).alias("v")).collect()  # 2^18 rows at most
+def _sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
+    """The sets of the classes in nodes (cls, ..), once each: the nodes' columns, key, own (bytes).
+
+    A task writes a class once; of several tasks' copies a narrow aggregate picks one.
+    """
+    words = _bitmap(nodes).collect()  # 2^18 rows at most
     bits = np.zeros(1 << (_BITMAP_BITS - 6), np.uint64)
     if words:
         bits[[r.w for r in words]] = np.array([r.v for r in words], np.int64).view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = shared.value, set()
+        from pyspark import TaskContext
+
+        table, seen, part_id = shared.value, set(), TaskContext.get().partitionId()
         for batch in batches:
             for part in sliced(batch, 0):
                 rows = []
@@ -224,15 +236,16 @@ def _sets(docs: DataFrame, k: int, wanted: DataFrame) -> DataFrame:
                     if len(own):
                         key = _key(own)
                         low = _low(key)
-                        if key not in seen and int(table[(low & mask) >> 6]) >> (low & 63) & 1:
+                        if key not in seen and int(table[(low & _MASK) >> 6]) >> (low & 63) & 1:
                             seen.add(key)
-                            rows.append((low, key.hex(), len(own), own.tobytes()))
+                            rows.append((low, key.hex(), part_id, own.tobytes()))
                 if rows:
                     cols = list(zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], ["cls", "key", "n", "own"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.binary()), strict=True)], ["cls", "key", "part", "own"])
 
-    found = docs.select("text").mapInArrow(emit, "cls long, key string, n int, own binary")
-    return found.repartition("cls").join(wanted.repartition("cls"), "cls").dropDuplicates(["cls", "key"])
+    found = materialize(docs.select("text").mapInArrow(emit, "cls long, key string, part int, own binary"), "jaccard-sets")
+    picked = found.groupBy("cls", "key").agg(F.min("part").alias("part")).join(nodes, "cls")
+    return found.join(small_side(materialize(picked, "jaccard-picked")), ["cls", "key", "part"]).drop("part")
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -345,7 +358,7 @@ def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
     # chunks are dealt by hash; groups of one chunk need no further look
     nodes = groups.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     nodes = materialize(nodes, "jaccard-nodes")
-    sets = materialize(_sets(docs, k, nodes), "jaccard-sets")
+    sets = _sets(docs, k, nodes)
     task = lambda i, j: F.concat_ws(":", F.col("grp").cast("string"), i.cast("string"), j.cast("string"))
     first = _search(sets.withColumns({"task": task(F.col("chunk"), F.col("chunk")), "label": F.col("key")}), percent, inside=True)
     first = materialize(first.toDF("key", "root"), "jaccard-roots")
