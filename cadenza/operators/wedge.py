@@ -39,12 +39,14 @@ def harmonic_offsets(templates: DataFrame, limit: str, tolerance: int = 1, harmo
 def start_scores(tracks: DataFrame, lengths: DataFrame, templates: DataFrame, tolerance: int = 1, harmonics: int = 8, least_harmonics: int = 2, controls: bool = True) -> DataFrame:
     """Score of every start: rec, period, width, start, score.
 
-    lengths (rec, length); templates (period, width), a small list; widths beyond a record
+    lengths (rec, length); templates (period, width), a small list, or (rec, period, width); widths beyond a record
     are cut to it. Templates that keep fewer than the least number of harmonics have no rows.
     """
     prefix = track_prefixes(tracks)
     top = prefix.groupBy("rec").agg(F.max("sep").alias("__most"))
-    cut = lengths.join(top, "rec").join(F.broadcast(templates))  # every record meets the listed templates
+    sized = lengths.join(top, "rec")
+    # a list meets every record; templates with a rec column are the record's own
+    cut = sized.join(templates, "rec") if "rec" in templates.columns else sized.join(F.broadcast(templates))
     cut = cut.select("rec", "length", "period", F.least("width", "length").alias("width"), "__most").distinct().withColumn("limit", F.least(F.col("__most"), F.col("width") - 1))
     offsets = harmonic_offsets(cut, "limit", tolerance, harmonics, controls)
     members = offsets.join(prefix, ["rec", "sep"]).filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cadenza.operators import intervals as iv
 from cadenza.operators import matrices as mx
 from cadenza.operators import wedge as wg
-from cadenza.session import table
+from cadenza.session import materialize, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,8 +51,8 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec, layer, i, j, v: whole numbers."""
-    return mx.apc_head_mean(cells(spark, sf_dir)).withColumn("v", F.floor("v").cast("double"))
+    """rec, layer, i, j, v: whole numbers. Written once, as most queries read it in several branches."""
+    return materialize(mx.apc_head_mean(cells(spark, sf_dir)).withColumn("v", F.floor("v").cast("double")), "matrix")
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mx.fuse_tracks(tracks(spark, sf_dir)).withColumn("z", F.floor("z").cast("double"))
+    return materialize(mx.fuse_tracks(tracks(spark, sf_dir)).withColumn("z", F.floor("z").cast("double")), "tracks")
 
 
 def templates(spark: SparkSession) -> DataFrame:
