@@ -47,7 +47,7 @@ from cadenza.llm.shingles import shingle_sets, sliced
 from cadenza.session import materialize, small_side
 
 #: Classes in a chunk; a task of the search holds two chunks at most.
-GROUP = 512
+GROUP = 2048
 #: Shingles that are ordered last.
 COMMON = 65_536
 _BITMAP_BITS = 24
@@ -367,7 +367,7 @@ def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
 
     def labelled(rows: DataFrame, names: DataFrame, column: str) -> DataFrame:
         """rows with the name that names (key, root) gives to ``column`` as their label."""
-        known = names.toDF("__key", "__root")
+        known = small_side(names.toDF("__key", "__root"))
         return rows.join(known, F.col(column) == F.col("__key"), "left").withColumn("label", F.coalesce("__root", column)).drop("__key", "__root")
 
     large = labelled(sets.filter("chunks > 1"), first, "key")
@@ -385,7 +385,7 @@ def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
             & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
         )
         tasks = open_pairs.select("grp", task(F.col("chunk"), F.col("chunk2")).alias("task"), F.explode(F.array("chunk", "chunk2")).alias("chunk"))
-        more = materialize(_search(rows.join(tasks, ["grp", "chunk"]), percent, inside=False), "jaccard-joined")
+        more = materialize(_search(rows.join(small_side(tasks), ["grp", "chunk"]), percent, inside=False), "jaccard-joined")
         if more.limit(1).count():
             merged = connected_components(joined.union(more))
     every = first.union(first.select("root", "root")).union(merged.select("node", "node")).distinct()
