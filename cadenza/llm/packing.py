@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Entries of a worker's word cache, about 150 bytes each; it starts anew when full.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 650_000
 #: Bytes of text that are tokenised at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 _PUNCTUATION = b".,;:!?"
 
 
