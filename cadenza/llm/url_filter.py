@@ -6,8 +6,9 @@ by multinomial naive Bayes with the classes block and allow. The classifier lear
 all urls, labelled by seed words: a url with a seed word among its host words is an
 example for block, any other for allow.
 
-Model sizes are bounded by parameters: the ``vocabulary`` most frequent words for the
-segmentation, and as many tokens for naive Bayes; counts behind them cover all pages.
+Both models are whole count tables over all pages and stay in the shared folder: the
+substrings of the distinct hosts are joined to the words' counts, the tokens of distinct
+hosts and paths to the tokens' counts. The driver gets their sums and the seeds' counts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; it has no
 words and the class with the larger prior; equal scores mean allow; the longest fitting
@@ -28,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.frequent import most_frequent
-from cadenza.session import materialize
+from cadenza.session import materialize, small_side
 
 BLOCK, ALLOW = "block", "allow"
 #: Words whose presence in a host labels an example for block.
@@ -71,17 +71,17 @@ class Rules:
 
 
 class Segmenter:
-    """Unigram Viterbi: the split of a letter run into words with the largest probability."""
+    """Unigram Viterbi: the split of a letter run into words with the largest probability.
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        self.counts, total = counts, max(1, sum(counts.values()))
-        self.log_total = math.log(total)
+    counts need only hold the words that occur in the runs, if the total over all is given.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        self.counts = counts
+        self.log_total = math.log(max(1, sum(counts.values()) if total is None else total))
         self.longest = max(map(len, counts), default=1)
         self.split = lru_cache(100_000)(self._split)
 
-    def __reduce__(self) -> tuple:
-        return Segmenter, (self.counts,)
-
     def _cost(self, word: str) -> float:
         n = self.counts.get(word)
         # an unknown word is the less likely the longer it is
@@ -102,29 +102,42 @@ class Segmenter:
         return tuple(reversed(out))
 
     def host_words(self, host: str) -> list[str]:
-        return [w for run in re.findall(r"[^\W\d_]+", host) for w in self.split(run)]
+        return [w for run in runs(host) for w in self.split(run)]
+
+
+def runs(host: str) -> list[str]:
+    return re.findall(r"[^\W\d_]+", host)
+
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Host words and path words, told apart; a number in a path is one token."""
-        return [f"h:{w}" for w in self.host_words(host)] + [f"p:{'0' if w.isdigit() else w}" for w in re.findall(r"\d+|[^\W\d_]+", path.lower())]
+def path_tokens(path: str) -> list[str]:
+    """Path words, told from host words (h:) by their prefix; a number is one token."""
+    return [f"p:{'0' if w.isdigit() else w}" for w in re.findall(r"\d+|[^\W\d_]+", path.lower())]
 
 
 class NaiveBayes:
-    """Multinomial, Laplace-smoothed over its own vocabulary; unknown tokens say nothing."""
+    """Multinomial, Laplace-smoothed over its own vocabulary; unknown tokens say nothing.
 
-    def __init__(self, docs: dict[str, int], tokens: dict[str, dict[str, int]], smoothing: float = 1.0) -> None:
-        vocabulary = set().union(*[tokens.get(c, {}) for c in (BLOCK, ALLOW)])
+    counts (token, block, allow) is a table; examples per class, tokens per class and the
+    vocabulary's size are sums over all of it.
+    """
+
+    def __init__(self, counts: DataFrame, docs: dict[str, int], smoothing: float = 1.0) -> None:
+        classes = BLOCK, ALLOW
+        sums = counts.agg(F.count("*").alias("size"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in classes]).first()
         total = sum(docs.values())
-        self.prior = {c: math.log((docs.get(c, 0) + 1) / (total + 2)) for c in (BLOCK, ALLOW)}
-        mass = {c: math.log(sum(tokens.get(c, {}).values()) + smoothing * max(1, len(vocabulary))) for c in (BLOCK, ALLOW)}
-        self.weight = {
-            t: math.log(tokens.get(BLOCK, {}).get(t, 0) + smoothing) - mass[BLOCK] - math.log(tokens.get(ALLOW, {}).get(t, 0) + smoothing) + mass[ALLOW]
-            for t in vocabulary
-        }
+        prior = {c: math.log((docs.get(c, 0) + 1) / (total + 2)) for c in classes}
+        mass = {c: math.log(sums[c] + smoothing * max(1, sums["size"])) for c in classes}
+        self.prior = prior[BLOCK] - prior[ALLOW]
+        weight = F.log(F.col(BLOCK) + smoothing) - F.log(F.col(ALLOW) + smoothing) - F.lit(mass[BLOCK] - mass[ALLOW])
+        self.weights = counts.select("token", weight.alias("weight"))
+
+    def scores(self, tokens: DataFrame) -> DataFrame:
+        """tokens (key, token), a row per occurrence -> key, score: log odds of block without the prior.
 
-    def score(self, tokens: list[str]) -> float:
-        """Log odds of block."""
-        return self.prior[BLOCK] - self.prior[ALLOW] + sum(self.weight.get(t, 0.0) for t in tokens)
+        Weights are added in their order, so that the sum doesn't hang on the tasks.
+        """
+        known = tokens.join(small_side(self.weights), "token")
+        return known.groupBy("key").agg(F.aggregate(F.array_sort(F.collect_list("weight")), F.lit(0.0), lambda a, w: a + w).alias("score"))
 
 
 def _counted(rows: DataFrame, step, keys: int) -> DataFrame:
@@ -152,55 +165,101 @@ def _counted(rows: DataFrame, step, keys: int) -> DataFrame:
     return rows.mapInArrow(count, ", ".join(f"{n} string" for n in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
 
 
-def page_words(pages: DataFrame, vocabulary: int = 50_000) -> dict[str, int]:
-    """The most frequent words of all pages' text, tags left out."""
+def _parts(rows: DataFrame, parts, name: str) -> DataFrame:
+    """rows (key, text) -> key and each of the text's parts; a long text isn't repeated beside them."""
+    schema = pa.schema([("key", pa.string()), (name, pa.string())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, found = [], []
+            for at, (key, text) in enumerate(zip(*[c.to_pylist() for c in batch.columns], strict=True), 1):
+                own = parts(text)
+                keys += [key] * len(own)
+                found += own
+                if len(found) > 10_000 or at == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(found, pa.string())], schema=schema)
+                    keys, found = [], []
+
+    return rows.mapInArrow(spread, f"key string, {name} string")
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """Counts of all words of all pages' text, tags left out: word, n."""
     tag, word = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I), re.compile(r"[^\W\d_]+")
 
     def step(held: Counter, html: str | None) -> None:
         if html:
             held.update((w,) for w in word.findall(tag.sub(" ", html).lower()) if len(w) <= LONGEST_WORD)
 
-    return {r.k0: r.n for r in most_frequent(_counted(pages.select("html"), step, 1), vocabulary, "k0")}
+    return materialize(_counted(pages.select("html"), step, 1).withColumnRenamed("k0", "word"), "page-words")
+
+
+def segment(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
+    """hosts (host), distinct, and counts (word, n) of all words -> host, words.
+
+    Seed words count as a tenth of the most frequent word at least. A host's task gets the
+    counts of just those words that are substrings of its runs.
+    """
+    sums = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    own = {r.word: r.n for r in counts.filter(F.col("word").isin(*seeds)).collect()}
+    raised = {w: max((sums.most or 1) // 10, own.get(w, 0), 1) for w in seeds}
+    total = (sums.total or 0) + sum(n - own.get(w, 0) for w, n in raised.items())
+
+    def pieces(host: str) -> list[str]:
+        return list({run[i:j] for run in runs(host) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST_WORD) + 1)})
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, known = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [Segmenter({**{k["word"]: k["n"] for k in ks or ()}, **raised}, total).host_words(h) for h, ks in zip(hosts, known, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["host", "words"])
+
+    keyed = hosts.select(F.md5("host").alias("key"), "host")
+    known = _parts(keyed, pieces, "word").join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return materialize(keyed.join(known, "key", "left").select("host", "known").mapInArrow(split, "host string, words array<string>"), "host-words")
 
 
-def train(urls: DataFrame, segmenter: Segmenter, seeds: tuple[str, ...] = SEEDS, vocabulary: int = 50_000) -> NaiveBayes:
-    """urls (host, path): counts of examples and tokens per class over all rows."""
+def train(urls: DataFrame, seeds: tuple[str, ...] = SEEDS) -> NaiveBayes:
+    """urls (words of the host, path, n equal ones): counts of examples and tokens per class over all rows."""
     known = frozenset(seeds)
 
-    def step(held: Counter, host: str, path: str) -> None:
-        label = BLOCK if known.intersection(segmenter.host_words(host)) else ALLOW
-        held[label, ""] += 1
-        held.update((label, t) for t in segmenter.tokens(host, path))
+    def step(held: Counter, words: list[str], path: str, n: int) -> None:
+        label = BLOCK if known.intersection(words) else ALLOW
+        held[label, ""] += n
+        for token in [*[f"h:{w}" for w in words], *path_tokens(path)]:
+            held[label, token] += n
 
-    counts = _counted(urls.select("host", "path"), step, 2)
+    counts = _counted(urls.select("words", "path", "n"), step, 2)
     split = [F.sum(F.when(F.col("k0") == c, F.col("n")).otherwise(0)).alias(c) for c in (BLOCK, ALLOW)]
-    wide = materialize(counts.groupBy("k1").agg(*split, F.sum("n").alias("n")), "url-tokens")
-    docs = wide.filter("k1 = ''").first()
-    rows = most_frequent(wide.filter("k1 != ''"), vocabulary, "k1")
-    return NaiveBayes({c: docs[c] for c in (BLOCK, ALLOW)} if docs else {}, {c: {r.k1: r[c] for r in rows if r[c]} for c in (BLOCK, ALLOW)})
+    wide = materialize(counts.groupBy(F.col("k1").alias("token")).agg(*split), "url-tokens")
+    docs = wide.filter("token = ''").first()
+    return NaiveBayes(wide.filter("token != ''"), {c: docs[c] for c in (BLOCK, ALLOW)} if docs else {})
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS, vocabulary: int = 50_000) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """pages (page_id, url, html) -> page_id, host, path, words, score, rule, verdict."""
-    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    counts = page_words(pages, vocabulary)
-    floor = max(counts.values(), default=1)
-    segmenter = Segmenter({**counts, **{w: max(floor // 10, counts.get(w, 0), 1) for w in seeds}})
-    model = train(urls, segmenter, seeds, vocabulary)
-    shared = pages.sparkSession.sparkContext.broadcast((segmenter.counts, model))
-    table = Rules(rules)
+    urls = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    own = materialize(urls.groupBy("host", "path").agg(F.count("*").alias("n")), "urls")
+    hosts = segment(own.select("host").distinct(), page_words(pages), seeds)
+    model = train(own.join(small_side(hosts), "host"), seeds)
+    prior, table = model.prior, Rules(rules)
+
+    of_hosts = model.scores(hosts.select(F.md5("host").alias("key"), F.explode(F.transform("words", lambda w: F.concat(F.lit("h:"), w))).alias("token")))
+    of_paths = model.scores(_parts(own.select("path").distinct().select(F.md5("path"), "path"), path_tokens, "token"))
+    sides = [
+        materialize(hosts.join(of_hosts, F.md5("host") == F.col("key"), "left").select("host", "words", F.col("score").alias("of_host")), "host-scores"),
+        materialize(of_paths.select(F.col("key").alias("path_key"), F.col("score").alias("of_path")), "path-scores"),
+    ]
+    rows = urls.join(small_side(sides[0]), "host", "left").withColumn("path_key", F.md5("path")).join(small_side(sides[1]), "path_key", "left")
+    score = F.lit(prior) + F.coalesce("of_host", F.lit(0.0)) + F.coalesce("of_path", F.lit(0.0))
     schema = pa.schema([("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("words", pa.list_(pa.string())), ("score", pa.float64()), ("rule", pa.string()), ("verdict", pa.string())])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, bayes = Segmenter(shared.value[0]), shared.value[1]
         for batch in batches:
-            out = []
-            for page_id, host, path in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rule = table.match(host, path)
-                score = bayes.score(own.tokens(host, path))
-                out.append((page_id, host, path, own.host_words(host), score, rule and rule[0], rule[1] if rule else BLOCK if score > 0 else ALLOW))
-            cols = list(zip(*out, strict=True)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+            _, hosts, paths, _, scores = [c.to_pylist() for c in batch.columns]
+            hits = [table.match(h, p) for h, p in zip(hosts, paths, strict=True)]
+            verdicts = [hit[1] if hit else BLOCK if s > 0 else ALLOW for hit, s in zip(hits, scores, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([hit and hit[0] for hit in hits], pa.string()), pa.array(verdicts, pa.string())], schema=schema)
 
     ddl = "page_id long, host string, path string, words array<string>, score double, rule string, verdict string"
-    return urls.withColumn("page_id", F.col("page_id").cast("long")).mapInArrow(decide, ddl)
+    return rows.select("page_id", "host", "path", "words", score.alias("score")).mapInArrow(decide, ddl)

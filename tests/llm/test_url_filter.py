@@ -58,3 +58,20 @@ def test_on_table(spark, sf_dir):
     for r in out:
         hit = rules.match(r.host, r.path)
         assert (r.rule, r.verdict if hit else None) == (hit or (None, None))
+
+
+def test_rare_words_count(spark):
+    """More than 50,000 more frequent words and tokens leave the rare ones in the models."""
+    letters = "abcdefghijklmnop"
+    many = ["zz" + "".join(letters[n >> s & 15] for s in (0, 4, 8, 12)) for n in range(50_100)]
+    rows = [(0, "http://plain.org/" + "/".join(many * 2), " ".join(many * 2)), (1, "http://quiltpills.org/", "<p>quilt zebra</p>"), (2, "http://zebraquilt.org/x", ""), (3, "http://quiltpills.org/x", None)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    assert out[2].words == ["zebra", "quilt", "org"] and out[1].words == ["quilt", "pills", "org"]
+    assert out[0].words == ["plain", "org"]
+    block, allow = {"quilt": 2, "pills": 2, "org": 2, "p:x": 1}, {"plain": 1, "org": 2, "zebra": 1, "quilt": 1, "p:x": 1}
+    size = len({*block, *allow}) + len(many)
+    mass = math.log((sum(block.values()) + size) / (sum(allow.values()) + 2 * len(many) + size))
+    for page, tokens in ((1, ("quilt", "pills", "org")), (2, ("zebra", "quilt", "org", "p:x")), (3, ("quilt", "pills", "org", "p:x"))):
+        want = sum(math.log((block.get(t, 0) + 1) / (allow.get(t, 0) + 1)) - mass for t in tokens)  # both classes have two examples
+        assert math.isclose(out[page].score, want, rel_tol=1e-9)
+    assert [out[i].verdict for i in (1, 2, 3)] == [BLOCK, BLOCK, BLOCK] and out[0].verdict == ALLOW
