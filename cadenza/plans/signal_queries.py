@@ -115,4 +115,4 @@ def fp16_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def topology_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return topology.decode(mq.matrix(spark, sf_dir), mq.lengths(spark, sf_dir), _SIZES, tuple(mq.WIDTHS), mq.MOST, least_size=64)
+    return topology.decode(mq.matrix(spark, sf_dir), mq.lengths(spark, sf_dir), _SIZES, tuple(mq.WIDTHS), least_size=64)
