@@ -74,7 +74,7 @@ def repetita(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def scan_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all multiscale windows of every whole sequence."""
-    out = spx.scan_sequences(_sequences(spark, sf_dir), (256, 1024))
+    out = spx.scan_sequences(_sequences(spark, sf_dir))
     return out.select("record_id", "start", "end", F.col("physical.score").alias("physical_score"), F.col("physical.period").alias("physical_period"), F.col("factor_max.factor").alias("factor"), F.col("exact.score").alias("exact_score"), F.col("repetita.zmax").alias("zmax"))
 
 
