@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a small side is broadcast; beyond it the join is shuffled and AQE splits hot keys.
+#: Rows and bytes up to which a small side is broadcast; beyond it the join is shuffled and AQE splits hot keys.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 32 << 20
 
 #: Rows of a narrow table that one task writes, where their number is known.
 ROWS_PER_FILE = 100_000
 
+_own_dir: list[str] = []
+
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; on a cluster, spark-submit's settings hold."""
@@ -32,13 +38,32 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where it is unset (tests, one machine) a temporary folder takes its place.
+    Only where it is unset and all runs in one process on one machine (master local[..], as
+    in tests) a temporary folder of this process takes its place; a cluster must name one.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base:
+        return base.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="spark-shared-"))
+        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+    return _own_dir[0]
+
+
+def _work_dir(spark: SparkSession) -> str:
+    """This application's own folder inside the shared one; Spark removes it when the application ends."""
+    path = f"{shared_dir(spark)}/cadenza-{spark.sparkContext.applicationId}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all that ``materialize`` has written; results that still read it are void after that."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_work_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
@@ -48,18 +73,31 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     they are columnar, so later readers prune columns. Where a bound on the rows is known,
     tasks and files are as many as these rows need.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     (df if rows is None else df.coalesce(max(1, -(-rows // ROWS_PER_FILE)))).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it is proven to hold at most ``limit`` rows.
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    out = F.lit(8 * len(df.columns)).cast("long")
+    for name, kind in df.dtypes:
+        own = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            out = out + F.coalesce(F.octet_length(own), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            out = out + F.coalesce(F.octet_length(F.to_json(F.struct(own))), F.lit(0))
+    return out
+
+
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if it is proven to hold at most ``limit`` rows and about ``most_bytes`` bytes.
 
     df must be cheap to count (a materialised or aggregated table). A larger one is
     returned as it is: the join is then a sort-merge join whose hot keys AQE splits.
     """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    size = df.select(_width(df).alias("w")).limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if size["n"] <= limit and size["b"] <= most_bytes else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
