@@ -4,52 +4,69 @@ A vector is coded as a sum of full-dimensional codewords, one of each codebook;
 codebook is trained on what the ones before it leave (residuals), and encoding keeps
 the ``beam`` best partial sums. The index stores the codes and the squared norm of the
 sum, so that a lookup table of query-codeword products scores a vector with one
-addition per codebook. Of every batch of rows the best-scored part is reranked by the
-exact distance in double precision.
+addition per codebook. The scan reads codes and norms alone. Over the whole index each
+query's ``shortlist`` best-scored rows are reranked by the exact distance of the original
+vectors, in double precision; where the index has no more rows, the result is exact.
 
 The codebooks are fitted on a bounded sample (``sample`` rows, those with the smallest
-id hashes); every row is indexed and scored.
+id hashes); every row is indexed and scored. The result doesn't hang on how the rows lie
+in partitions or batches, but for rows whose scores tie at the shortlist's end.
 
 Defined cases: see ``vectors``; zero vectors take no part either; a query is compared
-with all rows but those of its own id; fewer candidates than k give fewer rows; ties go
-to the smaller id; an empty table gives an empty result; other columns are ignored.
+with all rows but those of its own id; a repeated id is queried once, while its rows
+(repeated rows of one vector too, k + 1 at most) are candidates each of its own and may
+take several ranks; fewer candidates than k give fewer rows; ties go to the smaller id; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.vectors import Best, first_copies, matrix, query_blocks, ranked, valid_vectors
+from cadenza.llm.vectors import QUERY_BLOCK, Best, first_copies, matrix, packed, ranked, single_queries, valid_vectors
 from cadenza.session import materialize
 
+RESULT = "query_id long, rank int, vec_id long, score double"
+#: Rows of a block of codes, and how many such blocks a lane of the search holds.
+BLOCK, LANE = 4096, 64
+
 
 @dataclass
 class Codebooks:
     words: np.ndarray  # (books, words, dims)
 
     def encode(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes (rows, books) and squared norms of the decoded sums."""
-        n, (books, size, dims) = len(x), self.words.shape
-        codes = np.zeros((n, 1, 0), np.uint8)
-        left = x[:, None, :]
+        """Codes (rows, books) and squared norms of the decoded sums.
+
+        The search for codes runs in single precision, at the books' scale; norms are doubles.
+        """
+        n, (books, size, _) = len(x), self.words.shape
+        scale = float(np.abs(self.words).max()) or 1.0
+        all_words = (self.words / scale).astype(np.float32)
+        codes = np.zeros((n, 1, books), np.uint8)
+        left = np.clip(x / scale, -1e15, 1e15).astype(np.float32)[:, None, :]
+        rows = np.arange(n)[:, None]
         for m in range(books):
-            words = self.words[m]
-            cost = ((left**2).sum(-1)[:, :, None] - 2 * left @ words.T + (words**2).sum(-1)).reshape(n, -1)
+            words = all_words[m]
+            cost = np.einsum("nbd,nbd->nb", left, left)[:, :, None] + ((words**2).sum(-1) - 2 * left @ words.T)
+            cost = cost.reshape(n, -1)
             width = min(beam, cost.shape[1])
             best = np.argpartition(cost, width - 1, axis=1)[:, :width] if width < cost.shape[1] else np.tile(np.arange(width), (n, 1))
             parent, word = best // size, best % size
-            codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), word[:, :, None].astype(np.uint8)], 2)
-            left = np.take_along_axis(left, parent[:, :, None], 1) - words[word]
-        pick = (left**2).sum(-1).argmin(1)
-        rows = np.arange(n)
-        return codes[rows, pick], ((x - left[rows, pick]) ** 2).sum(1)
+            codes = codes[rows, parent]
+            codes[:, :, m] = word
+            left = left[rows, parent] - words[word]
+        picked = codes[np.arange(n), np.einsum("nbd,nbd->nb", left, left).argmin(1)]
+        sums = np.zeros_like(x)
+        for m in range(books):
+            sums += self.words[m][picked[:, m]]
+        return picked, (sums**2).sum(1)
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Products of queries and codewords: (books, queries, words)."""
@@ -74,7 +91,8 @@ def fit(sample: np.ndarray, books: int = 32, size: int = 64, rounds: int = 5, se
 
 @dataclass
 class Index:
-    table: DataFrame  # vec_id, vec, codes, norm
+    vectors: DataFrame  # vec_id, vec
+    codes: DataFrame  # block, n, vec_id, codes, norm: blocks of rows
     books: Codebooks
 
 
@@ -92,60 +110,80 @@ def build_index(embeddings: DataFrame, copies: int, books: int = 32, size: int =
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 codes, norm = shared.value.encode(matrix(part.column(1)), beam)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["vec_id", "vec", "codes", "norm"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(norm)], ["vec_id", "codes", "norm"])
 
-    coded = rows.select("vec_id", "vec").mapInArrow(encode, "vec_id long, vec array<double>, codes binary, norm double")
-    return Index(materialize(coded, "ann-index"), model)
+    coded = rows.select("vec_id", "vec").mapInArrow(encode, "vec_id long, codes binary, norm double")
+    return Index(rows, materialize(packed(coded, ["vec_id", "codes", "norm"], BLOCK), "ann-index"), model)
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, rerank_least: int = 200, rerank_share: float = 0.02) -> DataFrame:
-    """queries (vec_id, vec) -> query_id, rank, vec_id, score (Euclidean distance)."""
-    context = index.table.sparkSession.sparkContext
-
-    def block(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
-        shared = context.broadcast((ids, vectors, index.books))
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, vectors, books = shared.value
-            best = Best(len(ids), k)
-            tables = books.tables(vectors)
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                own, x = batch.column(0).to_numpy(), matrix(batch.column(1))
-                codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(n, -1)
-                norm, take = batch.column(3).to_numpy(), min(n, max(rerank_least, int(np.ceil(rerank_share * n))))
-                for at in range(0, len(ids), 64):
-                    part = slice(at, min(at + 64, len(ids)))
+def _shortlists(index: Index, queries: DataFrame, shortlist: int) -> DataFrame:
+    """queries (vec_id, vec) -> query_id, vec_id: of all rows the best by their codes.
+
+    Blocks of queries meet all blocks of codes, lane by lane; a task keeps the best of a
+    query block over the codes of a lane.
+    """
+    spark = index.codes.sparkSession
+    blocks = packed(queries, ["vec_id", "vec"], QUERY_BLOCK).toDF("query_block", "queries", "ids", "vecs")
+    many = index.codes.count()
+    lanes = max(-(-many // LANE), min(many, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    spread = materialize(blocks, "ann-queries").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    joined = spread.join(index.codes.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "lane")
+    shared = spark.sparkContext.broadcast(index.books)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, ids, tables, best = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.cost)], ["query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for block, own, vecs, rows, codes, norm in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if block != name:
+                    if best is not None:
+                        yield out()
+                    name, ids = block, np.frombuffer(own, np.int64)
+                    tables, best = 2 * shared.value.tables(np.frombuffer(vecs).reshape(len(ids), -1)), Best(len(ids), shortlist)
+                rows, norm = np.frombuffer(rows, np.int64), np.frombuffer(norm)
+                codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(rows), -1).T).astype(np.intp)
+                for at in range(0, len(ids), 32):
+                    part = slice(at, min(at + 32, len(ids)))
                     score = np.repeat(norm[None, :], part.stop - at, 0)
-                    for m in range(codes.shape[1]):
-                        score -= 2 * tables[m, part][:, codes[:, m]]
-                    short = np.argpartition(score, take - 1, axis=1)[:, :take] if take < n else np.tile(np.arange(n), (len(score), 1))
-                    for q in range(at, part.stop):
-                        near = short[q - at]
-                        near = near[own[near] != ids[q]]
-                        away = np.sqrt(((x[near] - vectors[q]) ** 2).sum(1))
-                        if len(near) > k:
-                            pick = away <= np.partition(away, k - 1)[k - 1]
-                            near, away = near[pick], away[pick]
-                        pick = away <= best.bound[q]
-                        if pick.any():
-                            best.add(np.full(int(pick.sum()), q), own[near[pick]], away[pick])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[best.query]), pa.array(best.id), pa.array(best.cost)], ["query_id", "vec_id", "score"])
-
-        return index.table.mapInArrow(scan, "query_id long, vec_id long, score double")
-
-    parts = [block(*b) for b in query_blocks(queries, "vec")]
-    if not parts:
-        return index.table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ranked(reduce(DataFrame.union, parts), k, "score", ascending=True)
-
-
-def nearest(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+                    for m, code in enumerate(codes):
+                        score -= tables[m, part].take(code, axis=1)
+                    score[ids[part, None] == rows[None, :]] = np.inf
+                    limit = best.bound[part]
+                    if len(rows) > shortlist:
+                        limit = np.minimum(limit, np.partition(score, shortlist - 1, axis=1)[:, shortlist - 1])
+                    row, col = np.nonzero((score <= limit[:, None]) & (score < np.inf))
+                    if len(row):
+                        best.add(row + at, rows[col], score[row, col])
+        if best is not None:
+            yield out()
+
+    found = joined.select("query_block", "ids", "vecs", "vec_id", "codes", "norm").mapInArrow(scan, "query_id long, vec_id long, score double")
+    return ranked(found, shortlist, "score", ascending=True).select("query_id", "vec_id").distinct()
+
+
+def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 200) -> DataFrame:
+    """queries (vec_id, vec) -> query_id, rank, vec_id, score (Euclidean distance)."""
+    single = materialize(single_queries(queries), "ann-single")
+    # narrow rows are joined to the vectors of either side; an id of several rows brings all of them
+    short = _shortlists(index, single, max(shortlist, k)).join(index.vectors, "vec_id")
+    pairs = short.join(single.toDF("query_id", "query"), "query_id").select("query_id", "vec_id", "query", "vec")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                away = np.sqrt(((matrix(batch.column(3)) - matrix(batch.column(2))) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(away)], ["query_id", "vec_id", "score"])
+
+    return ranked(pairs.mapInArrow(measure, "query_id long, vec_id long, score double"), k, "score", ascending=True)
+
+
+def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, shortlist: int = 200) -> DataFrame:
     """The k nearest of each row whose id is divisible by ``every``, among all other rows."""
     index = build_index(embeddings, copies=k + 1)
     if index is None:
-        return embeddings.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return embeddings.sparkSession.createDataFrame([], RESULT)
     queries = valid_vectors(embeddings).filter(F.exists("vec", lambda x: x != 0) & (F.col("vec_id") % every == 0))
-    return search(index, queries, k)
+    return search(index, queries, k, shortlist)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cadenza.llm import additive_ann, topk
@@ -23,13 +24,49 @@ def valid(rows, zero):
 
 
 def test_top_k_is_exact(spark, odd):
-    rows = [(i, np.floor(256 * v).astype(int)) for i, v in valid(odd, True)]
+    rows = [(i, np.floor(256 * v).astype(int)) for i, v in valid(odd + [(7, odd[7][1], 0), (7, odd[7][1], 0)], True)]
     want = []
     for q, v in dict(rows).items():
         if q % 50 == 0:
-            near = sorted({(-int(v @ w), i) for i, w in rows if i != q})[:5]
+            near = sorted((-int(v @ w), i) for i, w in rows if i != q)[:5]
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
-    assert sorted(map(tuple, topk.top_k(table(spark, odd)).collect())) == sorted(want)
+    assert sorted(map(tuple, topk.top_k(table(spark, odd + [(7, odd[7][1], 0), (7, odd[7][1], 0)])).collect())) == sorted(want)
+
+
+def test_repeated_rows_take_ranks_of_their_own(spark):
+    rows = table(spark, [(0, [1.0, 0.5], 0)] + [(3, [2.0, 1.0], 0)] * 3 + [(4, [1.0, 1.0], 0), (5, [-1.0, 1.0], 0)])
+    assert [r.vec_id for r in sorted(topk.top_k(rows, k=4).collect(), key=lambda r: r["rank"])] == [3, 3, 3, 4]
+    assert [r.vec_id for r in sorted(additive_ann.nearest(rows, k=4).collect(), key=lambda r: r["rank"])] == [4, 3, 3, 3]
+
+
+def clustered(n, dims, centres, seed):
+    draw = np.random.default_rng(seed)
+    return (draw.normal(size=(centres, dims))[draw.integers(0, centres, n)] + 0.35 * draw.normal(size=(n, dims))).astype("f4")
+
+
+def frame(spark, x, parts):
+    flat = pa.array(x.reshape(-1), pa.float32())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), flat)
+    return spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(x))), "embedding": lists})).repartition(parts)
+
+
+def test_bounds_hold_and_most_pairs_are_not_scored(spark):
+    """On 30,000 clustered vectors the triangle inequality leaves less than half of the pairs, and nothing is lost."""
+    x = clustered(30_000, 16, 10, 3)
+    whole = np.floor(256 * x.astype(float))
+    index = topk.PivotIndex(frame(spark, x, 4), copies=6)
+    queries = topk.quantised(frame(spark, x, 4)).filter("vec_id % 50 = 0")
+    got: dict = {}
+    for r in index.search(queries, 5).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    own = np.arange(0, 30_000, 50)
+    products = whole[own] @ whole.T
+    products[np.arange(len(own)), own] = -np.inf
+    for q, row in zip(own.tolist(), products, strict=True):
+        near = np.lexsort((np.arange(len(row)), -row))[:5]
+        assert [got[q][k] for k in range(1, 6)] == [(int(i), int(row[i])) for i in near]
+    share = index.scored.value / (len(own) * len(x))
+    assert 0 < share < 0.5, share
 
 
 def test_top_k_beyond_doubles(spark):
@@ -51,7 +88,7 @@ def brute_nearest(rows, every, k):
     out = {}
     for q, v in dict(rows).items():
         if q % every == 0:
-            out[q] = sorted({(float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows if i != q})[:k]
+            out[q] = sorted((float(np.sqrt(((v - w) ** 2).sum())), i) for i, w in rows if i != q)[:k]
     return out
 
 
@@ -65,20 +102,24 @@ def test_nearest_on_odd_rows(spark, odd):
     assert {r.query_id for r in got} == set(want)
 
 
-def test_recall(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
-    rows = [(r.vec_id, np.array(r.embedding, float)) for r in df.collect()]
-    ids, x = np.array([i for i, _ in rows]), np.stack([v for _, v in rows])
-    got: dict = {}
-    for r in additive_ann.nearest(df.coalesce(1)).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    hits = total = 0
-    for q in ids[ids % 100 == 0]:
-        away = np.sqrt(((x - x[ids == q]) ** 2).sum(1))
-        away[ids == q] = np.inf
-        near = ids[np.lexsort((ids, away))[:10]]
-        hits, total = hits + len(got[q] & set(near.tolist())), total + 10
-    assert hits / total >= 0.95
+@pytest.mark.parametrize("shape", ["noise", "clusters"])
+def test_recall_whatever_the_partitions(spark, shape):
+    """20,000 vectors in 1, 8 and 211 partitions: recall of 10 against brute force, and one result for all layouts."""
+    x = clustered(20_000, 64, 10, 5) if shape == "clusters" else np.random.default_rng(6).normal(size=(20_000, 64)).astype("f4")
+    wide, queries = x.astype(float), np.arange(0, 20_000, 100)
+    truth = {}
+    for q in queries.tolist():
+        away = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        away[q] = np.inf
+        truth[q] = set(np.argsort(away)[:10].tolist())
+    results = []
+    for parts in (1, 8, 211):
+        got: dict = {}
+        for r in additive_ann.nearest(frame(spark, x, parts)).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        results.append(got)
+        assert sum(len(got[q] & truth[q]) for q in truth) / (10 * len(truth)) >= 0.95
+    assert results[0] == results[1] == results[2]
 
 
 def test_beam_search_improves_and_norms_are_those_of_the_sums():
