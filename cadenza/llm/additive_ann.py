@@ -29,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.vectors import QUERY_BLOCK, Best, first_copies, matrix, packed, ranked, single_queries, valid_vectors
+from cadenza.llm.vectors import Best, first_copies, matrix, packed, ranked, single_queries, valid_vectors
 from cadenza.session import materialize
 
 RESULT = "query_id long, rank int, vec_id long, score double"
-#: Rows of a block of codes, and how many such blocks a lane of the search holds.
-BLOCK, LANE = 4096, 64
+#: Rows of a block of codes, and rows of a lane: a query keeps a shortlist of each lane.
+BLOCK, LANE = 4096, 1 << 20
+#: Queries of a block.
+QUERIES = 64
 
 
 @dataclass
@@ -119,15 +121,19 @@ def build_index(embeddings: DataFrame, copies: int, books: int = 32, size: int =
 def _shortlists(index: Index, queries: DataFrame, shortlist: int) -> DataFrame:
     """queries (vec_id, vec) -> query_id, vec_id: of all rows the best by their codes.
 
-    Blocks of queries meet all blocks of codes, lane by lane; a task keeps the best of a
-    query block over the codes of a lane.
+    Codes lie in lanes, query blocks in rows of a grid; a cell of the grid is a join key and
+    keeps the best of a query block over a whole lane. Rows of the grid are as many as it
+    takes to employ the session's shuffle partitions.
     """
     spark = index.codes.sparkSession
-    blocks = packed(queries, ["vec_id", "vec"], QUERY_BLOCK).toDF("query_block", "queries", "ids", "vecs")
-    many = index.codes.count()
-    lanes = max(-(-many // LANE), min(many, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    spread = materialize(blocks, "ann-queries").withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    joined = spread.join(index.codes.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")), "lane")
+    blocks = materialize(packed(queries, ["vec_id", "vec"], QUERIES).toDF("query_block", "queries", "ids", "vecs"), "ann-queries")
+    size = int(index.codes.agg(F.sum("n")).first()[0])
+    lanes = -(-size // LANE)
+    rows = max(1, min(blocks.count(), int(spark.conf.get("spark.sql.shuffle.partitions")) // lanes))
+    part = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    spread = blocks.withColumns({"row": part("query_block", rows), "lane": every(lanes)})
+    joined = spread.join(index.codes.withColumns({"row": every(rows), "lane": part("block", lanes)}), ["row", "lane"])
     shared = spark.sparkContext.broadcast(index.books)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
