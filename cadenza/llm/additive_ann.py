@@ -133,7 +133,8 @@ def _shortlists(index: Index, queries: DataFrame, shortlist: int) -> DataFrame:
     part = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
     spread = blocks.withColumns({"row": part("query_block", rows), "lane": every(lanes)})
-    joined = spread.join(index.codes.withColumns({"row": every(rows), "lane": part("block", lanes)}), ["row", "lane"])
+    # a merge join gives each query block all codes of its lane in a row
+    joined = spread.hint("merge").join(index.codes.withColumns({"row": every(rows), "lane": part("block", lanes)}), ["row", "lane"])
     shared = spark.sparkContext.broadcast(index.books)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
