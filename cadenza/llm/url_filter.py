@@ -2,16 +2,22 @@
 
 Host labels such as ``cheappills`` are split into words by a unigram Viterbi search
 over a word list counted from the pages' own text; host and path words are then scored
-by multinomial naive Bayes with the classes block and allow. The classifier learns from
-all urls, labelled by seed words: a url with a seed word among its host words is an
-example for block, any other for allow.
+by multinomial naive Bayes with the classes block and allow.
+
+Labels come from a short list of seed words (``SEEDS``), at a distance: a url with a seed
+among its host words is an example for block, any other for allow, but the seeds
+themselves are taken out of the examples they label, so the classifier learns what else
+such urls look like (other host words, domains, path words). What a seed weighs comes
+from the list alone: each is one more short text of the class block. So a url without any
+seed is blocked if its words keep bad company, and a seed in good company may pass.
 
 Both models are whole count tables over all pages and stay in the shared folder: the
 substrings of the distinct hosts are joined to the words' counts, the tokens of distinct
 hosts and paths to the tokens' counts. The driver gets their sums and the seeds' counts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; it has no
-words and the class with the larger prior; equal scores mean allow; the longest fitting
+words and the class with the larger prior; a run of more than 63 letters, longer than a
+host label may be, is one word; equal scores mean allow; the longest fitting
 rule wins (host and path together), then the longer host, then the smaller string; a
 null html has no words; an empty table gives an empty table; extra columns are ignored
 except for page_id and url.
@@ -32,9 +38,10 @@ from pyspark.sql import functions as F
 from cadenza.session import materialize, small_side
 
 BLOCK, ALLOW = "block", "allow"
-#: Words whose presence in a host labels an example for block.
+#: Words whose presence in a host labels an example for block, and which are themselves texts of that class.
 SEEDS = ("adult", "ads", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "xxx")
-LONGEST_WORD = 20
+# Fixed value: letters of a host label at most.
+LABEL = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a task's counter before they go on to the shuffle.
 _HELD = 200_000
@@ -79,7 +86,6 @@ class Segmenter:
     def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
         self.counts = counts
         self.log_total = math.log(max(1, sum(counts.values()) if total is None else total))
-        self.longest = max(map(len, counts), default=1)
         self.split = lru_cache(100_000)(self._split)
 
     def _cost(self, word: str) -> float:
@@ -88,10 +94,12 @@ class Segmenter:
         return self.log_total - math.log(n) if n else self.log_total + math.log(10) * len(word)
 
     def _split(self, run: str) -> tuple[str, ...]:
+        if len(run) > LABEL:
+            return (run,)
         best = [0.0] + [math.inf] * len(run)
         back = [0] * (len(run) + 1)
         for end in range(1, len(run) + 1):
-            for begin in range(max(0, end - max(self.longest, LONGEST_WORD)), end):
+            for begin in range(end):
                 cost = best[begin] + self._cost(run[begin:end])
                 if cost < best[end]:
                     best[end], back[end] = cost, begin
@@ -184,12 +192,12 @@ def _parts(rows: DataFrame, parts, name: str) -> DataFrame:
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """Counts of all words of all pages' text, tags left out: word, n."""
+    """Counts of all words of all pages' text, tags left out: word, n. Words that no host label can hold share the entry ''."""
     tag, word = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I), re.compile(r"[^\W\d_]+")
 
     def step(held: Counter, html: str | None) -> None:
         if html:
-            held.update((w,) for w in word.findall(tag.sub(" ", html).lower()) if len(w) <= LONGEST_WORD)
+            held.update((w if len(w) <= LABEL else "",) for w in word.findall(tag.sub(" ", html).lower()))
 
     return materialize(_counted(pages.select("html"), step, 1).withColumnRenamed("k0", "word"), "page-words")
 
@@ -200,13 +208,13 @@ def segment(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS)
     Seed words count as a tenth of the most frequent word at least. A host's task gets the
     counts of just those words that are substrings of its runs.
     """
-    sums = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    sums = counts.agg(F.max(F.when(F.col("word") != "", F.col("n"))).alias("most"), F.sum("n").alias("total")).first()
     own = {r.word: r.n for r in counts.filter(F.col("word").isin(*seeds)).collect()}
     raised = {w: max((sums.most or 1) // 10, own.get(w, 0), 1) for w in seeds}
     total = (sums.total or 0) + sum(n - own.get(w, 0) for w, n in raised.items())
 
     def pieces(host: str) -> list[str]:
-        return list({run[i:j] for run in runs(host) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST_WORD) + 1)})
+        return list({run[i:j] for run in runs(host) if len(run) <= LABEL for i in range(len(run)) for j in range(i + 1, len(run) + 1)})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,18 +228,23 @@ def segment(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS)
 
 
 def train(urls: DataFrame, seeds: tuple[str, ...] = SEEDS) -> NaiveBayes:
-    """urls (words of the host, path, n equal ones): counts of examples and tokens per class over all rows."""
+    """urls (words of the host, path, n equal ones): counts of examples and tokens per class over all rows.
+
+    Seeds label an example and are left out of it; each seed is a text of its own besides,
+    which adds to the class's tokens but not to the number of examples.
+    """
     known = frozenset(seeds)
 
     def step(held: Counter, words: list[str], path: str, n: int) -> None:
         label = BLOCK if known.intersection(words) else ALLOW
         held[label, ""] += n
-        for token in [*[f"h:{w}" for w in words], *path_tokens(path)]:
+        for token in [*[f"h:{w}" for w in words if w not in known], *path_tokens(path)]:
             held[label, token] += n
 
     counts = _counted(urls.select("words", "path", "n"), step, 2)
+    listed = urls.sparkSession.createDataFrame([(BLOCK, f"h:{w}", 1) for w in seeds], "k0 string, k1 string, n long")
     split = [F.sum(F.when(F.col("k0") == c, F.col("n")).otherwise(0)).alias(c) for c in (BLOCK, ALLOW)]
-    wide = materialize(counts.groupBy(F.col("k1").alias("token")).agg(*split), "url-tokens")
+    wide = materialize(counts.union(listed).groupBy(F.col("k1").alias("token")).agg(*split), "url-tokens")
     docs = wide.filter("token = ''").first()
     return NaiveBayes(wide.filter("token != ''"), {c: docs[c] for c in (BLOCK, ALLOW)} if docs else {})
 

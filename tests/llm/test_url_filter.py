@@ -1,5 +1,6 @@
 import itertools
 import math
+from collections import Counter
 
 from cadenza.llm import catalog, url_filter
 from cadenza.llm.url_filter import ALLOW, BLOCK, Rules, Segmenter
@@ -60,6 +61,50 @@ def test_on_table(spark, sf_dir):
         assert (r.rule, r.verdict if hit else None) == (hit or (None, None))
 
 
+def brute_scores(urls, seeds=url_filter.SEEDS):
+    """urls [(words, path tokens)] -> log odds, by counting in plain Python."""
+    token, docs = {BLOCK: Counter(f"h:{w}" for w in seeds), ALLOW: Counter()}, Counter()
+    for words, path in urls:
+        label = BLOCK if set(words) & set(seeds) else ALLOW
+        docs[label] += 1
+        token[label].update([*[f"h:{w}" for w in words if w not in seeds], *path])
+    size = len({*token[BLOCK], *token[ALLOW]})
+
+    def log_odds(tokens):
+        out = math.log((docs[BLOCK] + 1) / (docs[ALLOW] + 1))
+        for t in tokens:
+            if t in token[BLOCK] or t in token[ALLOW]:
+                out += math.log((token[BLOCK][t] + 1) / (sum(token[BLOCK].values()) + size)) - math.log((token[ALLOW][t] + 1) / (sum(token[ALLOW].values()) + size))
+        return out
+
+    return [log_odds([*[f"h:{w}" for w in words], *path]) for words, path in urls]
+
+
+def test_scores_and_verdicts_against_brute_force(spark, sf_dir):
+    out = url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), []).collect()
+    want = brute_scores([(r.words or [], url_filter.path_tokens(r.path)) for r in out])
+    assert all(math.isclose(r.score, w, rel_tol=1e-9, abs_tol=1e-9) and r.verdict == (BLOCK if w > 0 else ALLOW) for r, w in zip(out, want, strict=True))
+
+
+def test_verdicts_are_not_the_seed_list(spark):
+    """Hosts without a seed are blocked by the company their words keep, and a seed in good company passes."""
+    text = "lucky jackpot win garden house tree news book casino"
+    bad = [(i, f"http://{w}{s}.bad/win/{i}", text) for i, (w, s) in enumerate(itertools.product(("lucky", "jackpot", "win"), ("casino", "poker", "bets")))] * 12
+    good = [(100 + i, f"http://{w}{v}.org/read/{i}", text) for i, (w, v) in enumerate(itertools.product(("garden", "house", "tree", "news", "book"), repeat=2))] * 40
+    new = [(1000, "http://luckyjackpot.bad/win/1", text), (1001, "http://gardentreehousenewsbookcasino.org/read/1", text), (1002, "http://housebook.org/read/5", text)]
+    out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(bad + good + new, "page_id long, url string, html string"), []).collect()}
+    assert out[1000].words == ["lucky", "jackpot", "bad"] and out[1000].verdict == BLOCK
+    assert "casino" in out[1001].words and out[1001].verdict == ALLOW
+    assert out[1002].verdict == ALLOW and all(out[i].verdict == BLOCK for i, _, _ in bad) and all(out[i].verdict == ALLOW for i, _, _ in good)
+
+
+def test_long_words_and_runs(spark):
+    word, run = "donau" * 6, "ab" * 40
+    rows = [(0, f"http://my{word}garden.org/", f"<p>my {word} garden {'x' * 5000}</p>"), (1, f"http://{run}.org/", run), (2, "http://" + "y" * 30_000 + ".org/", "")]
+    out = {r.page_id: r.words for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    assert out[0] == ["my", word, "garden", "org"] and out[1] == [run, "org"] and out[2][0] == "y" * 30_000
+
+
 def test_rare_words_count(spark):
     """More than 50,000 more frequent words and tokens leave the rare ones in the models."""
     letters = "abcdefghijklmnop"
@@ -68,10 +113,7 @@ def test_rare_words_count(spark):
     out = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
     assert out[2].words == ["zebra", "quilt", "org"] and out[1].words == ["quilt", "pills", "org"]
     assert out[0].words == ["plain", "org"]
-    block, allow = {"quilt": 2, "pills": 2, "org": 2, "p:x": 1}, {"plain": 1, "org": 2, "zebra": 1, "quilt": 1, "p:x": 1}
-    size = len({*block, *allow}) + len(many)
-    mass = math.log((sum(block.values()) + size) / (sum(allow.values()) + 2 * len(many) + size))
-    for page, tokens in ((1, ("quilt", "pills", "org")), (2, ("zebra", "quilt", "org", "p:x")), (3, ("quilt", "pills", "org", "p:x"))):
-        want = sum(math.log((block.get(t, 0) + 1) / (allow.get(t, 0) + 1)) - mass for t in tokens)  # both classes have two examples
+    urls = [(out[i].words, url_filter.path_tokens(out[i].path)) for i in range(4)]
+    for page, want in enumerate(brute_scores(urls)):
         assert math.isclose(out[page].score, want, rel_tol=1e-9)
     assert [out[i].verdict for i in (1, 2, 3)] == [BLOCK, BLOCK, BLOCK] and out[0].verdict == ALLOW
