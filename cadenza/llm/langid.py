@@ -11,7 +11,9 @@ Defined cases: a null text, or one without any letter, is ``und`` with score 0;
 distances go to the smaller language code, equal counts to the smaller n-gram; rows
 with a null language are not learnt from; a null doc_id counts as training text (its
 checksum is that of the empty string); without training text all is ``und``; extra
-columns pass through. Whole texts are counted, however long.
+columns pass through, but for columns named held_out, lang_pred or score, which the
+results replace. Whole texts are counted, however long; every task holds the profiles,
+``top`` n-grams a language.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from pyspark.sql import functions as F
 from cadenza.llm.packing import by_bytes
 
 UNDETERMINED = "und"
-#: Profiles are held by every task: top n-grams for each of at most so many languages.
-MAX_LANGUAGES = 10_000
 #: Past the last assigned block of letters.
 _CODES = 0x32400
 _BLANK = 1
@@ -102,31 +102,36 @@ def language_profiles(training: DataFrame, top: int = 300) -> DataFrame:
 
     counts = training.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < top).select("lang", "gram", "rank")
+    first = counts.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= top)  # plain, so that it also cuts before the shuffle
+    return first.select("lang", "gram", (F.col("__nth") - 1).alias("rank"))
 
 
 class Profiles:
-    """Ranks of all profile n-grams, a column per language."""
+    """The profiles by n-gram: which languages have it, and at what rank."""
 
     def __init__(self, table: pd.DataFrame, top: int) -> None:
         self.top = top
         self.langs = sorted(table["lang"].unique())
-        if len(self.langs) > MAX_LANGUAGES:
-            raise ValueError(f"{len(self.langs)} languages; profiles are held for {MAX_LANGUAGES} at most")
-        self.grams = np.unique(table["gram"].to_numpy(np.uint64))
-        self.ranks = np.full((len(self.grams) + 1, len(self.langs)), -1, np.int32)
-        column = np.searchsorted(np.array(self.langs, dtype=object), table["lang"].to_numpy()) if self.langs else np.zeros(0, int)
-        self.ranks[np.searchsorted(self.grams, table["gram"].to_numpy(np.uint64)), column] = table["rank"].to_numpy()
+        table = table.sort_values(["gram", "lang"])
+        grams = table["gram"].to_numpy().astype(np.int64)
+        self.grams, starts = np.unique(grams, return_index=True)
+        self.starts = np.append(starts, len(grams))
+        self.lang = np.searchsorted(np.array(self.langs, dtype=object), table["lang"].to_numpy()) if self.langs else np.zeros(0, int)
+        self.rank = table["rank"].to_numpy().astype(np.int64)
 
     def predict(self, codes: np.ndarray) -> tuple[str, float]:
         if not len(codes) or not self.langs:
             return UNDETERMINED, 0.0
-        grams, n = np.unique(codes, return_counts=True)
+        grams, n = np.unique(codes.astype(np.int64), return_counts=True)
         own = grams[np.argsort(-n, kind="stable")[: self.top]]
-        at = np.searchsorted(self.grams, own)
-        at[self.grams[np.minimum(at, len(self.grams) - 1)] != own] = len(self.grams)
-        ranks = self.ranks[at]
-        away = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(own), dtype=np.int32)[:, None])).sum(axis=0)
+        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+        rank = np.flatnonzero(self.grams[at] == own)
+        at = at[rank]
+        each = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(each.sum()) + np.repeat(self.starts[at] - np.cumsum(each) + each, each)
+        # an n-gram that a profile lacks is ``top`` places away: count what the others gain on that
+        gain = self.top - np.abs(self.rank[entry] - np.repeat(rank, each))
+        away = self.top * len(own) - np.bincount(self.lang[entry], gain, len(self.langs))
         best = int(np.argmin(away))
         return self.langs[best], 1.0 - float(away[best]) / (self.top * len(own))
 

@@ -3,13 +3,16 @@
 A text is split into sentences; each is normalised (A-Z lower-cased, every run of other
 characters than a-z and 0-9 one blank) and looked up among known licence sentences. A
 sentence that is unknown as a whole is looked up line by line, since headings often
-lack a full stop. The identifiers found, in the text's order, form a sequence; licence
-rules are tried in their order, each takes all its occurrences out of the sequence.
+lack a full stop. Lines of comment marks alone count as empty, and marks at a line's
+start vanish with the other punctuation. The identifiers found, in the text's order, form
+a sequence; licence rules are tried in their order, each takes all its occurrences out of
+the sequence, where a gap stays: what stood on its two sides never becomes neighbours.
 
 Defined cases: a null or empty text has no sentence and no licence; a licence is named
 once, however often it occurs; what no rule takes is left in ``unmatched``; repeated
 rows, null ids and extra columns pass through unchanged (working columns carry the
-prefix ``__lic_``); an empty table gives an empty table. Texts of any length are read
+prefix ``__lic_``), but for columns named sentence_ids, licenses or unmatched, which the
+results replace; an empty table gives an empty table. Texts of any length are read
 whole.
 """
 
@@ -26,59 +29,178 @@ SENTENCES: list[tuple[str, str]] = [
     ("ApacheGrant", 'Licensed under the Apache License, Version 2.0 (the "License")'),
     ("ApacheUse", "you may not use this file except in compliance with the License"),
     ("ApacheCopy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheCopyAt", "You may obtain a copy of the License at"),
+    ("ApacheUrl", "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("ApacheUrl", "https://www.apache.org/licenses/LICENSE-2.0"),
     ("ApacheAsIs", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
     ("ApacheSee", "See the License for the specific language governing permissions and limitations under the License"),
     ("MITShort", "Released under the MIT License"),
     ("MITShort", "Licensed under the MIT License"),
     ("MITPermission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("MIT0Permission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
     ("MITNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("MITWarranty", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
     ("MITLiability", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
+    ("X11Name", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium"),
+    ("NCSAPermission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("NCSASource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers"),
+    ("NCSABinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution"),
+    ("ISCPermission", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ISCPermission", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ZeroPermission", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISCWarranty", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS'),
+    ("ISCLiability", "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"),
     ("GPL3Short", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL2Short", "This work is licensed under the GNU General Public License, version 2"),
+    ("FreeSoftware", "This program is free software"),
+    ("FreeLibrary", "This library is free software"),
     ("GPL3Later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("GPL3Terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License"),
     ("GPL2Later", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version"),
+    ("GPLTerms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("GPLTerms2", "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
+    ("EitherV2", "either version 2 of the License, or (at your option) any later version"),
+    ("EitherV21", "either version 2.1 of the License, or (at your option) any later version"),
+    ("EitherV3", "either version 3 of the License, or (at your option) any later version"),
     ("GPLHope", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
+    ("LibraryHope", "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"),
     ("GPLImplied", "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
     ("GPLSee", "See the GNU General Public License for more details"),
     ("GPLCopy", "You should have received a copy of the GNU General Public License along with this program"),
+    ("LGPLTerms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("LGPL3Later", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("LGPLSee", "See the GNU Lesser General Public License for more details"),
+    ("LGPLCopy", "You should have received a copy of the GNU Lesser General Public License along with this library"),
+    ("AGPL3Later", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("AGPL3Terms", "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License"),
+    ("AGPLSee", "See the GNU Affero General Public License for more details"),
+    ("AGPLCopy", "You should have received a copy of the GNU Affero General Public License along with this program"),
+    ("GFDL13", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3 or any later version published by the Free Software Foundation"),
+    ("GFDLSections", "with no Invariant Sections, no Front-Cover Texts, and no Back-Cover Texts"),
+    ("GFDLCopy", 'A copy of the license is included in the section entitled "GNU Free Documentation License"'),
     ("BSDGrant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSDSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSDBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("BSDAdvertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
     ("BSDEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSDWarranty", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
+    ("BSDWarranty", "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("ZlibAsIs", "This software is provided 'as-is', without any express or implied warranty"),
+    ("ZlibLiability", "In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("ZlibPermission", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("ZlibOrigin", "The origin of this software must not be misrepresented"),
+    ("ZlibClaim", "you must not claim that you wrote the original software"),
+    ("ZlibAltered", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("ZlibNotice", "This notice may not be removed or altered from any source distribution"),
+    ("BSLPermission", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'),
+    ("BSLShort", "Distributed under the Boost Software License, Version 1.0"),
+    ("UnlicenseFree", "This is free and unencumbered software released into the public domain"),
+    ("UnlicenseAnyone", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means"),
+    ("WTFPLWarranty", "It comes without any warranty, to the extent permitted by applicable law"),
+    ("WTFPLRedistribute", "You can redistribute it and/or modify it under the terms of the Do What The Fuck You Want To Public License, Version 2, as published by Sam Hocevar"),
+    ("MPL2", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    ("MPL11", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")'),
+    ("MPLUrl", "You may obtain a copy of the License at http://www.mozilla.org/MPL/"),
+    ("EPL1Terms", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL2Terms", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL2Terms", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-v20.html"),
+    ("CDDL1Terms", 'The contents of this file are subject to the terms of the Common Development and Distribution License (the "License")'),
+    ("EUPL12", "Licensed under the EUPL, Version 1.2 or - as soon they will be approved by the European Commission - subsequent versions of the EUPL (the \"Licence\")"),
+    ("EUPL12Short", "Licensed under the EUPL-1.2"),
+    ("EUPL12Short", "Licensed under the EUPL, Version 1.2"),
+    ("PostgreSQLPermission", "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted, provided that the above copyright notice and this paragraph and the following two paragraphs appear in all copies"),
+    ("ArtisticTerms2", "you can redistribute it and/or modify it under the terms of the Artistic License 2.0"),
     ("CCBY4", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CCBY4", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
     ("CCBY4", "Licensed under CC BY 4.0"),
+    ("CCBYSA4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("CCBYSA4", "Licensed under CC BY-SA 4.0"),
+    ("CCBYSA3", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License"),
+    ("CCBYSA3", "Licensed under CC BY-SA 3.0"),
+    ("CCBYNC4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CCBYNC4", "Licensed under CC BY-NC 4.0"),
+    ("CCBYND4", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("CCBYND4", "Licensed under CC BY-ND 4.0"),
+    ("CCBYNCSA4", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("CCBYNCSA4", "Licensed under CC BY-NC-SA 4.0"),
+    ("CCBYNCND4", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("CCBYNCND4", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0", "This work is dedicated to the public domain under the CC0 1.0 Universal license"),
-    ("MPL2", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
 ]
 #: Ordered rules: a licence and the sequence of identifiers that states it. Longer statements come first.
 RULES: list[tuple[str, list[str]]] = [
+    ("Apache-2.0", ["ApacheGrant", "ApacheUse", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheUse"]),
     ("Apache-2.0", ["ApacheShort"]),
+    ("X11", ["MITPermission", "MITNotice", "MITWarranty", "MITLiability", "X11Name"]),
     ("MIT", ["MITPermission", "MITNotice", "MITWarranty", "MITLiability"]),
     ("MIT", ["MITPermission", "MITNotice", "MITWarranty"]),
+    ("MIT-0", ["MIT0Permission", "MITWarranty", "MITLiability"]),
     ("MIT", ["MITShort"]),
+    ("NCSA", ["NCSAPermission", "NCSASource", "NCSABinary"]),
+    ("ISC", ["ISCPermission", "ISCWarranty", "ISCLiability"]),
+    ("ISC", ["ISCPermission"]),
+    ("0BSD", ["ZeroPermission", "ISCWarranty", "ISCLiability"]),
+    ("GPL-3.0-or-later", ["FreeSoftware", "GPL3Later", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
     ("GPL-3.0-or-later", ["GPL3Later", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
+    ("GPL-3.0-or-later", ["FreeSoftware", "GPLTerms", "EitherV3", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
     ("GPL-3.0-or-later", ["GPL3Later"]),
+    ("GPL-3.0-only", ["GPL3Terms", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
+    ("GPL-3.0-only", ["GPL3Terms"]),
+    ("GPL-2.0-or-later", ["FreeSoftware", "GPLTerms", "EitherV2", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
+    ("GPL-2.0-or-later", ["FreeSoftware", "GPL2Later", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
     ("GPL-2.0-or-later", ["GPL2Later", "GPLHope", "GPLImplied", "GPLSee", "GPLCopy"]),
+    ("GPL-2.0-or-later", ["GPLTerms", "EitherV2"]),
     ("GPL-2.0-or-later", ["GPL2Later"]),
+    ("GPL-2.0-only", ["FreeSoftware", "GPLTerms2"]),
+    ("GPL-2.0-only", ["GPLTerms2"]),
     ("GPL-3.0-only", ["GPL3Short"]),
     ("GPL-2.0-only", ["GPL2Short"]),
+    ("LGPL-2.1-or-later", ["FreeLibrary", "LGPLTerms", "EitherV21", "LibraryHope", "GPLImplied", "LGPLSee", "LGPLCopy"]),
+    ("LGPL-2.1-or-later", ["LGPLTerms", "EitherV21"]),
+    ("LGPL-3.0-or-later", ["LGPLTerms", "EitherV3"]),
+    ("LGPL-3.0-or-later", ["LGPL3Later"]),
+    ("AGPL-3.0-or-later", ["FreeSoftware", "AGPL3Later", "GPLHope", "GPLImplied", "AGPLSee", "AGPLCopy"]),
+    ("AGPL-3.0-or-later", ["AGPL3Later"]),
+    ("AGPL-3.0-only", ["AGPL3Terms"]),
+    ("GFDL-1.3-or-later", ["GFDL13", "GFDLSections", "GFDLCopy"]),
+    ("GFDL-1.3-or-later", ["GFDL13"]),
+    ("BSD-4-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDAdvertising", "BSDEndorse", "BSDWarranty"]),
     ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse", "BSDWarranty"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDWarranty"]),
+    ("BSD-1-Clause", ["BSDGrant", "BSDSource", "BSDWarranty"]),
+    ("Zlib", ["ZlibAsIs", "ZlibLiability", "ZlibPermission", "ZlibOrigin", "ZlibClaim", "ZlibAltered", "ZlibNotice"]),
+    ("BSL-1.0", ["BSLPermission"]),
+    ("BSL-1.0", ["BSLShort"]),
+    ("Unlicense", ["UnlicenseFree", "UnlicenseAnyone"]),
+    ("Unlicense", ["UnlicenseFree"]),
+    ("WTFPL", ["FreeSoftware", "WTFPLWarranty", "WTFPLRedistribute"]),
+    ("WTFPL", ["WTFPLRedistribute"]),
+    ("MPL-2.0", ["MPL2"]),
+    ("MPL-1.1", ["MPL11", "ApacheUse", "MPLUrl"]),
+    ("MPL-1.1", ["MPL11"]),
+    ("EPL-1.0", ["EPL1Terms"]),
+    ("EPL-2.0", ["EPL2Terms"]),
+    ("CDDL-1.0", ["CDDL1Terms"]),
+    ("EUPL-1.2", ["EUPL12"]),
+    ("EUPL-1.2", ["EUPL12Short"]),
+    ("PostgreSQL", ["PostgreSQLPermission"]),
+    ("Artistic-2.0", ["FreeSoftware", "ArtisticTerms2"]),
     ("CC-BY-4.0", ["CCBY4"]),
     ("CC-BY-SA-4.0", ["CCBYSA4"]),
+    ("CC-BY-SA-3.0", ["CCBYSA3"]),
     ("CC-BY-NC-4.0", ["CCBYNC4"]),
+    ("CC-BY-ND-4.0", ["CCBYND4"]),
+    ("CC-BY-NC-SA-4.0", ["CCBYNCSA4"]),
+    ("CC-BY-NC-ND-4.0", ["CCBYNCND4"]),
     ("CC0-1.0", ["CC0"]),
-    ("MPL-2.0", ["MPL2"]),
 ]
 #: Every known sentence holds one of these, so a text without them needs no splitting.
-HINTS = ("licen", "copyright", "warrant", "redistribut", "permi")
-SENTENCE_END = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D]*\n"
+HINTS = ("licen", "copyright", "warrant", "redistribut", "permi", "software", "source", "eupl", "invariant")
+#: A full stop and the like, or an empty line; a line of comment marks alone is empty.
+SENTENCE_END = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D#*/%-]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -103,6 +225,10 @@ def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES) ->
     return F.when(text.rlike("(?i)" + "|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
 
 
+#: Stands where a rule took its identifiers.
+GAP = "|"
+
+
 def _tag(identifiers: list[str]) -> str:
     return "".join(f"<{i}>" for i in identifiers)
 
@@ -116,11 +242,11 @@ def match_rules(identifiers: Column, rules: list[tuple[str, list[str]]] = RULES)
     def step(held: Column, rule: Column) -> Column:
         hit = F.contains(held["rest"], rule["tag"])
         return F.struct(
-            F.replace(held["rest"], rule["tag"], F.lit("")).alias("rest"),
+            F.replace(held["rest"], rule["tag"], F.lit(GAP)).alias("rest"),
             F.when(hit, F.array_union(held["found"], F.array(rule["name"]))).otherwise(held["found"]).alias("found"),
         )
 
-    return F.aggregate(ordered, start, step)
+    return F.aggregate(ordered, start, step, lambda held: F.struct(F.replace(held["rest"], F.lit(GAP), F.lit("")).alias("rest"), held["found"].alias("found")))
 
 
 def scan(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
@@ -139,7 +265,7 @@ def scan_sql() -> str:
     for k, (name, ids) in enumerate(RULES, 1):
         tag = quoted(_tag(ids))
         named = f"CASE WHEN contains(rest, {tag}) AND NOT list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END"
-        steps.append(f"r{k} AS (SELECT rn, doc_id, n, {named} AS found, replace(rest, {tag}, '') AS rest FROM {last})")
+        steps.append(f"r{k} AS (SELECT rn, doc_id, n, {named} AS found, replace(rest, {tag}, '{GAP}') AS rest FROM {last})")
         last = f"r{k}"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
@@ -151,5 +277,5 @@ f AS (SELECT rn, i, 0 AS j, whole AS id FROM w WHERE whole IS NOT NULL UNION ALL
 a AS (SELECT rn, count(*) AS n, string_agg('<' || id || '>', '' ORDER BY i, j) AS rest FROM f GROUP BY rn),
 r0 AS (SELECT d.rn, d.doc_id, coalesce(n, 0)::BIGINT AS n, []::VARCHAR[] AS found, coalesce(rest, '') AS rest FROM d LEFT JOIN a ON a.rn = d.rn),
 {", ".join(steps)}
-SELECT doc_id, n AS n_sentences, array_to_string(found, ',') AS licenses, rest AS unmatched FROM {last}
+SELECT doc_id, n AS n_sentences, array_to_string(found, ',') AS licenses, replace(rest, '{GAP}', '') AS unmatched FROM {last}
 """

@@ -4,8 +4,10 @@ A document's tokens are its ids and a closing id. Overlong documents are first c
 into full windows; each window is a sequence of its own. The rests go, longest first,
 to the open sequence with the tightest room that takes them, found in a segment tree
 indexed by remaining capacity. Packing runs on shards of about ``shard_docs``
-documents, dealt by a hash, so that each shard is a bounded task; a shard leaves at
-most a few sequences with room, below 1 % of its tokens.
+documents, dealt by a hash (of every ``ALIKE`` equal rows of a task anew, so that a row
+repeated without end is spread too), so that each shard is a bounded task; a shard leaves
+at most a few sequences with room, below 1 % of its tokens where it holds a hundred
+windows or more.
 
 Only lengths and checksums are shuffled, never texts or ids.
 
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Equal documents of a task that are dealt to one shard, and distinct ones whose number is kept.
+ALIKE, COUNTED = 64, 50_000
 #: Entries of a worker's word cache, about 150 bytes each; it starts anew when full.
 CACHE_WORDS = 650_000
 #: Bytes of text that are tokenised at once.
@@ -155,10 +159,12 @@ def by_bytes(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, i
 
 
 def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2) -> DataFrame:
-    """The pieces of all documents: full windows and a rest of each."""
+    """The pieces of all documents: full windows and a rest of each; deal is another number for every ``ALIKE`` equal documents of a task."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_tokenizer(tokenizer_path)
+        from pyspark import TaskContext
+
+        coder, part, alike = word_tokenizer(tokenizer_path), TaskContext.get().partitionId() + 1, {}
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1)
             for a, b in by_bytes(texts):
@@ -169,11 +175,17 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_
                     own = np.append(ids[begin:end], np.uint32(end_id)).astype("<u4")
                     begin = end
                     n = len(own)
-                    out += [(doc_id, s, min(window, n - s), zlib.crc32(own[s : s + window].tobytes()), n) for s in range(0, n, window)]
+                    sums = [zlib.crc32(own[s : s + window].tobytes()) for s in range(0, n, window)]
+                    if len(alike) > COUNTED:
+                        alike.clear()
+                    key = doc_id, n, sums[0]
+                    seen = alike[key] = alike.get(key, -1) + 1
+                    deal = seen // ALIKE and part << 32 | seen // ALIKE
+                    out += [(doc_id, s, min(window, n - s), c, n, deal) for s, c in zip(range(0, n, window), sums, strict=True)]
                 cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES + ", deal long")
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -220,8 +232,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, window: int = 4096, end
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padding."""
     shards = max(1, -(-docs.count() // shard_docs))
     pieces = cut_documents(docs, tokenizer_path, window, end_id)
-    key = F.xxhash64("doc_id", "ids_crc32", "doc_tokens", F.when(F.col("length") == window, F.col("start")))
-    dealt = pieces.withColumn("shard", F.pmod(key, F.lit(shards)))
+    key = F.xxhash64("doc_id", "ids_crc32", "doc_tokens", F.when(F.col("length") == window, F.col("start")), "deal")
+    dealt = pieces.withColumn("shard", F.pmod(key, F.lit(shards))).drop("deal")
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

@@ -12,6 +12,11 @@ complete .warc.zst file.
 
 Records of equal payload share one response: that with the largest page_id; the others
 are revisits that carry no payload. Equality is by SHA-256 and length.
+WARC-Date is a parameter, since pages carry no time of their own.
+
+Each copy of a repeated row has a record identifier of its own; where a payload's largest
+page_id is repeated, its revisits name that page but no single record. Reading checks every
+response's payload against the digest in its header.
 
 Defined cases: a null html is an empty payload; payloads below ``min_bytes`` are always
 responses; a null page_id orders below all others and stays null; repeated rows that
@@ -24,6 +29,7 @@ of its own.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -68,9 +74,9 @@ def _uuid(hexed: str) -> str:
     return f"<urn:uuid:{hexed[:8]}-{hexed[8:12]}-{hexed[12:16]}-{hexed[16:20]}-{hexed[20:32]}>"
 
 
-def _record(row: dict, date: str) -> tuple[str, bytes]:
-    record_id = _uuid(row["record_key"])
-    revisit = row["refers_to"] is not None or row["is_revisit"]
+def _record(row: dict, date: str, place: str) -> tuple[str, bytes]:
+    record_id = _uuid(hashlib.md5(f"{row['record_key']}:{place}".encode()).hexdigest() if row["repeated"] else row["record_key"])
+    revisit = row["is_revisit"]
     block = _HTTP + (b"" if revisit else row["payload"])
     head = [
         "WARC/1.1",
@@ -87,7 +93,9 @@ def _record(row: dict, date: str) -> tuple[str, bytes]:
     if row["page_id"] is not None:
         head.append(f"X-Page-ID: {row['page_id']}")
     if revisit:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_uuid(row['refers_key'])}"]
+        head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if row["refers_key"] is not None:
+            head.append(f"WARC-Refers-To: {_uuid(row['refers_key'])}")
         if row["refers_to"] is not None:
             head.append(f"X-Refers-To-Page: {row['refers_to']}")
     return record_id, "\r\n".join(head).encode() + _END + block + _END
@@ -101,23 +109,28 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0, frame_bytes: int = 256 <
     )
     copies = (
         rows.filter(F.col("payload_bytes") >= min_bytes)
+        .groupBy("same", "payload_bytes", "page_id")
+        .agg(F.count("*").alias("c"))
         .groupBy("same", "payload_bytes")
-        .agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+        .agg(F.max("page_id").alias("keeper"), F.sum("c").alias("n"), F.max_by("c", F.struct(F.col("page_id").isNotNull(), "page_id")).alias("keepers"), F.max("c").alias("most"))
         .filter("n > 1")
     )
     copies = small_side(materialize(copies, "warc-copies"))  # payloads that occur once need no entry
     key = lambda page: F.md5(F.concat_ws("|", F.coalesce(page.cast("string"), F.lit("-")), F.hex("same")).cast("binary"))
     revisit = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
+    single = F.col("keepers") == 1
+    # where a page's payload is repeated, the copies' identifiers take the place of writing in
+    repeated = (F.col("most") > 1) & ~(single & F.col("page_id").eqNullSafe(F.col("keeper")))
     known = rows.join(copies, ["same", "payload_bytes"], "left").select(
-        "page_id", "url", "payload_bytes", F.sha1("payload").alias("sha1"), key(F.col("page_id")).alias("record_key"), revisit.alias("is_revisit"),
-        F.when(revisit, key(F.col("keeper"))).alias("refers_key"), F.when(revisit, F.col("keeper")).alias("refers_to"),
+        F.coalesce(repeated, F.lit(False)).alias("repeated"), "page_id", "url", "payload_bytes", F.sha1("payload").alias("sha1"), key(F.col("page_id")).alias("record_key"), revisit.alias("is_revisit"),
+        F.when(revisit & single, key(F.col("keeper"))).alias("refers_key"), F.when(revisit, F.col("keeper")).alias("refers_to"),
         F.when(~revisit, F.col("payload")).alias("payload"),
     )
 
     def bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, written = TaskContext.get().partitionId(), 0, 0
         pack = zstandard.ZstdCompressor(level=3)
         done, sizes, index = bytearray(), [], []
         frame, inside = bytearray(), []
@@ -143,7 +156,8 @@ def write_bundles(pages: DataFrame, min_bytes: int = 0, frame_bytes: int = 256 <
 
         for batch in batches:
             for row in (r for at in range(0, batch.num_rows, 256) for r in batch.slice(at, 256).to_pylist()):
-                record_id, raw = _record(row, date)
+                record_id, raw = _record(row, date, f"{part}:{written}")
+                written += 1
                 if frame and len(frame) + len(raw) > frame_bytes:
                     close_frame()
                     if len(done) >= bundle_bytes:
@@ -172,9 +186,12 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, int]:
     payload = block[block.index(_END) + 4 :]
     number = lambda name: int(head[name]) if name in head else None
     full = head["WARC-Type"] == "response"
+    digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
+    if full and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+        raise ValueError(f"payload of {head['WARC-Record-ID']} doesn't match its digest")
     return {
         "record_id": head["WARC-Record-ID"], "page_id": number("X-Page-ID"), "record_type": head["WARC-Type"], "target_uri": head.get("WARC-Target-URI"),
-        "payload_bytes": len(payload) if full else number("X-Payload-Length"), "payload_digest": head["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "payload_bytes": len(payload) if full else number("X-Payload-Length"), "payload_digest": digest,
         "refers_to": number("X-Refers-To-Page"), "payload": payload if full else None,
     }, split + 4 + int(head["Content-Length"]) + 4
 

@@ -65,3 +65,17 @@ def test_edges_and_columns(spark):
 def test_held_out_accuracy(spark):
     out = langid.identify(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("held_out")
     assert out.filter("lang_pred = lang").count() > 0.97 * out.count()
+
+
+def test_profiles_are_cut_before_the_shuffle(spark, sf_dir):
+    profiles = langid.language_profiles(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert "WindowGroupLimit" in profiles._jdf.queryExecution().toString()
+
+
+def test_many_languages_and_clashing_columns(spark):
+    rows = [(i, f"l{i:05d}", f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}q " * 3, "mine", True, 7.0) for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, lang_pred string, held_out boolean, score double")
+    out = langid.identify(docs)
+    assert out.columns == docs.columns and out.filter("lang_pred = 'mine' or score > 1").count() == 0
+    learnt = out.filter("not held_out")
+    assert learnt.filter("lang_pred = lang").count() == learnt.count()

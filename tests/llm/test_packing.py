@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cadenza.llm import packing
@@ -73,3 +74,11 @@ def test_little_padding(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = packing.pack_documents(docs, PATH).toPandas()
     assert out.groupby("sequence_id").padding.first().sum() < 0.02 * out["length"].sum()
+
+
+def test_a_row_repeated_without_end_is_spread(spark):
+    """A third of all rows alike, without id and text: no shard takes them all, and each is packed once."""
+    docs = spark.createDataFrame([(None, None)] * 6000 + [(i, f"word {i}") for i in range(12_000)], "doc_id long, text string").repartition(6)
+    out = packing.pack_documents(docs, PATH, shard_docs=1000).withColumn("shard", F.shiftright("sequence_id", 32))
+    assert out.count() == 18_000 and out.filter("doc_id is null").count() == 6000
+    assert out.groupBy("shard").count().agg(F.max("count")).first()[0] < 3000

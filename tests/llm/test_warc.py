@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import re
 
+import pytest
 import zstandard
 
 from cadenza.llm import warc
@@ -49,3 +51,24 @@ def test_on_table(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     want = brute([(r.page_id, r.url, r.html) for r in pages.collect()])
     assert rows_of(warc.round_trip(pages)) == sorted(map(str, want))
+
+
+def test_every_record_has_an_identifier_of_its_own(spark):
+    rows = ROWS + [(None, "u", "again")] * 3 + [(7, "v", "again")] + [(8, "v", "both")] * 2 + [(6, "w", "both")]
+    bundles = warc.materialize(warc.write_bundles(spark.createDataFrame(rows, "page_id long, url string, html string")), "t")
+    ids = [i.record_id for b in bundles.collect() for i in b["index"]]
+    assert len(ids) == len(set(ids)) == len(rows)
+    raw = b"".join(zstandard.ZstdDecompressor().stream_reader(bytes(b.archive), read_across_frames=True).read() for b in bundles.collect())
+    for refers in re.findall(rb"WARC-Refers-To: (\S+)", raw):
+        assert refers.decode() in ids
+    assert raw.count(b"X-Refers-To-Page: 8") == 1 and raw.count(b"WARC-Refers-To: ") < raw.count(b"X-Refers-To-Page: ")
+    assert rows_of(warc.read_records(bundles)) == sorted(map(str, brute(rows)))
+
+
+def test_a_spoilt_payload_is_noticed(spark):
+    bundle = warc.write_bundles(spark.createDataFrame([(1, "http://h/", "abc")], "page_id long, url string, html string")).first()
+    start, packed, plain = warc.frame_ranges(bytes(bundle.archive))[0]
+    frame = zstandard.ZstdDecompressor().decompress(bytes(bundle.archive)[start : start + packed], max_output_size=plain)
+    assert warc.parse_record(frame)[0]["payload"] == b"abc"
+    with pytest.raises(ValueError, match="digest"):
+        warc.parse_record(frame.replace(b"abc", b"abd"))
