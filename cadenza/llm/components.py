@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import materialize
+from cadenza.session import materialize, small_side
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """Hang the neighbours of each node on the least of them (and of the node itself)."""
     near = edges.union(edges.select("b", "a")).toDF("a", "b") if large else edges
     least = near.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("c"), F.least("a", "m").alias("m"))
-    joined = near.join(least, F.col("a") == F.col("c"))
+    # on its own, the join below is either a broadcast or has exchanges in which a hub's edges are split
+    joined = near.join(small_side(materialize(least, "cc-least")), F.col("a") == F.col("c"))
     if large:
         out = joined.filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -2,20 +2,25 @@
 
 Documents with equal shingle sets form a class; links are searched between classes.
 
-1. Candidates. Two sets with a Jaccard similarity of at least t share l of the first
+1. Leaves. Two sets with a Jaccard similarity of at least t share l of the first
    n - ceil(t n) + l elements under any common order, l being a tenth of the smaller
    size. The order puts often repeated shingles last. Only these prefixes are shuffled,
    by shingle. A class that meets others at fewer than l of its shingles has no link;
    such classes go, and with them the documents that merely share a passage. Classes
-   that still meet, within reach of each other's size, form groups.
-2. Signature trees. In each group a tree is built whose nodes hold the OR of their
-   sets' token bitmaps and the range of their sizes. Two trees are walked in step; a
-   pair of nodes is dropped if the sizes exclude each other or if the largest possible
-   overlap (common bits, and the tokens that share a bit) is below what the smallest
-   sizes need. Surviving pairs of sets are compared exactly, unless already linked.
-3. Large groups are dealt into chunks of at most about ``GROUP`` classes. Each chunk is
-   joined with itself, then with its neighbour, then every pair of chunks that isn't
-   yet one component; so no task holds more than two chunks, and no link is lost.
+   that still meet, within reach of each other's size, are under one root. Without this
+   step a tree over all documents has nothing to prune: the OR of a few hundred unrelated
+   bitmaps is full, so all pairs of upper nodes survive (see the README for figures).
+2. Trees. Under a root the classes lie in order of size and are cut into chunks, the
+   nodes that one task holds: ``GROUP`` classes or ``CHUNK_BYTES`` of sets at most. Inside
+   a chunk nodes of ``_FAN`` children hold the OR of their sets' token bitmaps and the range
+   of their sizes; chunks do so too, and so do blocks of chunks.
+3. Dual traversal. A pair of nodes is dropped if the sizes exclude each other or if the
+   largest possible overlap (common bits, and the tokens that share a bit) is below what
+   the smallest sizes need. It runs inside each chunk, then over blocks of chunk nodes, and
+   at last between the chunks that are left, of which no task holds more than two. Pairs of
+   sets that survive are compared exactly. ``components_of`` skips pairs that are linked
+   already: it joins neighbouring chunks first and leaves out pairs of chunks that have
+   become one component; ``links_of`` skips nothing and gives every link.
 4. Each task names its components; names that later links join are merged by
    alternating stars.
 
@@ -25,8 +30,9 @@ Nothing is sampled and no candidate is capped. The list of frequent shingles (at
 Defined cases: a null or wordless text has an empty set, size 0, and is its own
 component; a text with fewer than k words is one shingle; repeated rows are in one
 class; a null doc_id never names a component unless all ids of it are null; an empty
-table gives an empty table; extra columns are ignored by ``components_of`` and kept by
-``keep_one``. Sets are told apart by 128-bit, shingles by 64-bit hashes.
+table gives an empty table; extra columns are ignored by ``components_of`` and
+``links_of`` and kept by ``keep_one``. Sets are told apart by 128-bit, shingles by 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -46,8 +52,10 @@ from cadenza.llm.frequent import most_frequent
 from cadenza.llm.shingles import shingle_sets, sliced
 from cadenza.session import materialize, small_side
 
-#: Classes in a chunk; a task of the search holds two chunks at most.
-GROUP = 2048
+#: Classes and bytes of sets in a chunk (one set at least); a task of the search holds two chunks at most.
+GROUP, CHUNK_BYTES = 2048, 32 << 20
+#: Chunk nodes in a block, and bits of their bitmaps.
+BLOCK, NODE_BITS = 256, 1 << 16
 #: Shingles that are ordered last.
 COMMON = 65_536
 _BITMAP_BITS = 24
@@ -256,7 +264,10 @@ def _popcount(rows: np.ndarray) -> np.ndarray:
 
 
 class SignatureTree:
-    """Levels of nodes over sets that are ordered by least shingle and size; level 0 holds the sets."""
+    """Levels of nodes over sets that are ordered by least shingle and size; level 0 holds the sets.
+
+    tested, kept: pairs of nodes that the traversal has looked at, and those it could not drop.
+    """
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.order = sorted(range(len(sets)), key=lambda i: (int(sets[i][0]), len(sets[i])))
@@ -266,7 +277,18 @@ class SignatureTree:
         for row, i in enumerate(self.order):
             at = sets[i] % np.uint64(width)
             np.bitwise_or.at(bits[row], (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        self.levels = [(bits, sizes, sizes, sizes - _popcount(bits))]
+        self._grow(bits, sizes, sizes, sizes - _popcount(bits))
+
+    @classmethod
+    def over(cls, bits: np.ndarray, low: np.ndarray, high: np.ndarray, extra: np.ndarray) -> SignatureTree:
+        """A tree whose level 0 are nodes: bitmaps, ranges of size, tokens beyond the bits at most."""
+        self = cls.__new__(cls)
+        self.order = list(range(len(bits)))
+        self._grow(bits, low, high, extra)
+        return self
+
+    def _grow(self, bits: np.ndarray, low: np.ndarray, high: np.ndarray, extra: np.ndarray) -> None:
+        self.levels, self.tested, self.kept = [(bits, low, high, extra)], 0, 0
         while len(self.levels[-1][0]) > 1:
             bits, low, high, extra = self.levels[-1]
             at = np.arange(0, len(bits), _FAN)
@@ -278,9 +300,11 @@ class SignatureTree:
         stack = [(level, np.zeros((1, 2), np.int64))]
         while stack:
             level, pairs = stack.pop()
+            self.tested += len(pairs)
             pairs = pairs[self._possible(level, pairs[:, 0], pairs[:, 1], percent)]
+            self.kept += len(pairs)
             if level == 0:
-                yield pairs
+                yield pairs[pairs[:, 0] != pairs[:, 1]]
                 continue
             below = len(self.levels[level - 1][0])
             step = np.arange(_FAN)
@@ -302,8 +326,16 @@ class SignatureTree:
         return ok
 
 
-def link_sets(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[int, int]]:
-    """Links that join all components of the sets, beyond those that equal labels already join."""
+def _fold(own: np.ndarray) -> tuple[np.ndarray, int]:
+    """A set's bitmap of a chunk node, and its tokens beyond the bits."""
+    at = own % np.uint64(NODE_BITS)
+    bits = np.zeros(NODE_BITS // 64, np.uint64)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return bits, len(own) - len(np.unique(at))
+
+
+def link_sets(sets: list[np.ndarray], labels: list, percent: int, every: bool = False) -> list[tuple[int, int]]:
+    """Links that join all components of the sets, beyond those that equal labels already join; or every link."""
     root = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -319,7 +351,7 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[
     for pairs in tree.pairs(percent):
         for p, q in pairs.tolist():
             i, j = tree.order[p], tree.order[q]
-            if find(i) != find(j):
+            if every or find(i) != find(j):
                 x, y = sets[i], sets[j]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * common >= percent * (len(x) + len(y) - common):
@@ -328,40 +360,114 @@ def link_sets(sets: list[np.ndarray], labels: list, percent: int) -> list[tuple[
     return out
 
 
-def _search(rows: DataFrame, percent: int, inside: bool) -> DataFrame:
-    """rows (task, key, label, own) -> a, b, task by task.
+def _inside(sets: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Chunk by chunk, of sets (chunk, chunks, key, own): rows a, b, and a row (chunk, low, high, extra, bits) for the chunk's node.
 
-    inside: each linked key with the least key of its component in the task, labels being
-    the keys. Otherwise: pairs of labels that a link joins.
+    a, b: each linked key and the least key of its component in the chunk; or every linked
+    pair. Chunks that are alone under their root need no node.
     """
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        labels = pdf["label"].tolist()
-        links = link_sets([np.frombuffer(x, np.uint64) for x in pdf["own"]], labels, percent)
-        pairs = [(labels[i], labels[j]) for i, j in links]
-        if inside:
+        keys, own = pdf["key"].tolist(), [np.frombuffer(x, np.uint64) for x in pdf["own"]]
+        pairs = [(keys[i], keys[j]) for i, j in link_sets(own, keys, percent, every)]
+        if not every:
             near: dict[str, set[str]] = {}
             for x, y in pairs:
                 whole = near.setdefault(x, {x}) | near.setdefault(y, {y})
                 near.update(dict.fromkeys(whole, whole))
             pairs = [(key, least) for key, whole in near.items() if (least := min(whole)) != key]
-        return pd.DataFrame(pairs, columns=["a", "b"], dtype=object)
+        out = [(x, y, None, None, None, None, None) for x, y in pairs]
+        if pdf["chunks"].iloc[0] > 1:
+            sizes, bits, extra = list(map(len, own)), np.zeros(NODE_BITS // 64, np.uint64), 0
+            for x in own:
+                of, more = _fold(x)
+                bits, extra = bits | of, max(extra, more)
+            out.append((None, None, pdf["chunk"].iloc[0], min(sizes), max(sizes), extra, bits.tobytes()))
+        return pd.DataFrame(out, columns=["a", "b", "node", "low", "high", "extra", "bits"], dtype=object)
+
+    return sets.select("chunk", "chunks", "key", "own").groupBy("chunk").applyInPandas(search, "a string, b string, node string, low long, high long, extra long, bits binary")
+
+
+def _node_pairs(nodes: DataFrame, chunks: DataFrame, percent: int) -> DataFrame:
+    """Pairs of chunks under one root that no bound excludes: x, y, beside (neighbours in the order of size).
+
+    nodes (node, low, high, extra, bits), chunks (chunk, grp). Blocks of nodes are joined
+    within a root, and each pair of blocks is walked as a tree over its nodes.
+    """
+    order = Window.partitionBy("grp").orderBy("low", "node")
+    placed = nodes.join(chunks, F.col("node") == F.col("chunk")).select("grp", "node", "low").withColumn("at", F.row_number().over(order) - 1)
+    own = nodes.join(placed.drop("low"), "node").withColumn("block", F.floor(F.col("at") / BLOCK))
+    blocks = own.groupBy("grp", "block").agg(F.collect_list(F.struct("at", "node", "low", "high", "extra", "bits")).alias("nodes"))  # BLOCK at most
+    blocks = materialize(blocks, "jaccard-blocks")
+    other = blocks.toDF("grp", "block2", "nodes2")
+    joined = blocks.join(other, "grp").filter("block <= block2").select((F.col("block") == F.col("block2")).alias("same"), "nodes", "nodes2")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                same, left, right = (c[row].as_py() for c in batch.columns)
+                rows = left if same else left + right
+                rows, split = sorted(rows, key=lambda n: (n["low"], n["at"])), {n["at"] for n in left}
+                bits = np.stack([np.frombuffer(n["bits"], np.uint64) for n in rows])
+                tree = SignatureTree.over(bits, *[np.array([n[c] for n in rows]) for c in ("low", "high", "extra")])
+                out = [(rows[a], rows[b]) for pairs in tree.pairs(percent) for a, b in pairs.tolist()]
+                out = [(x, y) for x, y in out if same or (x["at"] in split) != (y["at"] in split)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x["node"] for x, _ in out], pa.string()), pa.array([y["node"] for _, y in out], pa.string()), pa.array([abs(x["at"] - y["at"]) == 1 for x, y in out], pa.bool_())], ["x", "y", "beside"]
+                )
+
+    return joined.mapInArrow(walk, "x string, y string, beside boolean")
+
+
+def _across(rows: DataFrame, pairs: DataFrame, percent: int, every: bool) -> DataFrame:
+    """Links between the chunks of each pair (x, y): a, b, labels. rows (chunk, key, label, own)."""
+    tasks = pairs.select(F.concat_ws(":", "x", "y").alias("task"), F.explode(F.array("x", "y")).alias("chunk"))
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        labels, chunk = pdf["label"].tolist(), pdf["chunk"].tolist()
+        links = link_sets([np.frombuffer(x, np.uint64) for x in pdf["own"]], labels, percent, every)
+        return pd.DataFrame([(labels[i], labels[j]) for i, j in links if chunk[i] != chunk[j] or not every], columns=["a", "b"], dtype=object)
+
+    joined = rows.select("chunk", "label", "own").join(small_side(tasks), "chunk")
+    return joined.groupBy("task").applyInPandas(search, "a string, b string")
+
 
-    return rows.select("task", "key", "label", "own").groupBy("task").applyInPandas(search, "a string, b string")
+def _chunked(nodes: DataFrame) -> DataFrame:
+    """nodes (cls, grp, n) with chunk and chunks: neighbours by size under one root, cut by number and bytes."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, made, count, held, root = TaskContext.get().partitionId(), 0, 0, 0, None
+        for batch in batches:
+            names = []
+            for grp, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if root != grp or count == GROUP or held + 8 * n > CHUNK_BYTES:
+                    made, count, held, root = made + 1, 0, 0, grp
+                count, held = count + 1, held + 8 * n
+                names.append(f"{part:06d}-{made:06d}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string())], ["cls", "grp", "n", "chunk"])
+
+    order = ["grp", "n", "cls"]
+    cut_up = nodes.select("cls", "grp", "n").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(cut, "cls long, grp long, n int, chunk string")
+    cut_up = materialize(cut_up, "jaccard-cut")
+    sizes = cut_up.groupBy("grp").agg(F.count_distinct("chunk").cast("int").alias("chunks"))
+    return materialize(cut_up.join(sizes, "grp"), "jaccard-nodes")
+
+
+def _leaves(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> tuple[DataFrame, DataFrame]:
+    """nodes (cls, grp, n, chunk, chunks) and sets (those, key, own) of all classes that may have a link."""
+    met = materialize(_candidates(_postings(docs, k, percent, Order(frequent)), percent), "jaccard-candidates")
+    groups = connected_components(_meetings(met, percent)).toDF("cls", "grp")
+    nodes = _chunked(groups.join(met.groupBy("cls").agg(F.max("n").alias("n")), "cls"))
+    return nodes, _sets(docs, k, nodes)
 
 
 def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
     """key, root: every linked class with the name of its component."""
-    edges = _meetings(_candidates(_postings(docs, k, percent, Order(frequent)), percent), percent)
-    groups = connected_components(edges).toDF("cls", "grp")
-    sizes = groups.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("chunks"))
-    # chunks are dealt by hash; groups of one chunk need no further look
-    nodes = groups.join(sizes, "grp").withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    nodes = materialize(nodes, "jaccard-nodes")
-    sets = _sets(docs, k, nodes)
-    task = lambda i, j: F.concat_ws(":", F.col("grp").cast("string"), i.cast("string"), j.cast("string"))
-    first = _search(sets.withColumns({"task": task(F.col("chunk"), F.col("chunk")), "label": F.col("key")}), percent, inside=True)
-    first = materialize(first.toDF("key", "root"), "jaccard-roots")
+    nodes, sets = _leaves(docs, k, percent, frequent)
+    found = materialize(_inside(sets, percent, every=False), "jaccard-inside")
+    first = found.filter("a is not null").select(F.col("a").alias("key"), F.col("b").alias("root"))
     if not nodes.filter("chunks > 1").limit(1).count():
         return first.union(first.select("root", "root").distinct())
 
@@ -370,56 +476,96 @@ def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
         known = small_side(names.toDF("__key", "__root"))
         return rows.join(known, F.col(column) == F.col("__key"), "left").withColumn("label", F.coalesce("__root", column)).drop("__key", "__root")
 
+    pairs = _node_pairs(found.filter("node is not null").drop("a", "b"), nodes.filter("chunks > 1").select("chunk", "grp").distinct(), percent)
+    pairs = materialize(pairs, "jaccard-node-pairs")
     large = labelled(sets.filter("chunks > 1"), first, "key")
-    after = F.pmod(F.col("chunk") + 1, F.col("chunks"))
-    before = F.pmod(F.col("chunk") - 1, F.col("chunks"))
-    ring = F.explode(F.array_distinct(F.array(*[task(F.least("chunk", x), F.greatest("chunk", x)) for x in (before, after)])))
-    joined = materialize(_search(large.withColumn("task", ring), percent, inside=False), "jaccard-joined")
+    joined = materialize(_across(large, pairs.filter("beside"), percent, every=False), "jaccard-joined")
     merged = connected_components(joined)
-    if nodes.filter("chunks > 3").limit(1).count():
+    apart = pairs.filter("not beside")
+    if apart.limit(1).count():
         rows = labelled(large, merged, "label")
-        parts = materialize(rows.groupBy("grp", "chunk", "chunks").agg(F.min("label").alias("low"), F.max("label").alias("high")), "jaccard-parts")
-        other = parts.select("grp", F.col("chunk").alias("chunk2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-        open_pairs = parts.join(other, "grp").filter(  # a row per pair of chunks of a large group, never of documents
-            (F.col("chunk2") > F.col("chunk") + 1) & (F.col("chunk2") - F.col("chunk") < F.col("chunks") - 1)
-            & ~((F.col("low") == F.col("high")) & (F.col("low2") == F.col("high2")) & (F.col("low") == F.col("low2")))
-        )
-        tasks = open_pairs.select("grp", task(F.col("chunk"), F.col("chunk2")).alias("task"), F.explode(F.array("chunk", "chunk2")).alias("chunk"))
-        more = materialize(_search(rows.join(small_side(tasks), ["grp", "chunk"]), percent, inside=False), "jaccard-joined")
+        parts = materialize(rows.groupBy("chunk").agg(F.min("label").alias("low"), F.max("label").alias("high")), "jaccard-parts")
+        sides = [parts.toDF(side, f"low_{side}", f"high_{side}") for side in ("x", "y")]
+        one = "low_x = high_x AND low_y = high_y AND low_x = low_y"  # both chunks are in one component already
+        apart = materialize(apart.join(sides[0], "x").join(sides[1], "y").filter(f"NOT ({one})").select("x", "y"), "jaccard-apart")
+        more = materialize(_across(rows, apart, percent, every=False), "jaccard-joined")
         if more.limit(1).count():
             merged = connected_components(joined.union(more))
-    every = first.union(first.select("root", "root")).union(merged.select("node", "node")).distinct()
-    return labelled(every, merged, "root").select("key", F.col("label").alias("root"))
+    names = first.union(first.select("root", "root")).union(merged.select("node", "node")).distinct()
+    return labelled(names, merged, "root").select("key", F.col("label").alias("root"))
 
 
-def components_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """A row per document: doc_id, n_shingles, component_id."""
+def _scanned(docs: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
+    """rows (doc_id, n, key), and the frequent shingles, rarest first."""
     scanned = materialize(_scan(docs, k), "jaccard-scan")
     repeated = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = most_frequent(repeated, COMMON, "shingle")
-    rows = scanned.filter("shingle is null").select("doc_id", "n", F.lower(F.hex("key")).alias("key"))
-    roots = _roots(docs, k, percent, [r.shingle for r in reversed(top)])
-    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    return scanned.filter("shingle is null").select("doc_id", "n", F.lower(F.hex("key")).alias("key")), [r.shingle for r in reversed(top)]
+
+
+def links_of(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+    """Every link between classes (a < b, keys of different sets), and the members (doc_id, n_shingles, key).
+
+    Documents with equal keys are linked too; those without words have no key and no link.
+    """
+    rows, frequent = _scanned(docs, k)
+    nodes, sets = _leaves(docs, k, percent, frequent)
+    found = materialize(_inside(sets, percent, every=True), "jaccard-inside")
+    links = found.filter("a is not null").select("a", "b")
+    if nodes.filter("chunks > 1").limit(1).count():
+        pairs = _node_pairs(found.filter("node is not null").drop("a", "b"), nodes.filter("chunks > 1").select("chunk", "grp").distinct(), percent)
+        links = links.union(_across(sets.withColumn("label", F.col("key")), materialize(pairs, "jaccard-node-pairs"), percent, every=True))
+    return links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), rows.select("doc_id", F.col("n").alias("n_shingles"), "key")
+
+
+def _classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, copies, least and first (of its rows), component and keeper (of its component's rows)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
+    classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes.join(roots, "key", "left"), "jaccard-classes")
-    linked = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"))
-    named = classes.filter("root is not null or copies > 1").join(linked, "root", "left").select("key", F.coalesce("component", "least").alias("component"))
-    named = small_side(materialize(named, "jaccard-named"))
+    linked = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("keeper"))
+    named = classes.filter("root is not null or copies > 1").join(linked, "root", "left")
+    return materialize(named.select("key", F.coalesce("component", "least").alias("component"), F.coalesce("keeper", "first").alias("keeper")), "jaccard-named")
+
+
+def components_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """A row per document: doc_id, n_shingles, component_id."""
+    rows, frequent = _scanned(docs, k)
+    named = small_side(_classes(rows, _roots(docs, k, percent, frequent)).select("key", "component"))
     return rows.join(named, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Of each component the document with the smallest id stays; columns unchanged.
+    """Of each component one row stays; columns unchanged. Documents without words stay.
 
-    Documents without words stay, as do rows with a null id. Of rows that repeat an id
-    one stays, that with the smallest text.
+    That row has the smallest id (a null id comes last), of equal ids the smallest set key.
+    Rows are decided by id where it names one row, and by id and set key where it is null or
+    repeated, so rows of other components are left alone.
     """
-    found = materialize(components_of(docs, k, percent), "jaccard-found").filter("doc_id is not null")
-    gone = small_side(materialize(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone"))
+    rows, frequent = _scanned(docs, k)
+    named = small_side(_classes(rows, _roots(docs, k, percent, frequent)))
+    lost = ~F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("keeper.key") != F.col("key"))
+    judged = rows.join(named, "key").select("doc_id", lost.alias("lost"))
+    ids = materialize(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice")), "jaccard-twice")
+    gone = judged.filter("lost and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = small_side(materialize(gone.join(ids, F.col("__gone") == F.col("__twice"), "left_anti"), "jaccard-gone"))
     left = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    twice = materialize(found.filter("doc_id = component_id and n_shingles > 0").groupBy(F.col("doc_id").alias("__twice")).count().filter("count > 1").select("__twice"), "jaccard-twice")
-    if not twice.limit(1).count():
+    vague = rows.filter("doc_id is null").limit(1).count() or ids.limit(1).count()
+    if not vague:
         return left
-    twice = small_side(twice)
-    order = Window.partitionBy("doc_id").orderBy("text")
-    single = left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return left.join(twice, left["doc_id"] == F.col("__twice"), "left_anti").unionByName(single)
+    twice = small_side(ids)
+    plain = left.filter("doc_id is not null").join(twice, left["doc_id"] == F.col("__twice"), "left_anti")
+    unsure = left.filter("doc_id is null").unionByName(left.join(twice, left["doc_id"] == F.col("__twice"), "left_semi"))
+
+    @F.pandas_udf("string")
+    def set_key(texts: pd.Series) -> pd.Series:
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string(), from_pandas=True)], ["text"])
+        return pd.Series([_key(own).hex() if len(own) else None for part in sliced(batch, 0) for own in shingle_sets(part.column(0), k)], dtype=object)
+
+    keyed = unsure.withColumn("__key", set_key(F.col("text")))
+    keepers = named.select(F.col("key").alias("__named"), F.col("keeper.doc_id").alias("__id"), F.col("keeper.key").alias("__first"))
+    known = keyed.join(keepers, F.col("__key") == F.col("__named"), "left")
+    kept = known.filter(F.col("__named").isNull() | (F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__first") == F.col("__key"))))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "__key").orderBy("text"))
+    single = kept.filter("__named is not null").withColumn("__nth", nth).filter("__nth = 1").select(*docs.columns)
+    return plain.unionByName(kept.filter("__named is null").select(*docs.columns)).unionByName(single)

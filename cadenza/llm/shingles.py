@@ -46,9 +46,38 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][: n + 1]
 
 
+def _cut(data: np.ndarray) -> list[int]:
+    """Bounds of pieces of about SLICE bytes, cut where no word runs on."""
+    _, is_word = _bytes()
+    bounds = [0]
+    while len(data) - bounds[-1] > SLICE:
+        at = bounds[-1] + SLICE
+        while at < len(data):  # the next byte outside a word
+            outside = np.flatnonzero(~is_word[data[at : at + SLICE]])
+            if len(outside):
+                at += int(outside[0])
+                break
+            at = min(len(data), at + SLICE)
+        bounds.append(at)
+    return [*bounds, len(data)] if bounds[-1] < len(data) else bounds
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in a row, and where each text's words end. A null text has none."""
-    raw = pc.cast(pc.fill_null(texts, ""), pa.large_binary())
+    """Hashes of the words of all texts in a row, and where each text's words end. A null text has none.
+
+    A text longer than SLICE comes alone (see ``sliced``) and is hashed piece by piece.
+    """
+    if len(texts) == 1 and (pc.binary_length(texts)[0].as_py() or 0) > SLICE:
+        raw = pc.cast(texts, pa.large_binary())
+        data = np.frombuffer(raw.buffers()[2], np.uint8)[slice(*np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + 2])]
+        bounds = _cut(data)
+        found = [_hashes(pa.array([data[a:b].tobytes()], pa.large_binary()))[0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return np.concatenate(found), np.array([sum(map(len, found))])
+    return _hashes(texts)
+
+
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    raw = pc.cast(pc.fill_null(texts, b"" if pa.types.is_large_binary(texts.type) else ""), pa.large_binary())
     offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
     first, last = int(offsets[0]), int(offsets[-1])
     if first == last:

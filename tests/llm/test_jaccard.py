@@ -88,6 +88,63 @@ def test_keep_one_and_empty(spark):
     assert jaccard.components_of(docs.limit(0)).count() == 0 and jaccard.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_with_null_and_reused_ids(spark):
+    """Each component keeps the row of its smallest id, null last; no row of another component goes with it."""
+    draw = random.Random(12)
+    rows = [(draw.choice([None, draw.randrange(20), i + 100]), t) for i, (_, t) in enumerate(planted(11))]
+    rows += [(7, "quite another text of eight words in all"), (7, None), (None, None), (None, "a b c d e f")]
+    sets = [brute_set(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if x and sets[j] and 100 * len(x & sets[j]) >= 75 * len(x | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    want = sum(not s for s in sets) + len({g for g, s in zip(group, sets) if s})
+    kept = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert len(kept) == want
+    seen: dict = {}
+    for doc_id, text in kept:
+        own = brute_set(text)
+        if own:
+            g = group[sets.index(own)]
+            assert g not in seen
+            seen[g] = doc_id
+    for g, doc_id in seen.items():
+        ids = [d for (d, _), h, s in zip(rows, group, sets) if h == g and s and d is not None]
+        assert doc_id == (min(ids) if ids else None)
+
+
+@pytest.mark.parametrize("group", [3, 2048])
+def test_every_link(spark, monkeypatch, group):
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    rows = list(enumerate(t for _, t in planted(21)))
+    links, members = jaccard.links_of(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    key = {r.doc_id: r.key for r in members.collect()}
+    sets = {key[i]: brute_set(t) for i, t in rows if brute_set(t)}
+    assert all(sets[key[i]] == brute_set(t) for i, t in rows if brute_set(t)) and all(key[i] is None for i, t in rows if not brute_set(t))
+    names = sorted(sets)
+    want = sorted((x, y) for i, x in enumerate(names) for y in names[i + 1 :] if 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]))
+    assert sorted((r.a, r.b) for r in links.collect()) == want
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    draw = random.Random(3)
+    text = " ".join("".join(draw.choices("abcé", k=draw.choice([1, 3, 9, 700]))) for _ in range(3000)) + " \n" * 900
+    whole = next(shingles.shingle_sets(pa.array([text])))
+    monkeypatch.setattr(shingles, "SLICE", 500)
+    assert (next(shingles.shingle_sets(pa.array(["pad", text]).slice(1))) == whole).all()
+
+
+def test_unrelated_nodes_are_dropped():
+    """Of 2,000 unrelated sets no pair is left to compare, though nodes of many sets prune little: about as many pairs are looked at."""
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(0, 2**63, 60).astype(np.uint64)) for _ in range(2000)]
+    tree = jaccard.SignatureTree(sets)
+    left = sum(len(p) for p in tree.pairs(75))
+    assert left == 0 and tree.tested < 2 * 2000 * 1999 / 2
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.none(), st.text(alphabet="aAbBéÉ \t\n\x0b\x1c0", max_size=40)), max_size=6), st.integers(0, 3))
 def test_shingle_sets(texts, skip):
