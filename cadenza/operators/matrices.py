@@ -105,6 +105,24 @@ def block_means(matrix: DataFrame, units: DataFrame, reach: int | None = None) -
     return both.groupBy("rec", "layer", "a", "b").agg(F.avg("v").alias("mean"))
 
 
+def integral_sums(matrix: DataFrame) -> DataFrame:
+    """matrix (rec, i, j, v), all cells -> rec, i, j, s: the sum of all cells up to and with (i, j)."""
+    upto = lambda key, by: Window.partitionBy("rec", key).orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = matrix.select("rec", "i", "j", F.sum("v").over(upto("i", "j")).alias("__r"))
+    return rows.select("rec", "i", "j", F.sum("__r").over(upto("j", "i")).alias("s"))
+
+
+def block_means_by_sums(sums: DataFrame, blocks: DataFrame) -> DataFrame:
+    """blocks (rec, .., r0, r1, c0, c1) with the mean of their cells, from four entries of the running sums each."""
+    keys = [c for c in blocks.columns if c not in ("r0", "r1", "c0", "c1")]
+    corner = lambda i, j, sign: F.struct((F.col(i) - 1).alias("i"), (F.col(j) - 1).alias("j"), F.lit(sign).alias("sign"))
+    corners = F.array(corner("r1", "c1", 1), corner("r0", "c1", -1), corner("r1", "c0", -1), corner("r0", "c0", 1))
+    area = ((F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))).alias("area")
+    asked = blocks.select(*keys, area, F.explode(corners).alias("c")).select(*keys, "area", "c.i", "c.j", "c.sign")
+    found = asked.join(sums, ["rec", "i", "j"], "left")  # beyond the first row or column the sum is 0
+    return found.groupBy(*keys, "area").agg(F.sum(F.col("sign") * F.coalesce("s", F.lit(0.0))).alias("__s")).select(*keys, (F.col("__s") / F.col("area")).alias("mean"))
+
+
 def _log_ratio(x: Column, reference: Column, share: float) -> Column:
     eps = F.greatest(F.abs(reference) * share, F.lit(1e-12))
     return F.ln((x + eps) / (reference + eps))

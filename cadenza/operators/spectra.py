@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import calibration as cal
@@ -30,8 +30,10 @@ def window_profiles(matrix: DataFrame, windows: DataFrame) -> DataFrame:
 
     Diagonals are summed by prefix once; a window's mean on a diagonal is a difference of two entries.
     """
-    upper = matrix.filter("j > i").groupBy("rec", "layer", (F.col("j") - F.col("i")).alias("sep")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"].cast("double")).alias("vs"))
-    prefix = upper.select("rec", "layer", "sep", F.aggregate("vs", F.array(F.lit(0.0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v))).alias("p"))
+    upper = matrix.filter("j > i").select("rec", "layer", (F.col("j") - F.col("i")).alias("sep"), "i", F.col("v").cast("double").alias("v"))
+    upto = Window.partitionBy("rec", "layer", "sep").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"])
+    prefix = upper.withColumn("s", F.sum("v").over(upto)).groupBy("rec", "layer", "sep").agg(F.concat(F.array(F.lit(0.0)), run).alias("p"))
     inside = prefix.join(windows, "rec").filter(F.col("sep") < F.col("window_size"))
     mean = (F.get("p", F.col("end") - F.col("sep")) - F.get("p", F.col("start"))) / (F.col("window_size") - F.col("sep"))
     rows = inside.select("rec", "layer", "start", "end", "window_size", "sep", mean.alias("m"))

@@ -8,15 +8,18 @@ listed first and equi-joined, no range join runs over the cells.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import small_side
+
 
 def track_prefixes(tracks: DataFrame) -> DataFrame:
     """tracks (rec, sep, pos, z) -> rec, sep, n, prefix: prefix sums from 0, one array per diagonal."""
-    arrays = tracks.groupBy("rec", "sep").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "z"))), lambda t: t["z"]).alias("zs"))
-    run = F.aggregate("zs", F.array(F.lit(0).cast("double")), lambda a, z: F.concat(a, F.array(F.element_at(a, -1) + z)))
-    return arrays.select("rec", "sep", F.size("zs").alias("n"), run.alias("prefix"))
+    upto = Window.partitionBy("rec", "sep").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = tracks.select("rec", "sep", "pos", F.sum(F.col("z").cast("double")).over(upto).alias("s"))
+    run = F.transform(F.array_sort(F.collect_list(F.struct("pos", "s"))), lambda t: t["s"])
+    return sums.groupBy("rec", "sep").agg(F.count("*").cast("int").alias("n"), F.concat(F.array(F.lit(0.0)), run).alias("prefix"))
 
 
 def harmonic_offsets(templates: DataFrame, limit: str, tolerance: int = 1, harmonics: int = 8, controls: bool = True) -> DataFrame:
@@ -46,7 +49,7 @@ def start_scores(tracks: DataFrame, lengths: DataFrame, templates: DataFrame, to
     top = prefix.groupBy("rec").agg(F.max("sep").alias("__most"))
     sized = lengths.join(top, "rec")
     # a list meets every record; templates with a rec column are the record's own
-    cut = sized.join(templates, "rec") if "rec" in templates.columns else sized.join(F.broadcast(templates))
+    cut = sized.join(templates, "rec") if "rec" in templates.columns else sized.join(small_side(templates))
     cut = cut.select("rec", "length", "period", F.least("width", "length").alias("width"), "__most").distinct().withColumn("limit", F.least(F.col("__most"), F.col("width") - 1))
     offsets = harmonic_offsets(cut, "limit", tolerance, harmonics, controls)
     members = offsets.join(prefix, ["rec", "sep"]).filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")))
@@ -61,7 +64,7 @@ def start_scores(tracks: DataFrame, lengths: DataFrame, templates: DataFrame, to
 
 def dense_scores(tracks: DataFrame, lengths: DataFrame, widths: DataFrame, least: int = 6, most: int | None = None) -> DataFrame:
     """The same without harmonics: all separations from ``least``; a control for mere density. rec, width, start, score."""
-    cut = lengths.join(F.broadcast(widths)).select("rec", "length", F.least("width", "length").alias("width")).distinct()
+    cut = lengths.join(small_side(widths)).select("rec", "length", F.least("width", "length").alias("width")).distinct()
     members = track_prefixes(tracks).join(cut, "rec").filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")) & (F.col("sep") >= max(1, least)))
     if most is not None:
         members = members.filter(F.col("sep") <= most)
@@ -92,35 +95,33 @@ def residue_scores(tracks: DataFrame, lengths: DataFrame, tolerance: int = 1, ha
     return ends.groupBy("rec", "pos").agg((F.sum(F.col("w") * F.col("z")) / F.sqrt(F.greatest(F.sum(F.col("w") * F.col("w")), F.lit(1e-12)))).alias("score"))
 
 
+def _overlap(x: Column, y: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(x["start"] + x["width"], y["start"] + y["width"]) - F.greatest(x["start"], y["start"]))
+
+
 def distinct_loci(scores: DataFrame, top: int = 5, per_template: int = 3, apart: float = 0.5, most_overlap: float = 0.3) -> DataFrame:
-    """Greedy choice of high-scoring intervals that overlap little: rec, rank, period, width, start, score.
+    """High-scoring intervals that overlap little: rec, rank, period, width, start, score.
 
-    Each template offers its best starts, ``apart`` widths from each other; of all offers the
-    best is taken while its overlap with those taken stays low. Sequential, so one record's
-    scores are folded together; records are independent.
+    A template's starts, best first, are folded into its offers: a start is an offer if it
+    lies ``apart`` widths or more from those before it. A record's offers, best first (of
+    equal scores the narrower, then the smaller period, then the template's own order), are
+    folded likewise: an offer is taken if its share of overlap with each taken one is low.
     """
-    import numpy as np
-    import pandas as pd
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        offers = []
-        for (period, width), own in pdf.sort_values(["period", "width", "start"]).groupby(["period", "width"]):
-            left, gap = own.set_index("start")["score"].copy(), max(1, int(np.rint(width * apart)))
-            for _ in range(per_template):
-                if left.empty:
-                    break
-                start = left.idxmax()
-                offers.append((left[start], -width, period, start))
-                left = left[(left.index <= start - gap) | (left.index >= start + gap)]
-        taken: list[tuple] = []
-        for score, back, period, start in sorted(offers, key=lambda o: (o[0], o[1]), reverse=True):
-            width = -back
-            shared = [max(0, min(start + width, s + w) - max(start, s)) for _, w, _, s in taken]
-            if all(x <= most_overlap * (width + w - x) for x, (_, w, _, _) in zip(shared, taken, strict=True)):
-                taken.append((score, width, period, start))
-                if len(taken) == top:
-                    break
-        return pd.DataFrame([(pdf["rec"].iloc[0], k + 1, p, w, s, v) for k, (v, w, p, s) in enumerate(taken)], columns=["rec", "rank", "period", "width", "start", "score"])
-
-    rows = scores.select(F.col("rec").cast("long").alias("rec"), F.col("period").cast("double").alias("period"), F.col("width").cast("int").alias("width"), F.col("start").cast("int").alias("start"), "score")
-    return rows.groupBy("rec").applyInPandas(pick, "rec long, rank int, period double, width int, start int, score double")
+    offer = "struct<back: double, width: int, period: double, nth: int, start: int>"
+    ranked = scores.groupBy("rec", "period", "width").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("back"), F.col("start").cast("int").alias("start")))).alias("starts"))
+    gap = F.greatest(F.lit(1), F.rint(F.col("width") * apart).cast("int"))
+
+    def offered(held: Column, x: Column) -> Column:
+        clear = (F.size(held) < per_template) & F.forall(held, lambda h: F.abs(h["start"] - x["start"]) >= gap)
+        own = F.struct(x["back"].alias("back"), F.col("width").cast("int").alias("width"), F.col("period").cast("double").alias("period"), F.size(held).alias("nth"), x["start"].alias("start"))
+        return F.when(clear, F.array_append(held, own)).otherwise(held)
+
+    offers = ranked.select("rec", F.explode(F.aggregate("starts", F.array().cast(f"array<{offer}>"), offered)).alias("o"))
+    sorted_offers = offers.groupBy("rec").agg(F.array_sort(F.collect_list("o")).alias("offers"))
+
+    def taken(held: Column, x: Column) -> Column:
+        clear = (F.size(held) < top) & F.forall(held, lambda h: _overlap(h, x) <= most_overlap * (h["width"] + x["width"] - _overlap(h, x)))
+        return F.when(clear, F.array_append(held, x)).otherwise(held)
+
+    chosen = sorted_offers.select("rec", F.posexplode(F.aggregate("offers", F.array().cast(f"array<{offer}>"), taken)).alias("at", "o"))
+    return chosen.select("rec", (F.col("at") + 1).alias("rank"), "o.period", "o.width", "o.start", (-F.col("o.back")).alias("score"))

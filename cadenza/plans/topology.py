@@ -17,7 +17,9 @@ from cadenza.session import materialize
 def decode(matrix: DataFrame, lengths: DataFrame, window_sizes: tuple[int, ...] = (64, 96, 128, 192, 256, 384, 512), widths: tuple[int, ...] = tuple(range(96, 513, 32)), most: int = 256, least_size: int = 96) -> DataFrame:
     """matrix (rec, layer, i, j, v) of two layers, lengths (rec, length) -> a row per record.
 
-    Spectrum per layer, multiscale windows, candidate periods, wedge call, unit
+    The columns are those of a topology prediction: the call and its width, the registration
+    with its margins and units, the closure's block means, the boundary scan with the spans
+    that set its minima, and the calibrated scores. Spectrum per layer, multiscale windows, candidate periods, wedge call, unit
     registration, closure, boundary scan, calibrated scores. A record without a wedge call,
     or whose units can't be registered, has status no_wedge_call and null call columns.
     """
@@ -41,9 +43,9 @@ def decode(matrix: DataFrame, lengths: DataFrame, window_sizes: tuple[int, ...]
     core = registered.select("rec", F.col("core_first").alias("first"), F.col("core_last").alias("last"))
     scan = mx.boundary_scan(mx.boundary_candidates(mx.block_means(one, all_units), core)).drop("layer")
     own_units = registered.select("rec", F.posexplode("units").alias("unit", "u")).select("rec", "unit", F.col("u.start").alias("start"), F.col("u.end").alias("end"))
-    closure = mx.closure_scores(mx.block_means(one, own_units)).select("rec", F.col("open_score").alias("closure_open_score"))
+    closure = mx.closure_scores(mx.block_means(one, own_units)).select("rec", "n_units", "closure", F.col("adjacent").alias("closure_adjacent"), F.col("open_score").alias("closure_open_score"))
     calls = calls.select("rec", "period", "start", "end", "score").toDF("rec", "call_period", "call_start", "call_end", "call_score")
-    rows = lengths.join(spectrum, "rec").join(calls, "rec", "left").join(registered.select("rec", "offset", "objective", "units"), "rec", "left").join(closure, "rec", "left").join(scan, "rec", "left")
+    rows = lengths.join(spectrum, "rec").join(calls, "rec", "left").join(registered, "rec", "left").join(closure, "rec", "left").join(scan, "rec", "left")
     rows = rows.withColumn("status", F.when(F.col("candidate_count") > 0, "ok").otherwise("no_wedge_call"))
     scores = cal.operational_scores(F.col("status"), F.col("candidate_count"), F.col("open_minimum"), F.col("spectrum_score"))
-    return rows.select("rec", "length", "status", "spectrum_score", "call_period", "call_start", "call_end", "call_score", "offset", "objective", "units", "closure_open_score", *[v.alias(k) for k, v in scores.items()])
+    return rows.select("rec", "length", "status", "spectrum_score", "call_period", "call_start", "call_end", "call_score", *[c for c in registered.columns if c != "rec"], "n_units", "closure", "closure_adjacent", "closure_open_score", *[c for c in scan.columns if c not in ("rec", "candidate_count")], *[v.alias(k) for k, v in scores.items()])
