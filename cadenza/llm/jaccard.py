@@ -523,7 +523,7 @@ def _classes(rows: DataFrame, roots: DataFrame) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key"))
     classes = rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("first"), F.count("*").alias("copies"))
     classes = materialize(classes.join(roots, "key", "left"), "jaccard-classes")
-    linked = classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("keeper"))
+    linked = small_side(materialize(classes.filter("root is not null").groupBy("root").agg(F.min("least").alias("component"), F.min("first").alias("keeper")), "jaccard-linked"))
     named = classes.filter("root is not null or copies > 1").join(linked, "root", "left")
     return materialize(named.select("key", F.coalesce("component", "least").alias("component"), F.coalesce("keeper", "first").alias("keeper")), "jaccard-named")
 
