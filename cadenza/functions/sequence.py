@@ -17,14 +17,14 @@ def noncanonical_residues(sequence: Column) -> Column:
 
 def strip_stop(sequence: Column) -> Column:
     """Upper case, one trailing stop mark taken off."""
-    return F.regexp_replace(F.upper(sequence), r"\*$", "")
+    return F.regexp_replace(F.upper(sequence), r"\*\z", "")
 
 
 def sequence_status(sequence: Column, maximum: int = MAXIMUM_LENGTH) -> Column:
     """ok, empty, noncanonical or too_long; the first that applies. A null counts as empty."""
     return (
         F.when(F.coalesce(F.length(sequence), F.lit(0)) == 0, "empty")
-        .when(~F.upper(sequence).rlike(f"^[{CANONICAL}]+$"), "noncanonical")
+        .when(~F.upper(sequence).rlike(rf"\A[{CANONICAL}]+\z"), "noncanonical")
         .when(F.length(sequence) > maximum, "too_long")
         .otherwise("ok")
     )
@@ -37,7 +37,7 @@ def sequence_digest(sequence: Column) -> Column:
 def require_canonical(records: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Upper-case the column; a row that is empty or noncanonical stops the query."""
     bad = F.concat(F.lit("invalid sequence: "), F.array_join(noncanonical_residues(F.col(sequence)), ""))
-    ok = F.upper(F.col(sequence)).rlike(f"^[{CANONICAL}]+$")
+    ok = F.upper(F.col(sequence)).rlike(rf"\A[{CANONICAL}]+\z")
     return records.withColumn(sequence, F.when(ok, F.upper(F.col(sequence))).otherwise(F.raise_error(bad)))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.session import materialize, small_side
+
 
 def window_plan(records: DataFrame, sizes: tuple[int, ...] = (128, 256, 512, 1024), stride_fraction: float = 0.25, length: str = "length") -> DataFrame:
     """Explode each record into its multiscale windows: start, end, window_size.
@@ -127,28 +129,45 @@ def stopping_extension(values: Column, patience: Column) -> Column:
     return F.aggregate(values, start, step, lambda s: F.struct(s["steps"].alias("steps"), s["seen"].alias("inspected")))
 
 
-def greedy_batches(records: DataFrame, shard: str, budget: int = 4_000_000, most: int = 64, padding: int = 2) -> DataFrame:
-    """Number the greedy batches of each shard: records in (length, record_id) order, a batch closed when it
-    holds ``most`` records or its padded square cost would pass the budget.
-
-    records (shard, record_id, length); shards are bounded blocks, each folded on its own.
+def _runs(histogram: list[tuple[int, int]], budget: int, most: int, padding: int) -> list[tuple[int, int, int, int]]:
+    """(length, n) in ascending order -> (length, first, size, batch): from its place ``first`` on, records of a length fill batches of ``size``, the first of them ``batch``."""
+    out, batch, held = [], -1, 0
+    for length, n in histogram:
+        room = min(most, budget // (length + padding) ** 2)
+        joined = min(n, max(0, room - held)) if held else 0
+        if joined:
+            out.append((length, 0, joined, batch))
+            held += joined
+        if n > joined:
+            size = max(1, room)
+            out.append((length, joined, size, batch + 1))
+            new = -(-(n - joined) // size)
+            batch, held = batch + new, n - joined - (new - 1) * size
+    return out
+
+
+def greedy_batches(records: DataFrame, budget: int = 4_000_000, most: int = 64, padding: int = 2) -> DataFrame:
+    """records (record_id, length) -> record_id, length, batch: one global (length, record_id) order, a batch closed
+    when it holds ``most`` records or its padded square cost would pass the budget.
+
+    In that order the cost hangs on the last length alone, so records of one length fill
+    batches of one size: the sequential part is a fold over the counts of lengths (as many
+    rows as the longest record is long, at most). A record's place among those of its
+    length comes from range partitions and their row counts.
     """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "record_id"])
-        batch, held, widest, out = 0, 0, 0, []
-        for n in pdf["length"]:
-            wide = max(widest, n + padding)
-            if held and (held >= most or wide * wide * (held + 1) > budget):
-                batch, held, wide = batch + 1, 0, n + padding
-            held, widest = held + 1, wide
-            out.append(batch)
-        return pdf.assign(batch=out)
-
-    rows = records.select(shard, "record_id", "length")
-    kinds = dict(rows.dtypes)
-    return rows.groupBy(shard).applyInPandas(fold, f"{shard} {kinds[shard]}, record_id {kinds['record_id']}, length {kinds['length']}, batch long")
+    spark = records.sparkSession
+    order = Window.partitionBy("__part").orderBy("length", "record_id")
+    spread = records.select("record_id", "length").repartitionByRange("length", "record_id").withColumn("__part", F.spark_partition_id())
+    spread = materialize(spread.withColumn("__nth", F.row_number().over(order) - 1), "batch-places")
+    counts = spread.groupBy("__part", "length").agg(F.count("*").alias("n"), F.min("__nth").alias("__least"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = materialize(counts.select("__part", "length", "n", (before - F.col("__least")).alias("__shift")), "batch-starts")
+    histogram = starts.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()
+    runs = spark.createDataFrame(_runs([(r.length, r.n) for r in histogram], budget, most, padding), "length int, __first long, __size long, __batch long")
+    placed = spread.join(small_side(starts.drop("n")), ["__part", "length"]).withColumn("__at", F.col("__nth") + F.col("__shift"))
+    last = runs.withColumn("__end", F.coalesce(F.lead("__first").over(Window.partitionBy("length").orderBy("__first")), F.lit(2**62)))
+    found = placed.join(small_side(last), "length").filter((F.col("__at") >= F.col("__first")) & (F.col("__at") < F.col("__end")))
+    return found.select("record_id", "length", (F.col("__batch") + F.floor((F.col("__at") - F.col("__first")) / F.col("__size"))).alias("batch"))
 
 
 def candidate_periods(windows: DataFrame, key: str, least_size: int = 96, top: int = 8, aliases: tuple[float, ...] = (0.5, 1.0, 2.0), low: float = 5.0, high: float = 80.0, step: float = 0.5) -> DataFrame:

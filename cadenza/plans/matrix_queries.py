@@ -18,7 +18,9 @@ from cadenza.session import materialize, table
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 BLOCK = 96
-PERIODS, WIDTHS, MOST = [8.0, 11.5, 14.0], [40, 64, 128], 48
+#: All diagonals of a record.
+MOST = BLOCK - 1
+PERIODS, WIDTHS = [8.0, 11.5, 14.0, 30.0], [40, 64, 128]
 
 
 def query(sql: str | None = None):

@@ -64,17 +64,16 @@ def validate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sq.record_issues(raw.select(twin.alias("record_id"), F.col("raw").alias("sequence"), claimed.alias("sequence_sha256")))
 
 
-@query(f"""WITH RECURSIVE {SEQ_SQL}, o AS (SELECT record_id // 500 AS shard, record_id, length, row_number() OVER (PARTITION BY record_id // 500 ORDER BY length, record_id) AS k FROM seqs),
-w AS (SELECT shard, k, record_id, length, 0::BIGINT AS batch, 1 AS held, length + 2 AS widest FROM o WHERE k = 1
-  UNION ALL SELECT o.shard, o.k, o.record_id, o.length,
-    CASE WHEN w.held >= 16 OR greatest(w.widest, o.length + 2)::BIGINT ** 2 * (w.held + 1) > 40000000 THEN w.batch + 1 ELSE w.batch END,
-    CASE WHEN w.held >= 16 OR greatest(w.widest, o.length + 2)::BIGINT ** 2 * (w.held + 1) > 40000000 THEN 1 ELSE w.held + 1 END,
-    CASE WHEN w.held >= 16 OR greatest(w.widest, o.length + 2)::BIGINT ** 2 * (w.held + 1) > 40000000 THEN o.length + 2 ELSE greatest(w.widest, o.length + 2) END
-  FROM w JOIN o ON o.shard = w.shard AND o.k = w.k + 1)
-SELECT shard, record_id, length, batch FROM w""")
+_FULL = "w.held >= 16 OR greatest(w.widest, o.length + 2)::BIGINT ** 2 * (w.held + 1) > 40000000"
+
+
+@query(f"""WITH RECURSIVE {SEQ_SQL}, o AS (SELECT record_id, length, row_number() OVER (ORDER BY length, record_id) AS k FROM seqs),
+w AS (SELECT k, record_id, length, 0::BIGINT AS batch, 1 AS held, length + 2 AS widest FROM o WHERE k = 1
+  UNION ALL SELECT o.k, o.record_id, o.length, CASE WHEN {_FULL} THEN w.batch + 1 ELSE w.batch END, CASE WHEN {_FULL} THEN 1 ELSE w.held + 1 END,
+    CASE WHEN {_FULL} THEN o.length + 2 ELSE greatest(w.widest, o.length + 2) END FROM w JOIN o ON o.k = w.k + 1)
+SELECT record_id, length, batch FROM w""")
 def greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = inputs.sequences(spark, sf_dir).withColumn("shard", F.floor(F.col("record_id") / 500).cast("long"))
-    return iv.greedy_batches(rows, "shard", budget=40_000_000, most=16)
+    return iv.greedy_batches(inputs.sequences(spark, sf_dir).select("record_id", "length"), budget=40_000_000, most=16)
 
 
 @query(f"""WITH {SEQ_SQL}, z AS (SELECT DISTINCT record_id, length, least(length, s) AS size FROM seqs, (SELECT unnest([128, 256, 512, 1024]) AS s) WHERE length > 0
@@ -124,7 +123,8 @@ def detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, c_mktsegment, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)::INT AS rank FROM customer")
 def dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))
-    return table(spark, sf_dir, "customer").filter(~F.isnan("c_acctbal")).select("c_custkey", "c_mktsegment", F.dense_rank().over(order).alias("rank"))
+    score = F.when(F.isnan("c_acctbal"), F.raise_error(F.lit("values to rank must be finite"))).otherwise(F.col("c_acctbal"))
+    return table(spark, sf_dir, "customer").withColumn("c_acctbal", score.cast("double")).select("c_custkey", "c_mktsegment", F.dense_rank().over(order).alias("rank"))
 
 
 _P = "(c_acctbal + 1000) / 11500"
@@ -212,7 +212,8 @@ _CATEGORIES = ["elongated", "closed", "beads"]
 def _router_sql() -> str:
     xs = [f"(({f}) - {m!r}::DOUBLE) / {s!r}::DOUBLE" for f, m, s in zip(("m", "q", "z", "m * z"), ROUTER["mean"], ROUTER["scale"], strict=True)]
     raw = ", ".join(f"1 / (1 + exp(-({b!r}::DOUBLE + " + " + ".join(f"({c!r}::DOUBLE) * ({x})" for c, x in zip(row, xs, strict=True)) + f"))) AS r{k}" for k, (row, b) in enumerate(zip(ROUTER["coefficients"], ROUTER["intercepts"], strict=True)))
-    return f"""WITH f AS (SELECT c_custkey AS record, (c_custkey % 100) / 100.0::DOUBLE AS m, (c_custkey % 77) / 77.0::DOUBLE AS q, (c_custkey % 31) / 5.0::DOUBLE - 3 AS z FROM customer), s AS (SELECT record, {raw} FROM f),
+    return f"""WITH f AS (SELECT c_custkey AS record, (c_acctbal + 1000) / 11500 AS m, coalesce(n, 0) / (coalesce(n, 0) + 10)::DOUBLE AS q, coalesce(p, 0.0) / 50000::DOUBLE - 3 AS z
+  FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, avg(o_totalprice) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey), s AS (SELECT record, {raw} FROM f),
 n AS (SELECT record, r0 / (r0 + r1 + r2) AS p0, r1 / (r0 + r1 + r2) AS p1, r2 / (r0 + r1 + r2) AS p2 FROM s)
 SELECT record, round(p0, 8) AS p_elongated, round(p1, 8) AS p_closed, round(p2, 8) AS p_beads,
   CASE WHEN greatest(p0, p1, p2) < 0.4 THEN 'unresolved' WHEN p0 >= p1 AND p0 >= p2 THEN 'elongated' WHEN p1 >= p2 THEN 'closed' ELSE 'beads' END AS category FROM n"""
@@ -220,19 +221,25 @@ SELECT record, round(p0, 8) AS p_elongated, round(p1, 8) AS p_closed, round(p2,
 
 @query(_router_sql())
 def router(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = F.col("c_custkey")
-    probabilities = cal.router_probabilities(cal.router_features((i % 100) / 100.0, (i % 77) / 77.0, (i % 31) / 5.0 - 3), ROUTER)
-    rows = table(spark, sf_dir, "customer").select(i.alias("record"), *[p.alias(f"p_{c}") for p, c in zip(probabilities, _CATEGORIES, strict=True)])
+    """Balance, share of orders and mean price of each customer, routed."""
+    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("p"))
+    own = table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    n, price = F.coalesce("n", F.lit(0)), F.coalesce("p", F.lit(0.0))
+    features = own.select(F.col("c_custkey").alias("record"), ((F.col("c_acctbal") + 1000) / 11500).alias("m"), (n / (n + 10)).alias("q"), (price / 50000 - 3).alias("z"))
+    probabilities = cal.router_probabilities(cal.router_features(F.col("m"), F.col("q"), F.col("z")), ROUTER)
+    rows = features.select("record", *[p.alias(f"p_{c}") for p, c in zip(probabilities, _CATEGORIES, strict=True)])
     category = cal.routed_category([F.col(f"p_{c}") for c in _CATEGORIES], _CATEGORIES, 0.4)
     return rows.select("record", *[F.round(f"p_{c}", 8).alias(f"p_{c}") for c in _CATEGORIES], category.alias("category"))
 
 
-@query("""WITH c AS (SELECT o_custkey AS record, list_sort(list(DISTINCT (o_orderkey % 6 + 1)::VARCHAR)) AS classes FROM orders WHERE o_orderkey % 9 < 2 GROUP BY 1)
-SELECT c_custkey AS record, CASE WHEN classes IS NULL THEN 'non_repeat' WHEN len(classes) > 1 THEN 'mixed_repeat_architecture'
+@query("""WITH c AS (SELECT o_custkey AS record, list_sort(list(DISTINCT CASE WHEN o_totalprice >= 100000 AND o_orderstatus = 'F' THEN substr(o_orderpriority, 1, 1) END) FILTER (o_totalprice >= 100000 AND o_orderstatus = 'F')) AS classes FROM orders GROUP BY 1)
+SELECT c_custkey AS record, CASE WHEN classes IS NULL OR len(classes) = 0 THEN 'non_repeat' WHEN len(classes) > 1 THEN 'mixed_repeat_architecture'
   ELSE CASE classes[1] WHEN '2' THEN 'fibrous_repeat' WHEN '3' THEN 'elongated_repeat' WHEN '4' THEN 'closed_repeat' WHEN '5' THEN 'beads_on_a_string' ELSE 'other_repeat_architecture' END END AS label
 FROM customer LEFT JOIN c ON c.record = c_custkey""")
 def architecture_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = table(spark, sf_dir, "orders").filter("o_orderkey % 9 < 2").groupBy("o_custkey").agg(F.collect_set((F.col("o_orderkey") % 6 + 1).cast("string")).alias("classes"))
+    """A customer's classes are the priorities of dear, finished orders; other orders carry none."""
+    code = F.when((F.col("o_totalprice") >= 100_000) & (F.col("o_orderstatus") == "F"), F.substring("o_orderpriority", 1, 1))
+    codes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(code).alias("classes"))
     rows = table(spark, sf_dir, "customer").join(codes, F.col("c_custkey") == F.col("o_custkey"), "left")
     return rows.select(F.col("c_custkey").alias("record"), cal.architecture_label(F.coalesce("classes", F.array().cast("array<string>"))).alias("label"))
 

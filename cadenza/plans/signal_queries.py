@@ -42,7 +42,9 @@ def spectrum_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.select("event_type", F.col("s.scale").alias("scale"), F.posexplode("s.z").alias("bin", "z"))
 
 
-_COMB = """z AS (SELECT o_custkey AS rec, list_transform(range(0, 65), lambda b: ((o_custkey * 31 + b * 17 + (b * b) % 23 * 29) % 97) / 16.0::DOUBLE - 2) AS z FROM (SELECT DISTINCT o_custkey FROM orders)),
+_COMB = """c AS (SELECT l_suppkey AS rec, l_quantity::INT AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
+g0 AS (SELECT rec, b FROM (SELECT DISTINCT rec FROM c), (SELECT unnest(range(0, 65)) AS b)),
+z AS (SELECT g0.rec, list(coalesce(n, 0) / 4.0::DOUBLE - 1 ORDER BY b) AS z FROM g0 LEFT JOIN c ON c.rec = g0.rec AND c.q = b GROUP BY g0.rec),
 f AS (SELECT rec, z, unnest(range(3, 26))::INT AS b FROM z), g AS (SELECT *, least(8, 64 // b)::INT AS nt FROM f WHERE 64 // b >= 2),
 h AS (SELECT rec, b, nt, unnest(range(1, nt + 1)) AS k, z FROM g), p AS (SELECT rec, b, nt, k, list_max(z[greatest(1, k * b - 1) + 1 : least(64, k * b + 1) + 1]) AS v FROM h),
 s AS (SELECT rec, b, any_value(nt) AS nt, round(sum(greatest(0, v - 1) / sqrt(k::DOUBLE) ORDER BY k) / sqrt(sum(1 / k::DOUBLE ORDER BY k)), 9) AS score, count(*) FILTER (v >= 2.5) AS ns FROM p GROUP BY rec, b),
@@ -51,12 +53,13 @@ r AS (SELECT *, row_number() OVER (PARTITION BY rec ORDER BY score DESC, ns DESC
 
 @query(f"WITH {_COMB} SELECT rec, round(score, 6) AS score, ns::INT AS n_significant FROM r WHERE q = 1")
 def harmonic_comb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Combs over made-up spectra, one per customer with orders."""
-    rec = F.col("o_custkey")
-    z = F.transform(F.sequence(F.lit(0), F.lit(64)), lambda b: ((rec * 31 + b * 17 + (b * b) % 23 * 29) % 97) / 16.0 - 2)
-    own = table(spark, sf_dir, "orders").select("o_custkey").distinct().withColumn("z", z)
+    """Combs over the suppliers' histograms of quantities, a bin per quantity."""
+    rec = F.col("l_suppkey")
+    counts = table(spark, sf_dir, "lineitem").groupBy(rec, F.col("l_quantity").cast("int").alias("q")).agg(F.count("*").alias("n"))
+    own = counts.groupBy(rec).agg(F.map_from_entries(F.collect_list(F.struct("q", "n"))).alias("m"))
+    own = own.withColumn("z", F.transform(F.sequence(F.lit(0), F.lit(64)), lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0)) / 4.0 - 1))
     call = own.select(rec.alias("rec"), sp.comb(F.col("z"), F.lit(128), 5.0, 128 / 3).alias("c"))
-    return call.select("rec", F.round("c.score", 6).alias("score"), F.col("c.n_significant").alias("n_significant"))
+    return call.select("rec", F.round(F.round("c.score", 9), 6).alias("score"), F.col("c.n_significant").alias("n_significant"))
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

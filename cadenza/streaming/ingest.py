@@ -6,15 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cadenza.functions.sequence import sequence_digest, sequence_status, strip_stop
+from cadenza.functions.sequence import sequence_digest, sequence_status
+from cadenza.sources.fasta import parsed, stripped
 
 
 def fasta_stream(spark: SparkSession, folder: str) -> DataFrame:
     """record_id, sequence, status of every record of files that arrive in the folder."""
-    raw = spark.readStream.schema("value string").option("lineSep", "\n>").format("text").load(folder).filter(F.trim("value") != "")
-    lines = F.split(F.regexp_replace("value", "^>", ""), "\r?\n")
-    sequence = strip_stop(F.array_join(F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.trim(x)), ""))
-    rows = raw.select(F.regexp_extract(F.get(lines, F.lit(0)), r"^(\S*)", 1).alias("record_id"), sequence.alias("sequence"))
+    raw = spark.readStream.schema("value string").option("lineSep", "\n>").format("text").load(folder)
+    rows = parsed(raw.filter(stripped(F.col("value")) != "").select(F.regexp_replace("value", r"\A\s*>", "").alias("value")))
     return rows.withColumns({"status": sequence_status(F.col("sequence")), "sequence_sha256": sequence_digest(F.col("sequence"))})
 
 

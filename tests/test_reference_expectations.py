@@ -65,8 +65,8 @@ def test_intervals(spark):
 
 
 def test_greedy_batches(spark):
-    rows = spark.createDataFrame([(0, "a", 8), (0, "b", 10), (0, "c", 12)], "shard int, record_id string, length int")
-    assert {r.record_id: r.batch for r in iv.greedy_batches(rows, "shard", 300, 2).collect()} == {"a": 0, "b": 0, "c": 1}
+    rows = spark.createDataFrame([("a", 8), ("b", 10), ("c", 12)], "record_id string, length int")
+    assert {r.record_id: r.batch for r in iv.greedy_batches(rows, 300, 2).collect()} == {"a": 0, "b": 0, "c": 1}
 
 
 def test_spectra_and_comb_agree(spark):
