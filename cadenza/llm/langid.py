@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from cadenza.llm.packing import by_bytes
 
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams are coded at once; a longer text is coded alone.
+SLICE = 400_000
 #: Past the last assigned block of letters.
 _CODES = 0x32400
 _BLANK = 1
@@ -89,7 +91,7 @@ def language_profiles(training: DataFrame, top: int = 300) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            for a, b in by_bytes(batch.column(1), 1_000_000):
+            for a, b in by_bytes(batch.column(1), SLICE):
                 own: dict[str, list[np.ndarray]] = {}
                 for lang, codes in zip(langs[a:b], gram_codes(_texts(batch.column(1).slice(a, b - a))), strict=True):
                     own.setdefault(lang, []).append(codes)
@@ -145,7 +147,7 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         column, out = pa.array(texts, pa.string(), from_pandas=True), []
-        for a, b in by_bytes(column, 1_000_000):
+        for a, b in by_bytes(column, SLICE):
             out += [shared.value.predict(codes) for codes in gram_codes(_texts(column.slice(a, b - a)))]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from cadenza.llm.packing import by_bytes
 
 #: Bytes of text hashed at once; a longer text is hashed alone.
-SLICE = 1_000_000
+SLICE = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
