@@ -1,4 +1,4 @@
-"""python -m cadenza INPUT.faa OUTPUT: validate records, hash them and write JSON lines."""
+"""python -m cadenza INPUT.faa OUTPUT: validate records and hash them; with affinities and probabilities, score them; write JSON lines."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import SparkSession
 
 from cadenza import __version__
+from cadenza.plans.prediction import predict
 from cadenza.sources.fasta import checked_records, read_fasta, write_jsonl
 
 
@@ -16,20 +17,30 @@ def main() -> None:
     parser.add_argument("input")
     parser.add_argument("output")
     parser.add_argument("--maximum-length", type=int, default=2046)
+    parser.add_argument("--affinities", help="Parquet: record_id, layer, i, j, v")
+    parser.add_argument("--probabilities", help="Parquet: record_id, state_probability, global_probability")
     parser.add_argument("--overwrite", action="store_true")
     parser.add_argument("--quiet", action="store_true")
     parser.add_argument("--version", action="version", version=__version__)
     args = parser.parse_args()
     if args.input == args.output:
         parser.error("input and output must differ")
+    if (args.affinities is None) != (args.probabilities is None):
+        parser.error("affinities and probabilities are given together")
     spark = SparkSession.builder.appName("cadenza").getOrCreate()
     started = datetime.now(UTC)
     records = checked_records(read_fasta(spark, args.input), args.maximum_length)
-    write_jsonl(records, args.output, args.overwrite)
-    audit = spark.createDataFrame([(args.input, args.output, records.count(), started.isoformat(), __version__)], "input string, output string, records long, started string, version string")
+    rows = records
+    if args.affinities:
+        rows = predict(records, spark.read.parquet(args.affinities), spark.read.parquet(args.probabilities))
+    written = write_jsonl(rows, args.output, args.overwrite)
+    ended = datetime.now(UTC)
+    audit = spark.createDataFrame(
+        [(args.input, args.output, written, started.isoformat(), (ended - started).total_seconds(), __version__)], "input string, output string, records long, started string, elapsed double, version string"
+    )
     write_jsonl(audit, args.output.rstrip("/") + ".audit", args.overwrite)
     if not args.quiet:
-        print(f"{records.count()} records written to {args.output}")
+        print(f"{written} records written to {args.output}")
 
 
 if __name__ == "__main__":
