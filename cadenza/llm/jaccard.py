@@ -5,7 +5,7 @@ Documents with equal shingle sets form a class; links are searched between class
 1. Leaves. Two sets with a Jaccard similarity of at least t share l of the first
    n - ceil(t n) + l elements under any common order, l being a tenth of the smaller
    size. The order puts often repeated shingles last. Only these prefixes are shuffled,
-   by shingle. A class that meets others at fewer than l of its shingles has no link;
+   by shingle (a shingle of many classes in lanes). A class that meets others at fewer than l of its shingles has no link;
    such classes go, and with them the documents that merely share a passage. Classes
    that still meet, within reach of each other's size, are under one root. Without this
    step a tree over all documents has nothing to prune: the OR of a few hundred unrelated
@@ -58,6 +58,8 @@ GROUP, CHUNK_BYTES = 2048, 32 << 20
 BLOCK, NODE_BITS = 256, 1 << 16
 #: Shingles that are ordered last.
 COMMON = 65_536
+#: Postings of a frequent shingle that make up a lane, a part that a task sorts on its own.
+LANE_ROWS = 1 << 14
 _BITMAP_BITS = 24
 _FAN = 8
 
@@ -108,12 +110,25 @@ def _scan(docs: DataFrame, k: int) -> DataFrame:
 
 
 class Order:
-    """Frequent shingles last, the most frequent at the very end; all others by hash."""
+    """Frequent shingles last, the most frequent at the very end; all others by hash.
 
-    def __init__(self, frequent: list[int]) -> None:
-        shingles = np.array(frequent, np.int64).view(np.uint64)  # rarest first
+    frequent: (shingle, number of sets), rarest first. A shingle of more than ``LANE_ROWS``
+    sets has lanes: 1 and on, by class; all others have lane 0.
+    """
+
+    def __init__(self, frequent: list[tuple[int, int]]) -> None:
+        shingles = np.array([s for s, _ in frequent], np.int64).view(np.uint64)
         at = np.argsort(shingles, kind="stable")
         self.shingles, self.ranks = shingles[at], at + 1
+        counts = np.array([n for _, n in frequent], np.int64)[at]
+        hot = counts > LANE_ROWS
+        self.hot, self.lanes = self.shingles[hot], -(-counts[hot] // LANE_ROWS)
+
+    def lane(self, shingles: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(shingles), np.int32)
+        at = np.minimum(np.searchsorted(self.hot, shingles), len(self.hot) - 1)
+        return np.where(self.hot[at] == shingles, 1 + cls % self.lanes[at], 0).astype(np.int32)
 
     def prefix(self, own: np.ndarray, length: int) -> np.ndarray:
         if not len(self.shingles):
@@ -140,46 +155,49 @@ def _postings(docs: DataFrame, k: int, percent: int, order: Order) -> DataFrame:
                         size.append(n)
                 if shingles:
                     each = [len(s) for s in shingles]
+                    flat, cls = np.concatenate(shingles), np.repeat(np.array(low, np.int64), each)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(np.repeat(np.array(low, np.int64), each))],
-                        ["shingle", "n", "cls"],
+                        [pa.array(flat.view(np.int64)), pa.array(shared.value.lane(flat, cls)), pa.array(np.repeat(np.array(size, np.int32), each)), pa.array(cls)],
+                        ["shingle", "lane", "n", "cls"],
                     )
 
-    return docs.select("text").mapInArrow(emit, "shingle long, n int, cls long")
+    return docs.select("text").mapInArrow(emit, "shingle long, lane int, n int, cls long")
 
 
-def _run_starts(shingle: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Runs of one shingle, cut where the next larger size is out of reach."""
-    return np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (n[1:] * percent > n[:-1] * 100)]))
+def _run_starts(shingle: np.ndarray, lane: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Runs of one shingle and lane, cut where the next larger size is out of reach."""
+    return np.flatnonzero(np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (lane[1:] != lane[:-1]) | (n[1:] * percent > n[:-1] * 100)]))
 
 
 def _by_shingle(postings: DataFrame) -> DataFrame:
-    return postings.select("shingle", "n", "cls").repartition("shingle").sortWithinPartitions("shingle", "n", "cls")
+    order = ["shingle", "lane", "n", "cls"]
+    return postings.select(*order).repartition("shingle", "lane").sortWithinPartitions(*order)
 
 
 def _met(postings: DataFrame, percent: int) -> DataFrame:
-    """The postings at which two classes or more meet."""
+    """The postings at which two classes or more meet, and all of shingles with lanes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sent = tuple(np.zeros(0, np.int64) for _ in range(3)), False
+        held, sent = tuple(np.zeros(0, np.int64) for _ in range(4)), False
         for batch in batches:
-            shingle, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
+            shingle, lane, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
             if not len(shingle):
                 continue
             new = np.concatenate([[True], (shingle[1:] != shingle[:-1]) | (cls[1:] != cls[:-1])])
-            shingle, n, cls = shingle[new], n[new], cls[new]
-            starts = _run_starts(shingle, n, percent)
+            shingle, lane, n, cls = shingle[new], lane[new], n[new], cls[new]
+            starts = _run_starts(shingle, lane, n, percent)
             count = np.diff([*starts, len(cls)])
-            shared = count > 1
+            shared = (count > 1) | (lane[starts] > 0)
             out = np.repeat(shared, count)
             if sent:
                 out[0] = False  # the held row is out already, and whoever joins it is not alone
             open_sent = bool(shared[-1]) or (sent and len(starts) == 1)
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle[out]), pa.array(n[out].astype(np.int32)), pa.array(cls[out])], ["shingle", "n", "cls"])
-            held, sent = (shingle[-1:], n[-1:], cls[-1:]), open_sent
+                cols = shingle[out], lane[out].astype(np.int32), n[out].astype(np.int32), cls[out]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["shingle", "lane", "n", "cls"])
+            held, sent = (shingle[-1:], lane[-1:], n[-1:], cls[-1:]), open_sent
 
-    return _by_shingle(postings).mapInArrow(meet, "shingle long, n int, cls long")
+    return _by_shingle(postings).mapInArrow(meet, "shingle long, lane int, n int, cls long")
 
 
 _MASK = (1 << _BITMAP_BITS) - 1
@@ -201,25 +219,44 @@ def _candidates(postings: DataFrame, percent: int) -> DataFrame:
     return hit.filter(F.expr("(shiftright(v, cast(cls & 63 as int)) & 1) = 1")).drop("w", "v")
 
 
-def _meetings(postings: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) between classes that share a prefix shingle and whose sizes allow a chain of links."""
+def _meetings(postings: DataFrame, percent: int, lanes: bool) -> DataFrame:
+    """Edges (a, b) between classes that share a prefix shingle and whose sizes allow a chain of links; some come twice.
+
+    A lane's runs name the range of their sizes. Runs of all lanes of a shingle are chained
+    where these ranges are within reach, as if the lanes had been sorted together.
+    """
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))
         for batch in batches:
-            shingle, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
+            shingle, lane, n, cls = (np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True))
             if not len(shingle):
                 continue
-            starts = _run_starts(shingle, n, percent)
+            starts = _run_starts(shingle, lane, n, percent)
+            ends = np.append(starts[1:], len(cls))
             least = np.minimum.reduceat(cls, starts)
-            root = np.repeat(least, np.diff([*starts, len(cls)]))
+            root = np.repeat(least, ends - starts)
             pairs = np.stack([cls, root], 1)[cls != root]
             if len(pairs):
                 pairs = np.unique(pairs, axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
-            held = shingle[-1:], n[-1:], least[-1:]  # the last run may go on: its least class stands for it
-
-    return _by_shingle(postings).mapInArrow(meet, "a long, b long").distinct()
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none, none, none], ["a", "b", "shingle", "low", "high"])
+            hot = lane[starts] > 0
+            if hot.any():
+                own = pa.array(least[hot])
+                yield pa.RecordBatch.from_arrays([own, own, pa.array(shingle[starts[hot]]), pa.array(n[starts[hot]]), pa.array(n[ends[hot] - 1])], ["a", "b", "shingle", "low", "high"])
+            held = shingle[-1:], lane[-1:], n[-1:], least[-1:]  # the last run may go on: its least class stands for it
+
+    found = _by_shingle(postings).mapInArrow(meet, "a long, b long, shingle long, low long, high long")
+    if not lanes:
+        return found.select("a", "b")
+    found = materialize(found.distinct(), "jaccard-meetings")
+    order = Window.partitionBy("shingle").orderBy("low", "high", "a")  # a row per lane and run of sizes
+    reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.filter("shingle is not null").withColumn("cut", F.coalesce(F.col("low") * percent > reach * 100, F.lit(True)).cast("int"))
+    chains = runs.withColumn("chain", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    named = chains.withColumn("b", F.min("a").over(Window.partitionBy("shingle", "chain")))
+    return found.filter("shingle is null").select("a", "b").union(named.select("a", "b"))
 
 
 def _sets(docs: DataFrame, k: int, nodes: DataFrame) -> DataFrame:
@@ -455,15 +492,16 @@ def _chunked(nodes: DataFrame) -> DataFrame:
     return materialize(cut_up.join(sizes, "grp"), "jaccard-nodes")
 
 
-def _leaves(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> tuple[DataFrame, DataFrame]:
+def _leaves(docs: DataFrame, k: int, percent: int, frequent: list[tuple[int, int]]) -> tuple[DataFrame, DataFrame]:
     """nodes (cls, grp, n, chunk, chunks) and sets (those, key, own) of all classes that may have a link."""
-    met = materialize(_candidates(_postings(docs, k, percent, Order(frequent)), percent), "jaccard-candidates")
-    groups = connected_components(_meetings(met, percent)).toDF("cls", "grp")
+    order = Order(frequent)
+    met = materialize(_candidates(_postings(docs, k, percent, order), percent), "jaccard-candidates")
+    groups = connected_components(_meetings(met, percent, len(order.hot) > 0)).toDF("cls", "grp")
     nodes = _chunked(groups.join(met.groupBy("cls").agg(F.max("n").alias("n")), "cls"))
     return nodes, _sets(docs, k, nodes)
 
 
-def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFrame:
+def _roots(docs: DataFrame, k: int, percent: int, frequent: list[tuple[int, int]]) -> DataFrame:
     """key, root: every linked class with the name of its component."""
     nodes, sets = _leaves(docs, k, percent, frequent)
     found = materialize(_inside(sets, percent, every=False), "jaccard-inside")
@@ -495,12 +533,12 @@ def _roots(docs: DataFrame, k: int, percent: int, frequent: list[int]) -> DataFr
     return labelled(names, merged, "root").select("key", F.col("label").alias("root"))
 
 
-def _scanned(docs: DataFrame, k: int) -> tuple[DataFrame, list[int]]:
-    """rows (doc_id, n, key), and the frequent shingles, rarest first."""
+def _scanned(docs: DataFrame, k: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """rows (doc_id, n, key), and the frequent shingles with their numbers, rarest first."""
     scanned = materialize(_scan(docs, k), "jaccard-scan")
     repeated = scanned.filter("shingle is not null").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = most_frequent(repeated, COMMON, "shingle")
-    return scanned.filter("shingle is null").select("doc_id", "n", F.lower(F.hex("key")).alias("key")), [r.shingle for r in reversed(top)]
+    return scanned.filter("shingle is null").select("doc_id", "n", F.lower(F.hex("key")).alias("key")), [(r.shingle, r.n) for r in reversed(top)]
 
 
 def links_of(docs: DataFrame, k: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:

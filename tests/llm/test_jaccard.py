@@ -58,10 +58,11 @@ def planted(seed, groups=12):
     return [(draw.choice([i, i, i, max(0, i - 1)]) if draw.random() < 0.97 else None, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize(("seed", "group", "common"), [(1, 512, 65_536), (2, 4, 65_536), (3, 3, 2), (4, 6, 1)])
-def test_components(spark, monkeypatch, seed, group, common):
+@pytest.mark.parametrize(("seed", "group", "common", "lane"), [(1, 512, 65_536, 1 << 14), (2, 4, 65_536, 2), (3, 3, 2, 1 << 14), (4, 6, 1, 3), (5, 512, 65_536, 1)])
+def test_components(spark, monkeypatch, seed, group, common, lane):
     monkeypatch.setattr(jaccard, "GROUP", group)
     monkeypatch.setattr(jaccard, "COMMON", common)
+    monkeypatch.setattr(jaccard, "LANE_ROWS", lane)
     rows = planted(seed)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, key string").repartition(3)
     got = jaccard.components_of(docs).collect()
