@@ -18,6 +18,9 @@ BROADCAST_BYTES = 32 << 20
 #: Rows of a narrow table that one task writes, where their number is known.
 ROWS_PER_FILE = 100_000
 
+#: Bytes of an Arrow batch for Python workers; they and the JVM's buffers hold a batch several times over.
+BATCH_BYTES = 2 << 20
+
 _own_dir: list[str] = []
 
 
@@ -100,5 +103,13 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BRO
     return F.broadcast(df) if size["n"] <= limit and size["b"] <= most_bytes else df
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Cut the Arrow batches of this session's Python functions at BATCH_BYTES, so that rows with long texts don't come by ten thousands; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -5,7 +5,7 @@ Parquet and read again as the next stage's docs. All but the last return the col
 documents: the first drops documents without an identifiable language, the second keeps
 one document of each group linked by a shingle similarity of 0.75 or more, the third
 repeats or drops documents so that sources come to their target weights, the last cuts
-and packs what is left into sequences.
+and packs what is left into sequences. Stages with Python functions bound the session's Arrow batches in bytes.
 """
 
 from __future__ import annotations
@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm import jaccard, langid, mixing, packing
-from cadenza.session import materialize, table
+from cadenza.session import bounded_batches, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -31,6 +33,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    bounded_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

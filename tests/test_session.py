@@ -46,3 +46,17 @@ def test_small_side_counts_rows_and_bytes(spark):
     narrow, wide = spark.range(100), spark.range(100).withColumn("s", F.repeat(F.lit("x"), 1000))
     assert hinted(session.small_side(narrow)) and not hinted(session.small_side(narrow, limit=99))
     assert hinted(session.small_side(wide)) and not hinted(session.small_side(wide, most_bytes=50_000))
+
+
+def test_bounded_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for own, want in (("64m", str(session.BATCH_BYTES)), ("1m", "1m")):
+            spark.conf.set(key, own)
+            session.bounded_batches(spark)
+            assert spark.conf.get(key) == want
+        long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcd "), 1000).alias("text"))
+        assert long.mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]] for f in frames), "n long").agg(F.max("n")).first()[0] < 1000
+    finally:
+        spark.conf.set(key, before)
