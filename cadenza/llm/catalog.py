@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import additive_ann, chat, jaccard, langid, licenses, mixing, packing, topk, url_filter, warc
+from cadenza.llm import additive_ann, chat, jaccard, langid, licenses, merkle, mixing, packing, topk, url_filter, warc
 from cadenza.session import table
 
 
@@ -123,6 +123,10 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), altered=merkle.without_newlines())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_url_filter": op2_url_filter,
@@ -134,5 +138,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_pack_sequences": op10_pack_sequences,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_trees": OP3_SQL, "op4_license_scan": licenses.scan_sql(), "op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_trees": OP3_SQL, "op4_license_scan": licenses.scan_sql(), "op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL, "op12_merkle_manifest": merkle.SQL}
