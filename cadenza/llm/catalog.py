@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import additive_ann, chat, jaccard, langid, licenses, merkle, mixing, packing, topk, url_filter, warc
+from cadenza.llm import additive_ann, chat, jaccard, langid, licenses, merkle, mixing, packing, prefix_trie, repeats, topk, url_filter, warc
 from cadenza.session import table
 
 
@@ -123,10 +123,32 @@ def op10_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = """
+WITH w AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT k, doc_id, i, hash(words[i:i+12]) AS a, md5(array_to_string(words[i:i+12], ' ')) AS b
+      FROM (SELECT *, unnest(range(1, len(words) - 11)) AS i FROM w WHERE doc_id IS NOT NULL)),
+m AS (SELECT a, b, min(doc_id) AS least FROM g GROUP BY a, b),
+c AS (SELECT DISTINCT k, unnest(range(i, i + 13)) AS place FROM g JOIN m USING (a, b) WHERE least < doc_id),
+gone AS (SELECT k, list(place) AS gone FROM c GROUP BY k)
+SELECT doc_id, len(words)::BIGINT AS n_words, len(coalesce(gone, []))::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(words, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN gone USING (k)
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), altered=merkle.without_newlines())
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
     "op2_url_filter": op2_url_filter,
@@ -138,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_pivot_top_k": op9_pivot_top_k,
     "op10_pack_sequences": op10_pack_sequences,
+    "op11_repeated_phrases": op11_repeated_phrases,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLE_SQL: dict[str, str] = {"op3_chat_trees": OP3_SQL, "op4_license_scan": licenses.scan_sql(), "op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL, "op12_merkle_manifest": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat_trees": OP3_SQL, "op4_license_scan": licenses.scan_sql(), "op6_jaccard_components": OP6_SQL, "op7_mix_sources": OP7_SQL, "op9_pivot_top_k": OP9_SQL, "op11_repeated_phrases": OP11_SQL, "op12_merkle_manifest": merkle.SQL, "op13_prefix_trie": prefix_trie.SQL}

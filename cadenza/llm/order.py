@@ -11,15 +11,15 @@ from cadenza.session import materialize
 _ROWS = 33
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """rows with ``place`` (long, from 0 without gaps): their place in the given order.
+def numbered(rows: DataFrame, order: list[Column], name: str, columns: list[Column] | None = None) -> DataFrame:
+    """rows (or the given columns of them) with ``place`` (long, from 0 without gaps): their place in the given order.
 
     The rows are range-partitioned, sorted and written; the counts of the partitions then
     give each its first place. Rows should be narrow: the order is sampled beforehand, so
     they are made twice where they are not a written table.
     """
     sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    written = materialize(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), name)
+    written = materialize(sorted_rows.select(*(columns or ["*"]), F.monotonically_increasing_id().alias("__at")), name)
     part = F.shiftright("__at", _ROWS)
     counts = written.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a partition
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
