@@ -21,6 +21,9 @@ ROWS_PER_FILE = 100_000
 #: Bytes of an Arrow batch for Python workers; they and the JVM's buffers hold a batch several times over.
 BATCH_BYTES = 2 << 20
 
+#: Settings of Python workers' allocators: large blocks are mapped one by one and go back to the system when freed, for workers outlive their stage.
+WORKER_MEMORY = {"MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
 _own_dir: list[str] = []
 
 
@@ -104,7 +107,9 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BRO
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Cut the Arrow batches of this session's Python functions at BATCH_BYTES, so that rows with long texts don't come by ten thousands; a lower setting stays."""
+    """Cut the Arrow batches of this session's Python functions at BATCH_BYTES, so that rows with long texts don't come by ten thousands; a lower setting stays. Its workers give freed memory back."""
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
     if now > BATCH_BYTES:
