@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.llm.order import numbered
+from cadenza.operators.order import numbered
 from cadenza.session import materialize, small_side
 
 FANOUT = 3

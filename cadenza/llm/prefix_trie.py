@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.merkle import CRC32_SQL
-from cadenza.llm.order import numbered
+from cadenza.operators.order import numbered
 from cadenza.session import bounded_batches, materialize, small_side
 
 #: Turns of a strip, and rows of a shard, about.

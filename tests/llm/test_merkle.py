@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.llm import merkle
-from cadenza.llm.order import numbered
+from cadenza.operators.order import numbered
 
 SCHEMA = "doc_id long, source string, lang string, n_chars long, text string, grp string, place int, path string, slot0 int"
 
