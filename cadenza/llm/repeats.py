@@ -12,8 +12,9 @@ words also start in a document with a smaller doc_id; repeats are judged on the
    a shard (their number is bounded, whatever the input) are pieces of their own and go by
    their own words.
 3. A shard confirms, word by word, which windows two documents hold, compiles them into
-   an Aho-Corasick automaton over word ids that knows each window's least doc_id, and
-   streams its pieces through it; every occurrence with a greater doc_id is a repeat.
+   an Aho-Corasick automaton over word numbers (two or more symbols each, so that no node has
+   many children) that knows each window's least doc_id, and streams its pieces through it;
+   every occurrence with a greater doc_id is a repeat.
 
 Batches are large, and of equal anchors or pieces in a batch one represents the others: the
 least document of a batch is witness enough against the others there. So a passage that a
@@ -37,15 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.session import bounded_batches, materialize, small_side
+from cadenza.session import bounded_batches, materialize
 
 WINDOW, ANCHOR = 13, 5
-#: Bytes of text in a bucket of anchors or a shard of pieces (about), and in a batch of a task.
-BUCKET_BYTES, BATCH_TEXT = 32 << 20, 16 << 20
+#: Bytes of documents for each bucket of anchors, and for each shard of pieces; bytes in a batch of a task.
+BUCKET_BYTES, SHARD_BYTES, BATCH_TEXT = 32 << 20, 8 << 20, 16 << 20
 #: Occurrences above which an anchor is too frequent for a shard, and how many such anchors there are at most.
 FREQUENT, MOST_FREQUENT = 4096, 50_000
-#: Rows up to which spans or positions of documents may be broadcast, if their bytes allow.
-SMALL_ROWS = 1_000_000
 _CHUNK = 1 << 20
 
 _draw = np.random.default_rng(11)
@@ -142,7 +141,7 @@ def _sliced(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         at = to
 
 
-_FOUND = "key long, pos array<int>, frequent long"
+_FOUND = "key long, pos int, frequent long"
 _ENTRY = np.dtype([("h", "<u8"), ("key", "<i8"), ("pos", "<i4")])
 _MANY = np.dtype([("h", "<u8"), ("n", "<i8")])
 
@@ -215,14 +214,10 @@ def shared_anchors(keyed: DataFrame, window: int, buckets: int, batch_text: int
         names, weight = h[order][at[often]], total[often]
         met = order[np.repeat(several, sizes)]
         found = np.concatenate([entries[met[met < len(entries)]], read("sure", _ENTRY)])
-        found = found[np.argsort(found["key"], kind="stable")]
-        at = _starts(found["key"])
-        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(found)), pa.int32()), pa.array(found["pos"], pa.int32()))
-        keys = pa.array(found["key"][at], pa.int64())
         return pa.table({
-            "key": pa.concat_arrays([keys, pa.array(names.view(np.int64), pa.int64())]),
-            "pos": pa.concat_arrays([lists, pa.nulls(len(names), lists.type)]),
-            "frequent": pa.concat_arrays([pa.nulls(len(keys), pa.int64()), pa.array(weight, pa.int64())]),
+            "key": np.concatenate([found["key"], names.view(np.int64)]),
+            "pos": pa.concat_arrays([pa.array(found["pos"], pa.int32()), pa.nulls(len(names), pa.int32())]),
+            "frequent": pa.concat_arrays([pa.nulls(len(found), pa.int64()), pa.array(weight, pa.int64())]),
         })
 
     return keyed.select("key", "text").mapInArrow(send, "bucket int, open binary, sure binary, many binary").groupBy("bucket").applyInArrow(meet, _FOUND)
@@ -288,60 +283,100 @@ def _pieces(candidates: DataFrame, window: int, shards: int, frequent: np.ndarra
 
 
 class Automaton:
-    """Windows that two documents hold, with the least of them each."""
-
-    def __init__(self, pieces: dict[bytes, tuple[int, int]], window: int) -> None:
-        """pieces: text -> least and greatest doc_id."""
-        self.window, self.ids = window, {}
-        number = self.ids.setdefault
-        self.pieces = {text: tuple([number(w, len(self.ids)) for w in text.split(b" ")]) for text in pieces}
-        held: dict[tuple, tuple[int, int]] = {}
-        for text, (least, most) in pieces.items():
-            cells = self.pieces[text]
-            for k in range(len(cells) - window + 1):
-                words = cells[k : k + window]
-                known = held.get(words)
-                held[words] = (least, most) if known is None else (min(least, known[0]), max(most, known[1]))
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for words, (least, most) in held.items():
-            if least != most:
-                self.automaton.add_word(words, least)
+    """Windows that two documents hold, with the least of them each, over a shard's distinct pieces in a row."""
+
+    def __init__(self, pieces: list[bytes], least: np.ndarray, most: np.ndarray, window: int) -> None:
+        """least and most: the ends of each piece's doc_ids."""
+        self.window = window
+        words, known = b" ".join(pieces).split(b" "), {}
+        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
+        sizes = np.fromiter((p.count(b" ") + 1 for p in pieces), np.int64, len(pieces))
+        #: Windows of each piece, and the word at which each window starts, in the pieces' order.
+        self.count = sizes - window + 1
+        self.piece = np.repeat(np.arange(len(pieces)), self.count)
+        self.first = np.concatenate([[0], np.cumsum(self.count)])
+        self.start = np.arange(len(self.piece)) + (self.piece * (window - 1))
+        self.width = 1
+        while 256**self.width < len(known):
+            self.width += 1
+        digits = (ids[:, None] >> (8 * np.arange(self.width))) & 255
+        self.text = digits.astype(np.uint8).tobytes().decode("latin-1")
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for start, owner in self._confirmed(ids, least, most):
+            self.automaton.add_word(self._words(start), owner)
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def occurrences(self, text: bytes) -> list[tuple[int, int]]:
-        """(word at which a window starts, its least doc_id) of each window found in a piece."""
-        if not len(self.automaton):
-            return []
-        return [(end - self.window + 1, least) for end, least in self.automaton.iter(self.pieces[text])]
+    def _words(self, start: int) -> str:
+        return self.text[start * self.width : (start + self.window) * self.width]
+
+    def _confirmed(self, ids: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int]]:
+        """A start and the least document of each window that two documents hold. Equal hashes are compared word by word."""
+        n = len(ids) - self.window + 1
+        h = np.zeros(n, np.uint64)
+        for k in range(self.window):
+            h = h * _BASE + _mixed(ids[k : k + n].astype(np.uint64) + np.uint64(1))
+        order = np.argsort(h[self.start], kind="stable")
+        at = _starts(h[self.start][order])
+        low, high = np.minimum.reduceat(least[self.piece[order]], at), np.maximum.reduceat(most[self.piece[order]], at)
+        begin = self.start[order]
+        model = np.repeat(begin[at], np.diff(np.append(at, len(order))))
+        other = np.zeros(len(order), bool)
+        for k in range(self.window):
+            other |= ids[begin + k] != ids[model + k]
+        mixed = np.logical_or.reduceat(other, at)
+        several = np.flatnonzero((low < high) & ~mixed)
+        yield from zip(begin[at[several]].tolist(), low[several].tolist(), strict=True)
+        for g in np.flatnonzero(mixed).tolist():  # different windows of one hash
+            held: dict[str, list[int]] = {}
+            for i in order[at[g] : at[g + 1] if g + 1 < len(at) else len(order)].tolist():
+                held.setdefault(self._words(self.start[i]), []).append(i)
+            for members in held.values():
+                ends = least[self.piece[members]].min(), most[self.piece[members]].max()
+                if ends[0] < ends[1]:
+                    yield int(self.start[members[0]]), int(ends[0])
+
+    def owners(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each window of the pieces: whether the automaton finds it, and its least doc_id."""
+        found, owner = np.zeros(len(self.start), bool), np.zeros(len(self.start), np.int64)
+        if len(self.automaton):
+            hits = list(self.automaton.iter(self.text))
+            ends = np.fromiter((e for e, _ in hits), np.int64, len(hits)) + 1
+            least = np.fromiter((d for _, d in hits), np.int64, len(hits))
+            start, whole = ends // self.width - self.window, ends % self.width == 0
+            at = np.searchsorted(self.start, start)
+            at[at == len(self.start)] = 0
+            real = whole & (self.start[at] == start)  # not between words, not across pieces
+            found[at[real]], owner[at[real]] = True, least[real]
+        return found, owner
 
 
 def _located(rows: pa.Table, window: int) -> pa.Table:
     """Pieces of a shard -> key, first, stop: words covered by repeats."""
-    texts, docs, keys, starts, words = (rows.column(c).to_pylist() for c in ("text", "doc_id", "key", "start", "words"))
-    ends: dict[bytes, tuple[int, int]] = {}
-    for text, doc in zip(texts, docs, strict=True):
-        if text is not None:
-            known = ends.get(text)
-            ends[text] = (doc, doc) if known is None else (min(doc, known[0]), max(doc, known[1]))
-    automaton = Automaton(ends, window)
-    found = {text: automaton.occurrences(text) for text in ends}
-    out = [[], [], []]
-    for text, doc, key, start, n in zip(texts, docs, keys, starts, words, strict=True):
-        if text is None:
-            spans = [(start, start + n)]
-        else:
-            spans = []
-            for at, least in found[text]:
-                if least < doc:
-                    if spans and spans[-1][1] >= start + at:
-                        spans[-1] = (spans[-1][0], start + at + window)
-                    else:
-                        spans.append((start + at, start + at + window))
-        for a, b in spans:
-            for column, value in zip(out, (key, a, b), strict=True):
-                column.append(value)
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("key", "first", "stop"), out, (pa.int64(), pa.int32(), pa.int32()), strict=True)})
+    known = pc.is_null(rows.column("text"))
+    sure, own = rows.filter(known), rows.filter(pc.invert(known))
+    number = lambda t, c: t.column(c).to_numpy().astype(np.int64)
+    key, first = number(sure, "key"), number(sure, "start")
+    stop = first + number(sure, "words")
+    if own.num_rows:
+        texts = own.column("text").combine_chunks().dictionary_encode()
+        piece, doc = texts.indices.to_numpy().astype(np.int64), number(own, "doc_id")
+        order = np.argsort(piece, kind="stable")
+        at = _starts(piece[order])
+        automaton = Automaton(texts.dictionary.to_pylist(), np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at), window)
+        found, owner = automaton.owners()
+        count = automaton.count[piece]
+        row = np.repeat(np.arange(len(piece)), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = automaton.first[piece][row] + step
+        hit = found[at] & (owner[at] < doc[row])
+        row, step = row[hit], step[hit]
+        if len(row):
+            fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)])
+            last = np.append(fresh[1:], True)
+            begin = number(own, "start")[row] + step
+            key, first, stop = (np.concatenate(x) for x in ((key, number(own, "key")[row[fresh]]), (first, begin[fresh]), (stop, begin[last] + window)))
+    return pa.table({"key": key, "first": first.astype(np.int32), "stop": stop.astype(np.int32)})
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -359,21 +394,23 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, batch_text: int = BATC
     bounded_batches(spark)
     keyed = _keyed(docs).filter("doc_id is not null and text is not null")
     size = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("s")).first()["s"] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    found = materialize(shared_anchors(keyed, window, parts, batch_text, frequent), "repeats-anchors")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = materialize(shared_anchors(keyed, window, max(parts, -(-size // BUCKET_BYTES)), batch_text, frequent), "repeats-anchors")
     # frequent anchors: at most MOST_FREQUENT, for each stands for more than a share of all words
     floor = max(frequent, size // (2 * MOST_FREQUENT))
     often = np.array([r.key for r in found.filter(F.col("frequent") > floor).select("key").collect()], np.int64).view(np.uint64)
-    places = found.filter("frequent is null").groupBy("key").agg(F.flatten(F.collect_list("pos")).alias("pos"))
-    candidates = keyed.join(small_side(materialize(places, "repeats-places"), SMALL_ROWS), "key")
-    located = _pieces(candidates, window, parts, often, batch_text).groupBy("shard").applyInArrow(lambda t: _located(t, window), "key long, first int, stop int")
+    places = found.filter("frequent is null").groupBy("key").agg(F.collect_list("pos").alias("pos"))
+    # one plan for all sizes: the positions of a share of the keys are hashed, the texts stream by
+    candidates = keyed.join(places.hint("shuffle_hash"), "key")
+    pieces = _pieces(candidates, window, max(parts, -(-size // SHARD_BYTES)), often, batch_text)
+    located = pieces.groupBy("shard").applyInArrow(lambda t: _located(t, window), "key long, first int, stop int")
     return located.groupBy("key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, **bounds: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept: the words that no repeat covers, joined by one space. ``bounds``: see ``repeated_spans``."""
     spans = materialize(repeated_spans(docs, window, **bounds), "repeats-spans")
-    known = _keyed(docs).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))).join(small_side(spans, SMALL_ROWS), "key", "left")
+    known = _keyed(docs).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))).join(spans.hint("shuffle_hash"), "key", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
