@@ -14,8 +14,8 @@ in partitions or batches, but for rows whose scores tie at the shortlist's end.
 
 Defined cases: see ``vectors``; zero vectors take no part either; a query is compared
 with all rows but those of its own id; a repeated id is queried once, while its rows
-(repeated rows of one vector too, k + 1 at most) are candidates each of its own and may
-take several ranks; fewer candidates than k give fewer rows; ties go to the smaller id; an
+(repeated rows of one vector too, as far as a result can hold them) are candidates each of
+its own and may take several ranks; fewer candidates than k give fewer rows; ties go to the smaller id; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -189,7 +189,7 @@ def search(index: Index, queries: DataFrame, k: int = 10, shortlist: int = 200)
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = 10, shortlist: int = 200) -> DataFrame:
     """The k nearest of each row whose id is divisible by ``every``, among all other rows."""
-    index = build_index(embeddings, copies=k + 1)
+    index = build_index(embeddings, copies=k)
     if index is None:
         return embeddings.sparkSession.createDataFrame([], RESULT)
     queries = valid_vectors(embeddings).filter(F.exists("vec", lambda x: x != 0) & (F.col("vec_id") % every == 0))

@@ -14,8 +14,8 @@ those index blocks whose bound reaches it, and there each query walks the annuli
 falling bound, until the next one lies below the k-th score found so far.
 
 Defined cases: see ``vectors``; a query is compared with all rows but those of its own
-id; a repeated id is queried once, while its rows (repeated rows of one vector too, k + 1
-at most) are candidates each of its own and may take several ranks; fewer candidates than
+id; a repeated id is queried once, while its rows (repeated rows of one vector too, as far
+as a result can hold them) are candidates each of its own and may take several ranks; fewer candidates than
 k give fewer rows; ties go to the smaller id; an empty table gives an empty result; other
 columns are ignored. Scores that leave the range of a long are set to its ends; products
 beyond 2^53 are computed with Python's integers.
@@ -229,5 +229,5 @@ class Walk:
 
 def top_k(embeddings: DataFrame, every: int = 50, k: int = 5, scale: int = 256) -> DataFrame:
     """The k highest inner products of each row whose id is divisible by ``every``, among all other rows."""
-    index = PivotIndex(embeddings, copies=k + 1, scale=scale)
+    index = PivotIndex(embeddings, copies=k, scale=scale)
     return index.search(quantised(embeddings, scale).filter(F.col("vec_id") % every == 0), k)

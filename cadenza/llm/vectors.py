@@ -28,14 +28,17 @@ def valid_vectors(embeddings: DataFrame) -> DataFrame:
     return rows.filter(F.size("vec") == (sizes["dim"] if sizes else 0))
 
 
-def first_copies(rows: DataFrame, key: str, keep: int) -> DataFrame:
-    """Of rows with equal vectors those with the ``keep`` smallest ids.
+def first_copies(rows: DataFrame, key: str, k: int) -> DataFrame:
+    """Of rows with equal vectors: k of each id at most, and of these the 2 k with the smallest ids.
 
-    No result needs more of them: ties go to the smaller id and one may be the query's
-    own. The limit on the rank also holds before the shuffle, so a hot vector is cut early.
+    A search for the k best needs no more of them: ties go to the smaller id, and a query
+    leaves out the rows of its own id alone, k of them at most. The limits on the ranks also
+    hold before the shuffles, so a hot vector and a hot id are cut early.
     """
+    own = Window.partitionBy(key, "vec_id").orderBy("vec_id")
     order = Window.partitionBy(key).orderBy("vec_id")
-    return rows.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= keep).drop("__nth")
+    few = rows.withColumn("__nth", F.row_number().over(own)).filter(F.col("__nth") <= k).drop("__nth")
+    return few.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= 2 * k).drop("__nth")
 
 
 def single_queries(queries: DataFrame) -> DataFrame:
