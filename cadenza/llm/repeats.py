@@ -11,10 +11,11 @@ words also start in a document with a smaller doc_id; repeats are judged on the
    piece goes to a shard by its anchor. Windows of the few anchors that are too frequent for
    a shard (their number is bounded, whatever the input) are pieces of their own and go by
    their own words.
-3. A shard confirms, word by word, which windows two documents hold, compiles them into
-   an Aho-Corasick automaton over word numbers (two or more symbols each, so that no node has
-   many children) that knows each window's least doc_id, and streams its pieces through it;
-   every occurrence with a greater doc_id is a repeat.
+3. A shard confirms, word by word, which windows two documents hold, joins
+   those that go on together to passages, and compiles these into an Aho-Corasick automaton
+   over word numbers (one to three symbols each, so that no node has many children) that knows
+   each passage's least doc_id. All pieces stream through it; every occurrence with a greater
+   doc_id is a repeat.
 
 Batches are large, and of equal anchors or pieces in a batch one represents the others: the
 least document of a batch is witness enough against the others there. So a passage that a
@@ -285,33 +286,38 @@ def _pieces(candidates: DataFrame, window: int, shards: int, frequent: np.ndarra
 class Automaton:
     """Windows that two documents hold, with the least of them each, over a shard's distinct pieces in a row."""
 
-    def __init__(self, pieces: list[bytes], least: np.ndarray, most: np.ndarray, window: int) -> None:
-        """least and most: the ends of each piece's doc_ids."""
+    def __init__(self, pieces: pa.Array, least: np.ndarray, most: np.ndarray, window: int) -> None:
+        """pieces: distinct texts; least and most: the ends of each one's doc_ids."""
         self.window = window
-        words, known = b" ".join(pieces).split(b" "), {}
-        ids = np.fromiter((known.setdefault(w, len(known)) for w in words), np.int64, len(words))
-        sizes = np.fromiter((p.count(b" ") + 1 for p in pieces), np.int64, len(pieces))
+        lists = pc.split_pattern(pieces, " ")
+        words = lists.flatten().dictionary_encode()
+        ids = words.indices.to_numpy().astype(np.int64)
         #: Windows of each piece, and the word at which each window starts, in the pieces' order.
-        self.count = sizes - window + 1
+        self.count = np.diff(lists.offsets.to_numpy()).astype(np.int64) - window + 1
         self.piece = np.repeat(np.arange(len(pieces)), self.count)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
         self.start = np.arange(len(self.piece)) + (self.piece * (window - 1))
         self.width = 1
-        while 256**self.width < len(known):
+        while 256**self.width < len(words.dictionary):
             self.width += 1
         digits = (ids[:, None] >> (8 * np.arange(self.width))) & 255
         self.text = digits.astype(np.uint8).tobytes().decode("latin-1")
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for start, owner in self._confirmed(ids, least, most):
-            self.automaton.add_word(self._words(start), owner)
+        for start, n, owner in self._confirmed(ids, least, most):
+            self.automaton.add_word(self._words(start, n), (n, owner))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def _words(self, start: int) -> str:
-        return self.text[start * self.width : (start + self.window) * self.width]
+    def _words(self, start: int, n: int) -> str:
+        return self.text[start * self.width : (start + n) * self.width]
 
-    def _confirmed(self, ids: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int]]:
-        """A start and the least document of each window that two documents hold. Equal hashes are compared word by word."""
+    def _confirmed(self, ids: np.ndarray, least: np.ndarray, most: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Start, number of words and least document of passages: each window that two documents hold lies in one.
+
+        Windows that a single piece has, and several documents by it, form a passage as far as
+        they go on; a window that several pieces have is one by itself. Equal hashes are
+        compared word by word.
+        """
         n = len(ids) - self.window + 1
         h = np.zeros(n, np.uint64)
         for k in range(self.window):
@@ -325,29 +331,37 @@ class Automaton:
         for k in range(self.window):
             other |= ids[begin + k] != ids[model + k]
         mixed = np.logical_or.reduceat(other, at)
-        several = np.flatnonzero((low < high) & ~mixed)
-        yield from zip(begin[at[several]].tolist(), low[several].tolist(), strict=True)
+        size = np.diff(np.append(at, len(order)))
+        alone = np.zeros(len(order), bool)
+        alone[order[at[(size == 1) & (low < high)]]] = True
+        alone = np.flatnonzero(alone)
+        fresh = np.concatenate([[True], (alone[1:] != alone[:-1] + 1) | (self.piece[alone[1:]] != self.piece[alone[:-1]])])[: len(alone)]
+        heads, tails = alone[fresh], alone[np.append(fresh[1:], True)[: len(alone)]]
+        yield from zip(self.start[heads].tolist(), (tails - heads + self.window).tolist(), least[self.piece[heads]].tolist(), strict=True)
+        several = np.flatnonzero((size > 1) & (low < high) & ~mixed)
+        yield from zip(begin[at[several]].tolist(), [self.window] * len(several), low[several].tolist(), strict=True)
         for g in np.flatnonzero(mixed).tolist():  # different windows of one hash
             held: dict[str, list[int]] = {}
-            for i in order[at[g] : at[g + 1] if g + 1 < len(at) else len(order)].tolist():
-                held.setdefault(self._words(self.start[i]), []).append(i)
+            for i in order[at[g] : at[g] + size[g]].tolist():
+                held.setdefault(self._words(self.start[i], self.window), []).append(i)
             for members in held.values():
                 ends = least[self.piece[members]].min(), most[self.piece[members]].max()
                 if ends[0] < ends[1]:
-                    yield int(self.start[members[0]]), int(ends[0])
+                    yield int(self.start[members[0]]), self.window, int(ends[0])
 
     def owners(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each window of the pieces: whether the automaton finds it, and its least doc_id."""
         found, owner = np.zeros(len(self.start), bool), np.zeros(len(self.start), np.int64)
         if len(self.automaton):
-            hits = list(self.automaton.iter(self.text))
-            ends = np.fromiter((e for e, _ in hits), np.int64, len(hits)) + 1
-            least = np.fromiter((d for _, d in hits), np.int64, len(hits))
-            start, whole = ends // self.width - self.window, ends % self.width == 0
+            hits = np.array([(e, n, d) for e, (n, d) in self.automaton.iter(self.text)], np.int64).reshape(-1, 3)
+            hits = hits[(hits[:, 0] + 1) % self.width == 0]  # not between words
+            count = hits[:, 1] - self.window + 1
+            last = (hits[:, 0] + 1) // self.width - self.window
+            start = np.repeat(last, count) - (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
             at = np.searchsorted(self.start, start)
             at[at == len(self.start)] = 0
-            real = whole & (self.start[at] == start)  # not between words, not across pieces
-            found[at[real]], owner[at[real]] = True, least[real]
+            real = self.start[at] == start  # not across pieces
+            found[at[real]], owner[at[real]] = True, np.repeat(hits[:, 2], count)[real]
         return found, owner
 
 
@@ -363,7 +377,7 @@ def _located(rows: pa.Table, window: int) -> pa.Table:
         piece, doc = texts.indices.to_numpy().astype(np.int64), number(own, "doc_id")
         order = np.argsort(piece, kind="stable")
         at = _starts(piece[order])
-        automaton = Automaton(texts.dictionary.to_pylist(), np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at), window)
+        automaton = Automaton(texts.dictionary, np.minimum.reduceat(doc[order], at), np.maximum.reduceat(doc[order], at), window)
         found, owner = automaton.owners()
         count = automaton.count[piece]
         row = np.repeat(np.arange(len(piece)), count)
@@ -402,7 +416,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, batch_text: int = BATC
     places = found.filter("frequent is null").groupBy("key").agg(F.collect_list("pos").alias("pos"))
     # one plan for all sizes: the positions of a share of the keys are hashed, the texts stream by
     candidates = keyed.join(places.hint("shuffle_hash"), "key")
-    pieces = _pieces(candidates, window, max(parts, -(-size // SHARD_BYTES)), often, batch_text)
+    # shards are several a task, so that tasks even out
+    pieces = _pieces(candidates, window, max(4 * parts, -(-size // SHARD_BYTES)), often, batch_text)
     located = pieces.groupBy("shard").applyInArrow(lambda t: _located(t, window), "key long, first int, stop int")
     return located.groupBy("key").agg(F.collect_set(F.struct("first", "stop")).alias("spans"))
 
