@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Calibrations fitted elsewhere, by layer.
-SPECTRUM = {13: {"slope": 0.3823929328582363, "intercept": -1.5680729453875353, "mean": -5.145795606199139e-16, "sd": 0.4654357365390194}, 35: {"slope": 0.36519503505387063, "intercept": 0.05260675507192767, "mean": 5.797831350820262e-16, "sd": 0.6862005629169438}}
-LOCAL = {13: {"coefficients": (2.158720679746129, -0.2504254356322197, 0.13924942981209207), "mean": 1.0092455971473446e-14, "sd": 0.6144965263271002}, 35: {"coefficients": (0.585353298958061, 0.29916087281772025, -0.011673907915075506), "mean": 2.524611912822221e-14, "sd": 0.8527484477123943}}
-TOPOLOGY = {"intercept": 1.9926971248378704, "coefficient": -0.15026100676567108, "residual_sd": 1.00835834215746, "no_call": -3.093771604258835, "mean": -0.0491074857818862, "sd": 1.0647266240851263}
-SPECTRUM_CONTROL = {"mean": 5.28677630773884e-18, "sd": 0.8535312263357575}
-TEACHER_LOGIT = (-2.5399579057171784, 1.2341468017334127)
-GLOBAL_LOGIT = (-2.618578141435718, 1.447981174482059)
-LAYERS = (13, 35)
+from cadenza.sources.artifacts import packaged_contract
+
+# Calibrations fitted elsewhere, by layer. They stand in the package's contract file.
+CONTRACT = packaged_contract()
+SPECTRUM = {int(k): v for k, v in CONTRACT["spectrum"].items()}
+LOCAL = {int(k): {**v, "coefficients": tuple(v["coefficients"])} for k, v in CONTRACT["local"].items()}
+TOPOLOGY, SPECTRUM_CONTROL = CONTRACT["topology"], CONTRACT["spectrum_control"]
+TEACHER_LOGIT, GLOBAL_LOGIT = tuple(CONTRACT["teacher_logit"]), tuple(CONTRACT["global_logit"])
+LAYERS = tuple(CONTRACT["layers"])
 
 
 def clipped_logit(p: Column, eps: float = 1e-5) -> Column:
@@ -49,6 +52,40 @@ def spectrum_score(features: DataFrame, key: str, calibration: dict[int, dict] =
     return out.withColumn("spectrum_score", F.when(whole, F.col("spectrum_score")).otherwise(F.raise_error(F.lit("layers missing or repeated")))).drop("n_layers")
 
 
+def layer_score_map(features: Column) -> Column:
+    """features (array of structs with layer and score) -> map of layer to score.
+
+    A repeated layer stops the query (DUPLICATED_MAP_KEY), as does a score that is missing,
+    not finite or not above -1; no features give an empty map.
+    """
+    entries = F.transform(F.coalesce(features, F.array().cast("array<struct<layer: int, score: double>>")), lambda f: F.struct(f["layer"].cast("int").alias("layer"), f["score"].cast("double").alias("score")))
+    bad = F.filter(entries, lambda f: ~F.coalesce((f["score"] > -1.0) & (f["score"] < float("inf")), F.lit(False)) | f["layer"].isNull())
+    fault = F.concat(F.lit("invalid layer score: "), F.to_json(bad))
+    checked = F.when(F.size(bad) == 0, entries).otherwise(F.raise_error(fault).cast("array<struct<layer: int, score: double>>"))
+    return F.map_from_entries(checked)
+
+
+def frozen_spectrum(scores: Column, length: Column, calibration: dict[int, dict] = SPECTRUM) -> Column:
+    """scores (map of layer to score) -> struct of the selected layers, a map of each layer to its raw, log, expected and residual score and z, and the mean z.
+
+    Missing selected layers and a length below 1 stop the query; other layers are not used.
+    """
+    layers = list(calibration)
+    absent = F.array_except(F.array(*[F.lit(k) for k in layers]), F.map_keys(scores))
+    fault = F.when(~F.coalesce(length >= 1, F.lit(False)), "length must be positive").when(F.size(absent) > 0, F.concat(F.lit("missing selected layers: "), F.to_json(absent)))
+    whole = F.when(fault.isNull(), scores).otherwise(F.raise_error(fault).cast("map<int,double>"))
+    entries = []
+    for layer, own in calibration.items():
+        raw = F.element_at(whole, F.lit(layer))
+        expected = F.lit(own["slope"]) * F.log2(length) + F.lit(own["intercept"])
+        residual = F.log1p(raw) - expected
+        z = (residual - F.lit(own["mean"])) / F.lit(own["sd"])
+        entries += [F.lit(str(layer)), F.struct(raw.alias("raw_score"), F.log1p(raw).alias("log_score"), expected.alias("expected_control_log_score"), residual.alias("length_residual"), z.alias("length_residual_z"))]
+    zs = F.array(*[e["length_residual_z"] for e in entries[1::2]])
+    mean = F.aggregate(zs, F.lit(0.0), lambda s, z: s + z) / len(layers)
+    return F.struct(F.array(*[F.lit(k) for k in layers]).alias("selected_layers"), F.create_map(*entries).alias("layers"), mean.alias("score"))
+
+
 def window_z(score: Column, window: Column, length: Column, coefficients: Column, mean: Column, sd: Column) -> Column:
     expected = coefficients[0] + coefficients[1] * F.log2(window) + coefficients[2] * F.log2(length)
     return (F.log1p(score) - expected - mean) / sd
@@ -86,10 +123,35 @@ def router_features(mean: Column, q90: Column, z: Column) -> list[Column]:
     return [mean, q90, z, mean * z]
 
 
+#: The router's features, in order.
+ROUTER_FEATURES = ("state_mean_logit", "state_q90_logit", "topology_control_z", "state_mean_logit_x_topology_control_z")
+
+
+def validated_router(model: dict, features: int = len(ROUTER_FEATURES)) -> dict:
+    """The model, if it is whole: mean and scale per feature, coefficients per category and feature, an intercept per category, all finite, scales positive.
+
+    Where it names its features or categories, features must be ``ROUTER_FEATURES`` in order, and categories distinct and as many as it has rows.
+    """
+    mean, scale, rows, intercepts = (model[k] for k in ("mean", "scale", "coefficients", "intercepts"))
+    if len(mean) != features or len(scale) != features:
+        raise ValueError("router scaler dimensions disagree with its features")
+    if not rows or any(len(row) != features for row in rows) or len(intercepts) != len(rows):
+        raise ValueError("router coefficient or intercept dimensions disagree")
+    if not all(math.isfinite(x) for x in (*mean, *scale, *intercepts, *(c for row in rows for c in row))):
+        raise ValueError("router model contains nonfinite parameters")
+    if min(scale) <= 0:
+        raise ValueError("router model shape or scale is invalid: scales must be positive")
+    if "features" in model and tuple(model["features"]) != ROUTER_FEATURES:
+        raise ValueError("router features differ from this library's, or in their order")
+    if "categories" in model and (len(model["categories"]) != len(rows) or len(set(model["categories"])) != len(rows)):
+        raise ValueError("router categories are incomplete or repeated")
+    return model
+
+
 def router_probabilities(features: list[Column], model: dict) -> list[Column]:
-    """One-versus-rest logistic scores of standardised features, normalised to sum 1. model: mean, scale, coefficients, intercepts."""
-    if not (len(model["mean"]) == len(model["scale"]) == len(features)) or min(model["scale"]) <= 0:
-        raise ValueError("model shape or scale is invalid")
+    """One-versus-rest logistic scores of standardised features, normalised to sum 1, in the order of the model's rows. A feature that isn't finite stops the query."""
+    validated_router(model, len(features))
+    features = [F.when(F.coalesce(F.abs(f) < float("inf"), F.lit(False)), f).otherwise(F.raise_error(F.lit("router feature is missing or not finite")).cast("double")) for f in features]
     scaled = [(f - F.lit(m)) / F.lit(s) for f, m, s in zip(features, model["mean"], model["scale"], strict=True)]
     raw = [stable_sigmoid(sum((F.lit(c) * x for c, x in zip(row, scaled, strict=True)), F.lit(b))) for row, b in zip(model["coefficients"], model["intercepts"], strict=True)]
     total = sum(raw[1:], raw[0])

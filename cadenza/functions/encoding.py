@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cadenza.functions.sequence import noncanonical_residues
+
 # Five physical factors of each residue.
 ATCHLEY = {
     "A": (-0.591, -1.302, -0.733, 1.570, -0.146),
@@ -67,6 +69,31 @@ def factor_sums(records: DataFrame, key: str, sequence: str) -> DataFrame:
     return composition(records, key, sequence).join(factors, "residue").groupBy(key, "factor").agg(F.sum(F.col("n") * F.col("value")).alias("factor_sum"))
 
 
+def _rows_of(sequence: Column, table: dict[str, tuple[float, ...]]) -> Column:
+    """One row of the table per residue; an empty or noncanonical sequence stops the query. Every symbol is one look-up of its place in the alphabet."""
+    letters = F.lit("".join(table))
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in table.values()])
+    fault = F.raise_error(F.concat(F.lit("invalid sequence: "), F.array_join(noncanonical_residues(sequence), ""))).cast("string")
+    checked = F.when(F.upper(sequence).rlike(rf"\A[{''.join(table)}]+\z"), F.upper(sequence)).otherwise(fault)
+    return F.transform(F.split(checked, ""), lambda r: F.get(rows, F.instr(letters, r) - 1))
+
+
+def encode_factors(sequence: Column) -> Column:
+    """A canonical sequence as an array of rows of five factors, one per residue; null stays null."""
+    return F.when(sequence.isNotNull(), _rows_of(sequence, ATCHLEY))
+
+
+def encode_normalized_factors(sequence: Column) -> Column:
+    """The factors, each divided by its norm over the alphabet."""
+    norms = np.sqrt((np.array(list(ATCHLEY.values())) ** 2).sum(0))
+    return F.when(sequence.isNotNull(), _rows_of(sequence, {r: tuple(v / n for v, n in zip(row, norms.tolist(), strict=True)) for r, row in ATCHLEY.items()}))
+
+
+def encode_onehot(sequence: Column) -> Column:
+    """A canonical sequence as an array of rows of twenty indicators, in the alphabet's order; null stays null."""
+    return F.when(sequence.isNotNull(), _rows_of(sequence, {r: tuple(float(r == q) for q in ATCHLEY) for r in ATCHLEY}))
+
+
 def detrended(rows: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     """key, pos, standardized: mean and least-squares line taken off, divided by the population deviation. Constant signals go."""
     fits = rows.groupBy(key).agg(F.avg(value).alias("__m"), F.regr_slope(value, pos).alias("__b"), F.avg(pos).alias("__t"))

@@ -41,6 +41,22 @@ def require_canonical(records: DataFrame, sequence: str = "sequence") -> DataFra
     return records.withColumn(sequence, F.when(ok, F.upper(F.col(sequence))).otherwise(F.raise_error(bad)))
 
 
+def noncanonical_map(sequences: Column) -> Column:
+    """Map of id to sequence -> map of the ids whose sequence is null, empty or noncanonical to the symbols at fault (none: empty or null)."""
+    checked = F.transform_values(sequences, lambda _, s: F.when(s.isNull() | (s == ""), F.lit("")).otherwise(F.array_join(noncanonical_residues(s), "")))
+    ok = lambda s: F.coalesce(F.upper(s).rlike(rf"\A[{CANONICAL}]+\z"), F.lit(False))
+    return F.map_filter(checked, lambda k, _: ~ok(F.try_element_at(sequences, k)))
+
+
+def require_canonical_map(sequences: Column) -> Column:
+    """The map with its sequences in upper case; a sequence that is empty or noncanonical stops the query and names its id. A null map stays null."""
+    bad = noncanonical_map(sequences)
+    first = F.get(F.array_sort(F.map_entries(bad)), F.lit(0))
+    fault = F.concat(F.lit("invalid sequence of "), first["key"].cast("string"), F.lit(": "), first["value"])
+    upper = F.transform_values(sequences, lambda _, s: F.upper(s))
+    return F.when(F.coalesce(F.size(bad), F.lit(0)) <= 0, upper).otherwise(F.raise_error(fault))
+
+
 def record_issues(records: DataFrame, maximum: int = MAXIMUM_LENGTH) -> DataFrame:
     """One row of counts: records, ids that occur twice, empty, noncanonical, too long, wrong digest.
 

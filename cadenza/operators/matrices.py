@@ -11,21 +11,52 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def apc_head_mean(cells: DataFrame, least_separation: int = 6) -> DataFrame:
+def kept_positions(mask: DataFrame, expected: DataFrame | None = None) -> DataFrame:
+    """mask (rec, i, special, attended) -> rec, place: for each position, from 0, its number among those that are attended and not special (null: dropped).
+
+    expected (rec, length): a record that keeps another number of positions, or that one side lacks, stops the query.
+    """
+    kept = F.coalesce(~F.col("special").cast("boolean") & F.coalesce(F.col("attended").cast("boolean"), F.lit(True)), F.lit(False))
+    rows = mask.groupBy("rec").agg(F.array_sort(F.collect_list(F.struct("i", kept.alias("kept")))).alias("m"))
+    gap = F.raise_error(F.lit("mask positions aren't 0, 1, 2, ..")).cast("array<int>")
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("place"))
+    number = F.aggregate("m", start, lambda held, x: F.struct((held["n"] + x["kept"].cast("int")).alias("n"), F.concat(held["place"], F.array(F.when(x["kept"], held["n"]))).alias("place")))
+    whole = F.forall(F.sequence(F.lit(0), F.size("m") - 1), lambda k: F.get("m", k)["i"] == k)
+    out = rows.select("rec", number.alias("p"), whole.alias("whole")).select("rec", F.when(F.col("whole"), F.col("p.place")).otherwise(gap).alias("place"), F.col("p.n").alias("n"))
+    if expected is not None:
+        disagree = F.raise_error(F.concat(F.lit("kept positions disagree with the length of "), F.col("rec").cast("string"))).cast("array<int>")
+        out = out.join(expected.select("rec", "length"), "rec", "full").withColumn("place", F.when(F.col("n") == F.col("length"), F.col("place")).otherwise(disagree))
+    return out.select("rec", "place")
+
+
+def cropped(cells: DataFrame, positions: DataFrame) -> DataFrame:
+    """cells (rec, .., i, j, v) with both axes compacted to the kept positions (rec, place); cells of other positions go."""
+    named = cells.join(positions, "rec").withColumns({"i": F.get("place", "i"), "j": F.get("place", "j")})
+    return named.filter(F.col("i").isNotNull() & F.col("j").isNotNull()).select(*cells.columns)
+
+
+def apc_head_mean(cells: DataFrame, least_separation: int = 6, positions: DataFrame | None = None) -> DataFrame:
     """cells (rec, layer, head, i, j, v) -> rec, layer, i, j, v.
 
-    Symmetrise, take row times column over total off each head, cut at zero, average the
-    heads, and zero what lies closer to the diagonal than the least separation.
+    Symmetrise, keep the given positions (``kept_positions``) under new numbers, take row times
+    column over total off each head, cut at zero, average the heads, and zero the diagonal
+    and what lies closer to it than the least separation. Sums are over kept positions alone.
+    A cell whose transpose is absent counts it as zero. All sums of a head come from one
+    exchange; the heads' mean is the second.
     """
     key = ["rec", "layer", "head"]
-    both = cells.select(*key, "i", "j", "v").union(cells.select(*key, F.col("j"), F.col("i"), "v").toDF(*key, "i", "j", "v"))
-    sym = both.groupBy(*key, "i", "j").agg((F.sum("v") / 2).alias("v"))
-    rows = sym.groupBy(*key, "i").agg(F.sum("v").alias("s"))
-    totals = rows.groupBy(*key).agg(F.sum("s").alias("t"))
-    joined = sym.join(rows.withColumnRenamed("s", "r"), [*key, "i"]).join(rows.select(*key, F.col("i").alias("j"), F.col("s").alias("c")), [*key, "j"]).join(totals, key)
+    own = cells if positions is None else cropped(cells, positions)
+    dealt = own.select(*key, F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "v").repartition(*key)
+    half = dealt.groupBy(*key, "lo", "hi").agg(F.sum("v").alias("s"))
+    place = lambda i, j: F.struct(F.col(i).alias("i"), F.col(j).alias("j"))
+    sides = F.when(F.col("lo") == F.col("hi"), F.array(place("lo", "hi"))).otherwise(F.array(place("lo", "hi"), place("hi", "lo")))
+    value = F.when(F.col("lo") == F.col("hi"), F.col("s")).otherwise(F.col("s") / 2)
+    sym = half.select(*key, value.alias("v"), F.explode(sides).alias("at")).select(*key, "at.i", "at.j", "v")
+    total = lambda *by: F.sum("v").over(Window.partitionBy(*key, *by))
+    sums = sym.select(*key, "i", "j", "v", total("i").alias("r")).withColumn("c", total("j")).withColumn("t", total())
     cut = F.greatest(F.lit(0.0), F.col("v") - F.col("r") * F.col("c") / (F.col("t") + F.lit(1e-12)))
-    mean = joined.groupBy("rec", "layer", "i", "j").agg(F.avg(cut).alias("v"))
-    return mean.withColumn("v", F.when(F.abs(F.col("i") - F.col("j")) < least_separation, 0.0).otherwise(F.col("v")))
+    mean = sums.groupBy("rec", "layer", "i", "j").agg(F.avg(cut).alias("v"))
+    return mean.withColumn("v", F.when(F.abs(F.col("i") - F.col("j")) < max(1, least_separation), 0.0).otherwise(F.col("v")))
 
 
 def diagonal_profile(matrix: DataFrame) -> DataFrame:
@@ -62,7 +93,8 @@ def phase_randomized(tracks: DataFrame, seed: str) -> DataFrame:
     """Each track turned by a hash-drawn shift of its own: values stay, their shared phase goes."""
     whole = Window.partitionBy("rec", "layer", "sep")
     turned = tracks.withColumn("__n", F.count("*").over(whole))
-    shift = F.pmod(F.xxhash64(F.lit(seed), "rec", "layer", "sep"), F.col("__n"))
+    drawn = F.md5(F.concat_ws(":", F.lit(seed), "rec", "layer", "sep"))
+    shift = F.conv(F.substring(drawn, 1, 12), 16, 10).cast("long") % F.col("__n")
     return turned.withColumn("pos", F.pmod(F.col("pos") + shift, F.col("__n")).cast("int")).drop("__n")
 
 

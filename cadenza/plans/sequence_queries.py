@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cadenza.functions import calibration as cal
 from cadenza.functions import encoding as enc
 from cadenza.functions import sequence as sq
+from cadenza.functions import table_functions
 from cadenza.operators import intervals as iv
+from cadenza.operators import ranking
 from cadenza.plans import inputs
 from cadenza.plans.inputs import HOURLY_SQL, RAW_SQL, SEQ_SQL, TRACK_SQL
 from cadenza.session import table
@@ -107,6 +109,22 @@ def atchley_encode_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.factor_sums(inputs.sequences(spark, sf_dir), "record_id", "sequence")
 
 
+@query(f"""WITH {RAW_SQL}, m AS (SELECT o_custkey AS owner, o_orderkey AS id, raw FROM orders JOIN raw ON record_id = o_orderkey % (SELECT count(*) FROM documents)),
+b AS (SELECT owner, id, {_SYMBOLS} AS symbols FROM m WHERE len(raw) = 0 OR NOT regexp_full_match(upper(raw), '[{sq.CANONICAL}]+'))
+SELECT owner, count(*) AS sequences, count(b.id) AS bad, min(b.id) AS first_bad, arg_min(b.symbols, b.id) AS first_symbols FROM m LEFT JOIN b USING (owner, id) GROUP BY owner""")
+def canonical_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' maps of order to the letters of a document: how many sequences are at fault, and the first of them."""
+    raw = inputs.raw_sequences(spark, sf_dir)
+    size = raw.count()
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % size).alias("record_id"))
+    # a map holds what matters of a sequence: its symbols at fault, or one letter
+    marks = raw.select("record_id", F.when(F.col("raw") == "", F.lit("")).otherwise(F.coalesce(F.nullif(F.array_join(sq.noncanonical_residues(F.col("raw")), ""), F.lit("")), F.lit("A"))).alias("sequence"))
+    own = orders.join(marks, "record_id").groupBy("owner").agg(F.map_from_entries(F.collect_list(F.struct("id", "sequence"))).alias("m"))
+    bad = own.select("owner", F.size("m").cast("long").alias("sequences"), F.array_sort(F.map_entries(sq.noncanonical_map(F.col("m")))).alias("b"))
+    first = F.get("b", F.lit(0))
+    return bad.select("owner", "sequences", F.size("b").cast("long").alias("bad"), first["key"].alias("first_bad"), first["value"].alias("first_symbols"))
+
+
 @query(f"""WITH {SEQ_SQL} SELECT record_id, r AS residue, count(*) AS n FROM (SELECT record_id, unnest(string_split(sequence, '')) AS r FROM seqs WHERE length > 0) GROUP BY 1, 2""")
 def onehot_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enc.composition(inputs.sequences(spark, sf_dir), "record_id", "sequence")
@@ -122,9 +140,15 @@ def detrend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey, c_mktsegment, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC)::INT AS rank FROM customer")
 def dense_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("c_mktsegment").orderBy(F.desc("c_acctbal"))
-    score = F.when(F.isnan("c_acctbal"), F.raise_error(F.lit("values to rank must be finite"))).otherwise(F.col("c_acctbal"))
-    return table(spark, sf_dir, "customer").withColumn("c_acctbal", score.cast("double")).select("c_custkey", "c_mktsegment", F.dense_rank().over(order).alias("rank"))
+    return ranking.dense_ranks(table(spark, sf_dir, "customer"), "c_acctbal", ["c_mktsegment"]).select("c_custkey", "c_mktsegment", "rank")
+
+
+@query("""SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS place, concat_ws(chr(9), o_orderkey::VARCHAR, printf('%.2f', o_totalprice), o_orderstatus,
+  CASE WHEN o_orderstatus = 'F' THEN o_custkey::VARCHAR ELSE '' END, o_orderpriority) AS line FROM orders""")
+def ranked_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tab-separated lines of all orders, the dearest first; open orders leave a field empty."""
+    columns = [F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderstatus"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")), F.col("o_orderpriority")]
+    return ranking.report_lines(table(spark, sf_dir, "orders"), "o_totalprice", columns, ["o_orderkey"])
 
 
 _P = "(c_acctbal + 1000) / 11500"
@@ -139,24 +163,24 @@ def logit_z(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.round(cal.standardized(cal.clipped_logit(p), *cal.TEACHER_LOGIT), 8).alias("z"))
 
 
-def _layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("record")).agg(F.count("*").alias("n"), F.sum(F.floor(F.col("o_totalprice"))).alias("s"))
     rows = orders.select("record", (F.col("n") * 16).alias("length"), F.explode(F.array(F.struct(F.lit(13).alias("layer"), (F.col("s") % 1000 / 100.0).alias("score")), F.struct(F.lit(35).alias("layer"), (F.col("s") % 777 / 50.0).alias("score")))).alias("f"))
     return rows.select("record", "length", "f.layer", "f.score")
 
 
-_LAYERS_SQL = """o AS (SELECT o_custkey AS record, count(*) AS n, sum(floor(o_totalprice)::BIGINT)::BIGINT AS s FROM orders GROUP BY 1),
+LAYERS_SQL = """o AS (SELECT o_custkey AS record, count(*) AS n, sum(floor(o_totalprice)::BIGINT)::BIGINT AS s FROM orders GROUP BY 1),
 feats AS (SELECT record, n * 16 AS length, 13 AS layer, (s % 1000) / 100.0::DOUBLE AS score FROM o UNION ALL SELECT record, n * 16, 35, (s % 777) / 50.0::DOUBLE FROM o)"""
 
 
-def _spectrum_sql() -> str:
+def spectrum_sql() -> str:
     rows = ", ".join(f"({k}, {v['slope']!r}::DOUBLE, {v['intercept']!r}::DOUBLE, {v['mean']!r}::DOUBLE, {v['sd']!r}::DOUBLE)" for k, v in cal.SPECTRUM.items())
     return f"k(layer, slope, icpt, mu, sd) AS (VALUES {rows}), spec AS (SELECT record, count(*) AS layers_seen, avg((ln(1 + score) - (slope * log2(length) + icpt) - mu) / sd) AS spectrum_score FROM feats JOIN k USING (layer) GROUP BY record)"
 
 
-@query(f"WITH {_LAYERS_SQL}, {_spectrum_sql()} SELECT record, layers_seen, round(spectrum_score, 8) AS spectrum_score FROM spec")
+@query(f"WITH {LAYERS_SQL}, {spectrum_sql()} SELECT record, layers_seen, round(spectrum_score, 8) AS spectrum_score FROM spec")
 def frozen_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cal.spectrum_score(_layers(spark, sf_dir), "record").withColumn("spectrum_score", F.round("spectrum_score", 8))
+    return cal.spectrum_score(layers(spark, sf_dir), "record").withColumn("spectrum_score", F.round("spectrum_score", 8))
 
 
 _T, _C = cal.TOPOLOGY, cal.SPECTRUM_CONTROL
@@ -178,16 +202,16 @@ def _rounded(df: DataFrame, *names: str) -> list:
     return [F.round(n, 8).alias(n) for n in names]
 
 
-@query(f"WITH {_LAYERS_SQL}, {_spectrum_sql()}, {_OP_SQL} SELECT {_OP_OUT} FROM opz")
+@query(f"WITH {LAYERS_SQL}, {spectrum_sql()}, {_OP_SQL} SELECT {_OP_OUT} FROM opz")
 def operational_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _operational(cal.spectrum_score(_layers(spark, sf_dir), "record"))
+    out = _operational(cal.spectrum_score(layers(spark, sf_dir), "record"))
     return out.select("record", "candidate_count", *_rounded(out, "corrected_topology_score", "topology_z", "spectrum_z", "fusion_score"))
 
 
-@query(f"WITH {_LAYERS_SQL}, {_spectrum_sql()}, {_OP_SQL} SELECT {_OP_OUT} FROM opz")
+@query(f"WITH {LAYERS_SQL}, {spectrum_sql()}, {_OP_SQL} SELECT {_OP_OUT} FROM opz")
 def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions written as nested JSON strings, read back, and calibrated anew from their raw values."""
-    layers = _layers(spark, sf_dir).groupBy("record").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("string"), F.struct(F.col("score").alias("raw_score"))))).alias("layers"))
+    layers = layers(spark, sf_dir).groupBy("record").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("string"), F.struct(F.col("score").alias("raw_score"))))).alias("layers"))
     stored = layers.select("record", F.to_json(F.struct("length", F.struct("layers").alias("frozen_spectrum"))).alias("prediction"))
     read = stored.select("record", F.from_json("prediction", "length long, frozen_spectrum struct<layers: map<string, struct<raw_score: double>>>").alias("p"))
     again = read.select("record", F.col("p.length").alias("length"), F.explode("p.frozen_spectrum.layers").alias("layer", "v")).select("record", "length", F.col("layer").cast("int").alias("layer"), F.col("v.raw_score").alias("score"))
@@ -326,3 +350,49 @@ def pvalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     rows = lines.select("l_suppkey", "l_extendedprice", F.floor(F.avg("o_totalprice").over(Window.partitionBy("l_suppkey")) / 4).alias("obs"))
     return iv.upper_tail_pvalue(rows, "l_suppkey", "obs", "l_extendedprice").withColumn("p_value", F.round("p_value", 8))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS record_id, regexp_replace(translate(o_orderpriority || o_clerk_free, '{inputs._LOW}', '{inputs._UP}'), '[^{sq.CANONICAL}]', '', 'g') AS sequence FROM (SELECT *, o_orderstatus || o_orderpriority || o_orderkey AS o_clerk_free FROM orders)),
+t(residue, factor, value) AS (VALUES {enc.table_sql()}), r AS (SELECT record_id, unnest(string_split(sequence, '')) AS residue, generate_subscripts(string_split(sequence, ''), 1) AS pos FROM o WHERE len(sequence) > 0)
+SELECT record_id, factor, sum(value * (pos % 7))::BIGINT AS weighted, max(pos)::INT AS rows FROM r JOIN t USING (residue) GROUP BY record_id, factor""")
+def encode_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The factor rows of the letters in each order's status and priority, weighted by their place."""
+    text = F.concat("o_orderpriority", "o_orderstatus", "o_orderpriority", F.col("o_orderkey").cast("string"))
+    letters = F.regexp_replace(F.translate(text, inputs._LOW, inputs._UP), f"[^{sq.CANONICAL}]", "")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), letters.alias("sequence")).filter("sequence <> ''")
+    cells = rows.select("record_id", F.posexplode(enc.encode_factors(F.col("sequence"))).alias("pos", "row")).select("record_id", "pos", F.posexplode("row").alias("factor", "value"))
+    weighted = F.sum(F.rint(F.col("value") * 1000).cast("long") * ((F.col("pos") + 1) % 7))
+    return cells.groupBy("record_id", (F.col("factor") + 1).alias("factor")).agg(weighted.alias("weighted"), (F.max("pos") + 1).alias("rows"))
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS record_id, regexp_replace(translate(o_orderpriority || o_orderstatus, '{inputs._LOW}', '{inputs._UP}'), '[^{sq.CANONICAL}]', '', 'g') AS sequence FROM orders),
+r AS (SELECT record_id, unnest(string_split(sequence, '')) AS residue, generate_subscripts(string_split(sequence, ''), 1) AS pos FROM o WHERE len(sequence) > 0)
+SELECT record_id, (instr('{sq.CANONICAL}', residue) - 1)::INT AS channel, list(pos::INT ORDER BY pos)::VARCHAR AS places FROM r GROUP BY record_id, residue""")
+def encode_onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each indicator channel of an order's letters is set."""
+    letters = F.regexp_replace(F.translate(F.concat("o_orderpriority", "o_orderstatus"), inputs._LOW, inputs._UP), f"[^{sq.CANONICAL}]", "")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), letters.alias("sequence")).filter("sequence <> ''")
+    cells = rows.select("record_id", F.posexplode(enc.encode_onehot(F.col("sequence"))).alias("pos", "row")).select("record_id", "pos", F.posexplode("row").alias("channel", "v")).filter("v = 1")
+    places = F.array_join(F.array_sort(F.collect_list(F.col("pos") + 1)), ", ")
+    return cells.groupBy("record_id", "channel").agg(F.concat(F.lit("["), places, F.lit("]")).alias("places"))
+
+
+def _from_sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query in SQL over the records' lengths, with the table functions."""
+    table_functions.register(spark)
+    return spark.sql(text, records=inputs.sequences(spark, sf_dir).select("record_id", "length"))
+
+
+@query(SQL["window_plan"])
+def sql_window_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, "SELECT record_id, w.start, w.`end`, w.window_size FROM {records}, LATERAL window_plan(length, array(128, 256, 512, 1024)) AS w")
+
+
+@query(SQL["tile_spans"])
+def sql_tile_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, "SELECT record_id, t.* FROM {records}, LATERAL tile_spans(length, 128, 64) AS t")
+
+
+@query(SQL["periodic_tiles"])
+def sql_periodic_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _from_sql(spark, sf_dir, "SELECT record_id, t.* FROM {records}, LATERAL periodic_tiles(length, CAST(10 + record_id % 31 AS DOUBLE), CAST(record_id % 17 AS DOUBLE)) AS t")
