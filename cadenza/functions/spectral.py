@@ -19,6 +19,8 @@ _FACTORS = np.array([ATCHLEY[r] for r in _RESIDUES])
 _DOUBLES = T.ArrayType(T.DoubleType())
 SPECTRUM = T.StructType([T.StructField("z", _DOUBLES), T.StructField("scale", T.DoubleType())])
 THRESHOLDS = (1.5, 2.1, 2.5, 3.0, 3.4)
+#: Positions that are transformed at once, unless one value has more.
+ROOM = 1 << 20
 
 
 def rolling_median(x: np.ndarray, width: int) -> np.ndarray:
@@ -62,8 +64,9 @@ def _by_length(values: pd.Series, work, empty) -> pd.DataFrame:
     sizes, out = values.map(len), [empty] * len(values)
     for n, own in values.groupby(sizes):
         if n:
-            for at in range(0, len(own), 256):
-                part = own.iloc[at : at + 256]
+            step = max(1, min(256, ROOM // n))
+            for at in range(0, len(own), step):
+                part = own.iloc[at : at + step]
                 for pos, row in zip(values.index.get_indexer(part.index), work(part, int(n)), strict=True):
                     out[pos] = row
     return pd.DataFrame(out)
@@ -82,8 +85,8 @@ def _spectrum_rows(signals: np.ndarray) -> list[dict]:
 _NONE = {"z": np.zeros(1), "scale": 0.0}
 
 
-CALL = T.StructType([T.StructField(n, k) for n, k in (("score", T.DoubleType()), ("n_significant", T.IntegerType()), ("bin", T.IntegerType()), ("period", T.DoubleType()), ("n_tested", T.IntegerType()), ("scale", T.DoubleType()))])
-_NO_CALL = {"score": 0.0, "n_significant": 0, "bin": -1, "period": -1.0, "n_tested": 0, "scale": 0.0}
+CALL = T.StructType([T.StructField(n, k) for n, k in (("score", T.DoubleType()), ("n_significant", T.IntegerType()), ("bin", T.IntegerType()), ("period", T.DoubleType()), ("n_tested", T.IntegerType()), ("scale", T.DoubleType()), ("harmonic_z", _DOUBLES))])
+_NO_CALL = {"score": 0.0, "n_significant": 0, "bin": -1, "period": -1.0, "n_tested": 0, "scale": 0.0, "harmonic_z": []}
 
 
 def comb_calls(signals: np.ndarray, low: float = 5.0, high: float = 250.0, cycles: int = 3, harmonics: int = 8) -> list[dict]:
@@ -106,7 +109,7 @@ def comb_calls(signals: np.ndarray, low: float = 5.0, high: float = 250.0, cycle
         better = (score > best) | ((score == best) & (hits > seen))
         best, seen = np.where(better, score, best), np.where(better, hits, seen)
         for row in np.flatnonzero(better):
-            out[row].update(score=float(score[row]), n_significant=int(hits[row]), bin=b, period=n / b, n_tested=tested)
+            out[row].update(score=float(score[row]), n_significant=int(hits[row]), bin=b, period=n / b, n_tested=tested, harmonic_z=own[row].tolist())
     return out
 
 
@@ -153,27 +156,48 @@ def profile_spectrum(profiles: pd.Series) -> pd.DataFrame:
     return _by_length(profiles, work, _NONE)
 
 
-@F.pandas_udf(T.StructType([T.StructField("zs", T.ArrayType(_DOUBLES))]))
-def factor_amplitudes(sequences: pd.Series) -> pd.DataFrame:
-    """Per non-zero bin the five factors' amplitudes (columns normalised over the residues) in deviations over the bins."""
+_RHO = tuple("rho_" + str(t).replace(".", "_") for t in THRESHOLDS)
+AMPLITUDES = T.StructType([T.StructField("zmax", T.DoubleType()), T.StructField("bin", T.IntegerType()), T.StructField("factor", T.IntegerType()), T.StructField("period", T.DoubleType()), *[T.StructField(r, T.DoubleType()) for r in _RHO]])
+_NO_AMPLITUDES = {"zmax": 0.0, "bin": -1, "factor": -1, "period": -1.0, **dict.fromkeys(_RHO, 0.0)}
+
+
+def amplitude_features(sequence: Column, low: float = 5.0, high: float = 250.0, cycles: int = 3) -> Column:
+    """struct (zmax, bin, factor, period, rho_..): the largest amplitude in the period band, and the share of the band above each threshold.
+
+    An amplitude is that of one of the five factors (normalised over the residues) in one
+    non-zero bin, in deviations over the bins. Of equal ones the lowest bin counts, then the
+    first factor. A sequence below four residues, or without a bin in the band, has none. Nine
+    numbers leave the worker for each sequence, never its bins.
+    """
     unit = _FACTORS / np.sqrt((_FACTORS**2).sum(0))
 
     def work(p: pd.Series, n: int) -> list[dict]:
+        longest = min(high, n / cycles)
+        first, last = max(cycles, int(np.ceil(n / longest))), min(n // 2, int(n // low))
+        if n < 4 or last < first:
+            return [_NO_AMPLITUDES] * len(p)
         a = (2 * np.abs(np.fft.rfft(unit[_codes(p, n)], axis=1)) / n)[:, 1:]
-        if n < 4:
-            return [{"zs": []}] * len(p)
         sd = a.std(1, keepdims=True)
-        return [{"zs": list(z)} for z in (a - a.mean(1, keepdims=True)) / np.where(sd < 1e-12, 1.0, sd)]
+        band = ((a - a.mean(1, keepdims=True)) / np.where(sd < 1e-12, 1.0, sd))[:, first - 1 : last].reshape(len(p), -1)
+        top = band.argmax(1)
+        shares = [(band > t).mean(1).tolist() for t in THRESHOLDS]
+        return [
+            {"zmax": float(row[k]), "bin": first + k // 5, "factor": k % 5 + 1, "period": n / (first + k // 5), **dict(zip(_RHO, share, strict=True))}
+            for row, k, share in zip(band, top.tolist(), zip(*shares, strict=True), strict=True)
+        ]
 
-    return _by_length(sequences, work, {"zs": []})
+    def features(sequences: pd.Series) -> pd.DataFrame:
+        return _by_length(sequences, work, _NO_AMPLITUDES)
+
+    return F.pandas_udf(features, AMPLITUDES)(sequence)
 
 
 def comb(z: Column, length: Column, low: float = 5.0, high: float | Column = 250.0, cycles: int = 3, harmonics: int = 8, floor: float = 1.0, significant: float = 2.5) -> Column:
-    """The fundamental whose integer harmonics peak most: struct (score, n_significant, bin, period, n_tested).
+    """The fundamental whose integer harmonics peak most: struct (score, n_significant, bin, period, n_tested, harmonic_z).
 
     A harmonic's peak is the largest z in its bin or the two beside it; the score is the
     weighted excess over the floor, weights 1/sqrt(k). Ties go to more significant
-    harmonics, then to the lower bin. Without a candidate: score 0, bin and period -1.
+    harmonics, then to the lower bin; harmonic_z holds the peaks. Without a candidate: score 0, bin and period -1.
     """
     most = F.size(z) - 1
     high = high if isinstance(high, Column) else F.lit(high)
@@ -184,29 +208,17 @@ def comb(z: Column, length: Column, low: float = 5.0, high: float | Column = 250
         tested = F.least(F.lit(harmonics), F.floor(most / b).cast("int"))
         peaks = F.transform(F.sequence(F.lit(1), tested), lambda k: F.struct((1 / F.sqrt(k.cast("double"))).alias("w"), F.array_max(F.slice(z, F.greatest(F.lit(1), k * b - 1) + 1, F.least(most, k * b + 1) - F.greatest(F.lit(1), k * b - 1) + 1)).alias("v")))
         total = F.aggregate(peaks, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"), F.lit(0).alias("c")), lambda a, p: F.struct((a["s"] + F.greatest(F.lit(0.0), p["v"] - floor) * p["w"]).alias("s"), (a["n"] + p["w"] * p["w"]).alias("n"), (a["c"] + (p["v"] >= significant).cast("int")).alias("c")))
-        return F.struct((total["s"] / F.sqrt(total["n"])).alias("score"), total["c"].alias("n_significant"), (-b).alias("back"), tested.alias("n_tested"))
+        return F.struct((total["s"] / F.sqrt(total["n"])).alias("score"), total["c"].alias("n_significant"), (-b).alias("back"), tested.alias("n_tested"), F.transform(peaks, lambda p: p["v"]).alias("peaks"))
 
     bins = F.filter(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>")), lambda b: F.floor(most / b) >= 2)
     best = F.array_max(F.transform(bins, one))
     return F.struct(
         F.coalesce(best["score"], F.lit(0.0)).alias("score"), F.coalesce(best["n_significant"], F.lit(0)).alias("n_significant"), F.coalesce(-best["back"], F.lit(-1)).alias("bin"),
         F.coalesce(length / -best["back"], F.lit(-1.0)).alias("period"), F.coalesce(best["n_tested"], F.lit(0)).alias("n_tested"),
+        F.coalesce(best["peaks"], F.array().cast("array<double>")).alias("harmonic_z"),
     )
 
 
-def amplitude_features(zs: Column, length: Column, low: float = 5.0, high: Column | None = None, cycles: int = 3) -> Column:
-    """struct (zmax, bin, factor, period, rho_..): the largest amplitude in the period band, and the share of the band above each threshold."""
-    high = F.lit(250.0) if high is None else high
-    first = F.greatest(F.lit(cycles), F.ceil(length / high)).cast("int")
-    last = F.least(F.size(zs), F.floor(length / F.lit(low)).cast("int"))
-    band = F.when(last >= first, F.slice(zs, first, last - first + 1)).otherwise(F.array().cast("array<array<double>>"))
-    tops = F.transform(band, lambda row, i: F.struct(F.array_max(row).alias("z"), (-(i + first)).alias("bin"), (-F.array_position(row, F.array_max(row)).cast("int")).alias("factor")))
-    best, cells = F.array_max(tops), F.flatten(band)
-    above = lambda t: F.size(F.filter(cells, lambda x: x > t))
-    rho = [F.when(F.size(cells) > 0, above(t) / F.size(cells)).otherwise(0.0).alias("rho_" + str(t).replace(".", "_")) for t in THRESHOLDS]
-    return F.struct(F.coalesce(best["z"], F.lit(0.0)).alias("zmax"), F.coalesce(-best["bin"], F.lit(-1)).alias("bin"), F.coalesce(-best["factor"], F.lit(-1)).alias("factor"), F.coalesce(length / -best["bin"], F.lit(-1.0)).alias("period"), *rho)
-
-
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def half_precision(values: pd.Series) -> pd.Series:
     """A round trip through 16-bit floats; anything not finite stops the query."""

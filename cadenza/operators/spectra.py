@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.functions import calibration as cal
@@ -12,10 +12,8 @@ from cadenza.operators.intervals import window_plan
 
 def score_windows(windows: DataFrame, sequence: str = "window", low: float = 5.0, high: float = 250.0, cycles: int = 3) -> DataFrame:
     """windows with a canonical string -> physical, factor_max (with factor), exact and repetita structs."""
-    n, text = F.length(sequence), F.col(sequence)
-    spectra = windows.withColumns({"physical": sp.factor_call(text), "exact": sp.exact_call(text), "factor_max": sp.single_factor_call(text), "__a": sp.factor_amplitudes(text)})
-    features = sp.amplitude_features(F.col("__a.zs"), n, low, F.least(F.lit(high), n / cycles), cycles)
-    return spectra.withColumn("repetita", features).drop("__a")
+    text = F.col(sequence)
+    return windows.withColumns({"physical": sp.factor_call(text), "exact": sp.exact_call(text), "factor_max": sp.single_factor_call(text), "repetita": sp.amplitude_features(text, low, high, cycles)})
 
 
 def scan_sequences(records: DataFrame, sizes: tuple[int, ...] = (128, 256, 512, 1024)) -> DataFrame:
@@ -40,16 +38,25 @@ def window_profiles(matrix: DataFrame, windows: DataFrame) -> DataFrame:
     return rows.groupBy("rec", "layer", "start", "end", "window_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("sep", "m"))), lambda t: t["m"]).alias("profile"))
 
 
+def _median(values: Column) -> Column:
+    """Median of an array of doubles; 0 where it is empty."""
+    x, n = F.array_sort(values), F.size(values)
+    return F.coalesce((F.get(x, F.floor((n - 1) / 2).cast("int")) + F.get(x, F.floor(n / 2).cast("int"))) / 2, F.lit(0.0))
+
+
 def score_profiles(profiles: DataFrame, cycles: int = 3) -> DataFrame:
-    """profiles with score, period and n_harmonics of the best comb."""
-    n = F.size("profile")
+    """profiles with score, period, n_harmonics and harmonic_z of the best comb, and profile_mad: the median distance of the profile from its median."""
+    n = F.greatest(F.size("profile"), F.lit(1))
     scored = profiles.withColumn("__z", sp.profile_spectrum(F.col("profile")))
     call = sp.comb(F.col("__z.z"), n, high=F.least(F.lit(250.0), n / cycles), cycles=cycles)
-    return scored.withColumn("__c", call).select(*[c for c in profiles.columns if c != "profile"], F.col("__c.score").alias("score"), F.col("__c.period").alias("period"), F.col("__c.n_significant").alias("n_harmonics"))
+    scored = scored.withColumns({"__c": call, "__m": _median(F.col("profile"))})
+    mad = _median(F.transform("profile", lambda x: F.abs(x - F.col("__m"))))
+    own = {"score": "score", "period": "period", "n_significant": "n_harmonics", "harmonic_z": "harmonic_z"}
+    return scored.select(*[c for c in profiles.columns if c != "profile"], *[F.col(f"__c.{a}").alias(b) for a, b in own.items()], mad.alias("profile_mad"))
 
 
 def fused_windows(scored: DataFrame, lengths: DataFrame, calibration: dict = cal.LOCAL) -> DataFrame:
-    """Layers' window scores -> one row per window: score (mean z), period and n_harmonics of the layer with the largest z.
+    """Layers' window scores -> one row per window: score (mean z), period and n_harmonics of the layer with the largest z, and layer_residual_z, a map of each layer's z.
 
     A window that lacks a layer stops the query; of equal z the first layer counts.
     """
@@ -57,6 +64,6 @@ def fused_windows(scored: DataFrame, lengths: DataFrame, calibration: dict = cal
     z = cal.window_z(F.col("score"), F.col("window_size"), F.col("length"), F.col("coefficients"), F.col("mean"), F.col("sd"))
     rows = scored.join(lengths, "rec").join(table, "layer").withColumn("z", z)
     top = F.max(F.struct("z", (-F.col("layer")).alias("back"), "period", "n_harmonics"))
-    fused = rows.groupBy("rec", "start", "end", "window_size").agg(F.count_distinct("layer").alias("n"), F.avg("z").alias("score"), top.alias("t"))
+    fused = rows.groupBy("rec", "start", "end", "window_size").agg(F.count_distinct("layer").alias("n"), F.avg("z").alias("score"), top.alias("t"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("layer").cast("string"), "z")))).alias("layer_residual_z"))
     period = F.when(F.col("n") == len(calibration), F.col("t.period")).otherwise(F.raise_error(F.lit("window without all layers")))
-    return fused.select("rec", "start", "end", "window_size", "score", period.alias("period"), F.col("t.n_harmonics").alias("n_harmonics"), (-F.col("t.back")).alias("source_layer"))
+    return fused.select("rec", "start", "end", "window_size", "score", period.alias("period"), F.col("t.n_harmonics").alias("n_harmonics"), (-F.col("t.back")).alias("source_layer"), "layer_residual_z")

@@ -8,10 +8,12 @@ listed first and equi-joined, no range join runs over the cells.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadenza.session import small_side
+from cadenza.session import bounded_side, materialize
 
 
 def track_prefixes(tracks: DataFrame) -> DataFrame:
@@ -39,39 +41,72 @@ def harmonic_offsets(templates: DataFrame, limit: str, tolerance: int = 1, harmo
     return centred.withColumns({"sign": F.col("__c.sign"), "sep": F.explode(listed)}).withColumn("weight", weight).drop("__c")
 
 
+def _summed(members: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
+    """members (rec, *keys, length, width, sep, w, inc, v), narrow rows -> rec, *keys, start, score.
+
+    A record's templates and its prefix arrays meet in one task, each once; a template's score
+    at all starts is a weighted sum of slices. A record is bounded by its length (some
+    thousand positions), and so are its arrays: positions times separations.
+    """
+    slots = F.array_sort(F.collect_list(F.struct("sep", "inc", "w")))
+    templates = members.groupBy("rec", *keys).agg(F.any_value("length").alias("length"), F.any_value("width").alias("__width"), F.any_value("v").alias("v"), slots.alias("slots"))
+    kinds = dict(templates.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ["rec", *keys]) + ", start int, score double"
+
+    def score(own: pa.Table, runs: pa.Table) -> pa.Table:
+        prefix = dict(zip(runs.column("sep").to_pylist(), (x.values.to_numpy() for x in runs.column("prefix")), strict=True))
+        taken, starts, scores = [], [], []
+        columns = [own.column(c).to_pylist() for c in ("length", "__width", "v", "slots")]
+        for row, (length, width, v, slots_) in enumerate(zip(*columns, strict=True)):
+            n = length - width + 1
+            total = np.zeros(n)
+            for m in slots_:
+                p = prefix[m["sep"]]
+                total += m["w"] * (p[m["inc"] : m["inc"] + n] - p[:n])
+            taken.append(np.full(n, row))
+            starts.append(np.arange(n, dtype=np.int32))
+            scores.append(total / np.sqrt(max(v, 1e-12)))
+        empty = [np.zeros(0, np.int64)]
+        kept = own.select(["rec", *keys]).take(pa.array(np.concatenate(taken or empty)))
+        return kept.append_column("start", pa.array(np.concatenate(starts or empty), pa.int32())).append_column("score", pa.array(np.concatenate(scores or empty), pa.float64()))
+
+    return templates.groupBy("rec").cogroup(track_prefixes(tracks).groupBy("rec")).applyInArrow(score, schema)
+
+
 def start_scores(tracks: DataFrame, lengths: DataFrame, templates: DataFrame, tolerance: int = 1, harmonics: int = 8, least_harmonics: int = 2, controls: bool = True) -> DataFrame:
     """Score of every start: rec, period, width, start, score.
 
     lengths (rec, length); templates (period, width), a small list, or (rec, period, width); widths beyond a record
     are cut to it. Templates that keep fewer than the least number of harmonics have no rows.
+    A list beyond the bound of a broadcast is an error: join it to its records instead.
+    Offsets, weights and the choice of templates need the diagonals' sizes alone; their
+    prefix sums come last.
     """
-    prefix = track_prefixes(tracks)
-    top = prefix.groupBy("rec").agg(F.max("sep").alias("__most"))
-    sized = lengths.join(top, "rec")
+    sizes = materialize(tracks.groupBy("rec", "sep").agg(F.count("*").cast("int").alias("n")), "track-sizes")
+    sized = lengths.join(sizes.groupBy("rec").agg(F.max("sep").alias("__most")), "rec")
     # a list meets every record; templates with a rec column are the record's own
-    cut = sized.join(templates, "rec") if "rec" in templates.columns else sized.join(small_side(templates))
+    cut = sized.join(templates, "rec") if "rec" in templates.columns else sized.join(bounded_side(templates))
     cut = cut.select("rec", "length", "period", F.least("width", "length").alias("width"), "__most").distinct().withColumn("limit", F.least(F.col("__most"), F.col("width") - 1))
     offsets = harmonic_offsets(cut, "limit", tolerance, harmonics, controls)
-    members = offsets.join(prefix, ["rec", "sep"]).filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")))
+    members = offsets.join(sizes, ["rec", "sep"]).filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")))
     group = Window.partitionBy("rec", "period", "width", "k", "sign")
+    whole = Window.partitionBy("rec", "period", "width")
     each = members.withColumns({"w": F.col("weight") / F.count("*").over(group), "inc": F.col("width") - F.col("sep")})
-    kept = each.filter("sign = 1").groupBy("rec", "period", "width").agg(F.count_distinct("k").alias("kept")).filter(F.col("kept") >= least_harmonics)
-    starts = each.join(kept, ["rec", "period", "width"], "left_semi").withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("width"))))
-    part = F.col("w") * (F.get("prefix", F.col("start") + F.col("inc")) - F.get("prefix", F.col("start")))
-    scored = starts.groupBy("rec", "period", "width", "start").agg(F.sum(part).alias("s"), F.sum(F.col("w") * F.col("w") * F.col("inc")).alias("v"))
-    return scored.select("rec", "period", "width", "start", (F.col("s") / F.sqrt(F.greatest(F.col("v"), F.lit(1e-12)))).alias("score"))
+    kept = F.size(F.collect_set(F.when(F.col("sign") == 1, F.col("k"))).over(whole))
+    each = each.withColumns({"kept": kept, "v": F.sum(F.col("w") * F.col("w") * F.col("inc")).over(whole)}).filter(F.col("kept") >= least_harmonics)
+    return _summed(each.select("rec", "period", "width", "length", "sep", "w", "inc", "v"), tracks, ["period", "width"])
 
 
 def dense_scores(tracks: DataFrame, lengths: DataFrame, widths: DataFrame, least: int = 6, most: int | None = None) -> DataFrame:
     """The same without harmonics: all separations from ``least``; a control for mere density. rec, width, start, score."""
-    cut = lengths.join(small_side(widths)).select("rec", "length", F.least("width", "length").alias("width")).distinct()
-    members = track_prefixes(tracks).join(cut, "rec").filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")) & (F.col("sep") >= max(1, least)))
+    sizes = materialize(tracks.groupBy("rec", "sep").agg(F.count("*").cast("int").alias("n")), "track-sizes")
+    cut = lengths.join(bounded_side(widths)).select("rec", "length", F.least("width", "length").alias("width")).distinct()
+    members = sizes.join(cut, "rec").filter((F.col("n") == F.col("length") - F.col("sep")) & (F.col("sep") < F.col("width")) & (F.col("sep") >= max(1, least)))
     if most is not None:
         members = members.filter(F.col("sep") <= most)
-    starts = members.withColumn("inc", F.col("width") - F.col("sep")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - F.col("width"))))
-    part = F.get("prefix", F.col("start") + F.col("inc")) - F.get("prefix", F.col("start"))
-    scored = starts.groupBy("rec", "width", "start").agg(F.sum(part).alias("s"), F.sum("inc").alias("v"))
-    return scored.select("rec", "width", "start", (F.col("s") / F.sqrt(F.col("v"))).alias("score"))
+    each = members.withColumns({"inc": F.col("width") - F.col("sep"), "w": F.lit(1.0)})
+    each = each.withColumn("v", F.sum("inc").over(Window.partitionBy("rec", "width")).cast("double"))
+    return _summed(each.select("rec", "width", "length", "sep", "w", "inc", "v"), tracks, ["width"])
 
 
 def best_interval(scores: DataFrame, period: bool = True) -> DataFrame:

@@ -175,13 +175,17 @@ def dense_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wg.best_interval(wg.dense_scores(fused(spark, sf_dir), lengths(spark, sf_dir), widths).withColumn("score", F.round("score", 6)), period=False)
 
 
-@query(f"""WITH {FUSED}, mo AS (SELECT rec, max(sep) AS lim FROM fu GROUP BY rec), sz AS (SELECT rec, sep, count(*) AS n FROM fu GROUP BY ALL),
+#: Residue evidence at period 11.5, unrounded, as hr0.
+RESIDUES = f"""{FUSED}, mo AS (SELECT rec, max(sep) AS lim FROM fu GROUP BY rec), sz AS (SELECT rec, sep, count(*) AS n FROM fu GROUP BY ALL),
 hk AS (SELECT rec, length, lim, unnest(range(1, 9)) AS k FROM lens JOIN mo USING (rec)), hs AS (SELECT *, unnest([1, -1]) AS sign FROM hk WHERE k * 11.5::DOUBLE <= lim + 1),
 hc AS (SELECT *, CASE WHEN sign = 1 THEN k * 11.5::DOUBLE ELSE (k + 0.5::DOUBLE) * 11.5::DOUBLE END AS centre FROM hs), ho AS (SELECT *, round_even(centre, 0)::INT + unnest([-1, 0, 1]) AS sep FROM hc WHERE centre <= lim + 1),
 me AS (SELECT ho.rec, ho.sep, k, sign, sign / sqrt(k::DOUBLE) / count(*) OVER (PARTITION BY ho.rec, k, sign) AS w FROM ho JOIN sz ON sz.rec = ho.rec AND sz.sep = ho.sep WHERE ho.sep >= 1 AND ho.sep <= lim AND n = length - ho.sep),
 kp AS (SELECT rec FROM me WHERE sign = 1 GROUP BY rec HAVING count(DISTINCT k) >= 2),
-e AS (SELECT me.rec, unnest([pos, pos + me.sep])::INT AS pos, w, z FROM me JOIN kp USING (rec) JOIN fu ON fu.rec = me.rec AND fu.sep = me.sep)
-SELECT rec, pos, round(sum(w * z) / sqrt(greatest(sum(w * w), 1e-12::DOUBLE)), 5) AS score FROM e GROUP BY ALL""")
+e AS (SELECT me.rec, unnest([pos, pos + me.sep])::INT AS pos, w, z FROM me JOIN kp USING (rec) JOIN fu ON fu.rec = me.rec AND fu.sep = me.sep),
+hr0 AS (SELECT rec, pos, sum(w * z) / sqrt(greatest(sum(w * w), 1e-12::DOUBLE)) AS score FROM e GROUP BY ALL)"""
+
+
+@query(f"WITH {RESIDUES} SELECT rec, pos, round(score, 5) AS score FROM hr0")
 def harmonic_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lengths(spark, sf_dir).withColumn("period", F.lit(11.5))
     return wg.residue_scores(fused(spark, sf_dir), own).withColumn("score", F.round("score", 5))
@@ -215,7 +219,8 @@ def boundary_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("rec", "layer", "candidate_count", *[F.round(c, 6).alias(c) for c in ("open_minimum", "open_q05", "open_q10", "open_median")], "other_count", F.round("other_minimum", 6).alias("other_minimum"))
 
 
-@query()
+@query(f"""WITH {TRACKS}, n AS (SELECT *, count(*) OVER (PARTITION BY rec, layer, sep) AS n FROM tr)
+SELECT rec, layer, sep, ((pos + ('0x' || substr(md5('null-1:' || rec || ':' || layer || ':' || sep), 1, 12))::BIGINT % n) % n)::INT AS pos, z FROM n""")
 def phase_randomize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mx.phase_randomized(tracks(spark, sf_dir), "null-1")
 

@@ -12,6 +12,7 @@ from cadenza.operators import spectra as spx
 from cadenza.operators import wedge as wg
 from cadenza.plans import inputs, topology
 from cadenza.plans import matrix_queries as mq
+from cadenza.plans.inputs import HOURLY_SQL
 from cadenza.session import materialize, table
 
 QUERIES: dict = {}
@@ -35,11 +36,23 @@ def _windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.window_plan(mq.lengths(spark, sf_dir), _SIZES).drop("length")
 
 
-@query()
+_SPECTRUM_SQL = f"""{HOURLY_SQL}, m AS (SELECT *, count(*) OVER w AS len, avg(n) OVER w AS mean, regr_slope(n, hour) OVER w AS slope, avg(hour) OVER w AS mid FROM hourly WINDOW w AS (PARTITION BY event_type)),
+d AS (SELECT event_type, hour, len, (n - mean) - slope * (hour - mid) AS x FROM m), sd AS (SELECT event_type, stddev_pop(x) AS sd FROM d GROUP BY 1),
+t AS (SELECT event_type, hour, len, 0.5 - 0.5 * cos(2 * pi() * hour / (len - 1)) AS taper, x / sd AS x FROM d JOIN sd USING (event_type)),
+f AS (SELECT event_type, len, b, sum(x * taper * cos(2 * pi() * ((b * hour) % len) / len)) AS re, sum(x * taper * sin(2 * pi() * ((b * hour) % len) / len)) AS im, sum(taper * taper) AS norm
+      FROM (SELECT *, unnest(range(0, len // 2 + 1)) AS b FROM t) GROUP BY 1, 2, 3),
+l AS (SELECT event_type, b, len // 2 AS most, ln(1 + (re * re + im * im) / norm) AS level FROM f),
+o AS (SELECT *, least(15, greatest(5, ((most + 1) // 8) | 1)) // 2 AS side FROM l),
+k AS (SELECT event_type, b, greatest(0, least(most, b + unnest(range(-side, side + 1)))) AS at FROM o),
+r AS (SELECT l.event_type, l.b, l.level - base AS x FROM l JOIN (SELECT k.event_type, k.b, median(l.level) AS base FROM k JOIN l ON l.event_type = k.event_type AND l.b = k.at GROUP BY 1, 2) USING (event_type, b)),
+c AS (SELECT event_type, median(x) AS mid FROM r WHERE b >= 2 GROUP BY 1), v AS (SELECT r.event_type, mid, 1.4826 * median(abs(x - mid)) AS scale FROM r JOIN c USING (event_type) WHERE b >= 2 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_SPECTRUM_SQL} SELECT event_type, round(scale, 6) AS scale, b::INT AS bin, round((x - mid) / scale, 5) + 0.0 AS z FROM r JOIN v USING (event_type)")
 def spectrum_fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = inputs.hourly(spark, sf_dir).groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "n"))), lambda t: t["n"].cast("double")).alias("xs"))
     spectra = own.withColumn("s", sp.signal_spectrum(F.col("xs")))
-    return spectra.select("event_type", F.col("s.scale").alias("scale"), F.posexplode("s.z").alias("bin", "z"))
+    return spectra.select("event_type", F.round("s.scale", 6).alias("scale"), F.posexplode("s.z").alias("bin", "z")).withColumn("z", F.round("z", 5) + 0.0)
 
 
 _COMB = """c AS (SELECT l_suppkey AS rec, l_quantity::INT AS q, count(*) AS n FROM lineitem GROUP BY 1, 2),
@@ -69,9 +82,8 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def repetita(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amplitude features of every whole sequence."""
-    rows = _sequences(spark, sf_dir).withColumn("a", sp.factor_amplitudes(F.col("sequence")))
-    n = F.length("sequence")
-    return rows.filter(n > 0).select("record_id", sp.amplitude_features(F.col("a.zs"), n, high=F.least(F.lit(250.0), n / 3)).alias("r")).select("record_id", "r.*")
+    rows = _sequences(spark, sf_dir).filter(F.length("sequence") > 0)
+    return rows.select("record_id", sp.amplitude_features(F.col("sequence")).alias("r")).select("record_id", "r.*")
 
 
 @query()
@@ -101,14 +113,40 @@ def _residue_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(wg.residue_scores(mq.fused(spark, sf_dir), mq.lengths(spark, sf_dir).withColumn("period", F.lit(11.5))), "residue-scores")
 
 
-@query()
+_RESIDUE_SQL = f"""{mq.RESIDUES}, cl AS (SELECT rec, length, length // 4 AS c0, length - length // 4 AS c1, length - 2 * (length // 4) AS cw FROM lens),
+hr AS (SELECT h.rec, h.pos::INT AS pos, h.score, l.length FROM hr0 h JOIN lens l USING (rec)),
+xo AS (SELECT rec, pos, greatest(0, least(length - 1, pos - 6 + unnest(range(0, 12)))) AS at FROM hr),
+sm AS (SELECT xo.rec, xo.pos, avg(h.score) AS x FROM xo JOIN hr h ON h.rec = xo.rec AND h.pos = xo.at GROUP BY 1, 2),
+sd AS (SELECT cl.*, greatest(0, least(round_even((c0 + c1) / 2.0::DOUBLE - w / 2.0::DOUBLE, 0)::BIGINT, length - w)) AS s0, w FROM (SELECT *, least(length, greatest(1, round_even(cw + 11.5, 0)::BIGINT)) AS w FROM cl) cl),
+rf AS (SELECT sm.rec, any_value(length) AS length, any_value(s0) AS s0, any_value(s0 + w) AS s1, any_value(c0) AS c0, any_value(c1) AS c1, quantile_cont(x, 0.4) AS base, quantile_cont(x, 0.75) FILTER (pos >= c0 AND pos < c1) AS ref FROM sm JOIN sd USING (rec) GROUP BY sm.rec),
+th AS (SELECT *, base + 0.2 * (ref - base) AS thr FROM rf),
+st AS (SELECT th.rec, 'l' AS side, s0 - pos AS k, x - thr AS a FROM sm JOIN th USING (rec) WHERE pos < s0 AND ref > base UNION ALL SELECT th.rec, 'r', pos - s1 + 1, x - thr FROM sm JOIN th USING (rec) WHERE pos >= s1 AND ref > base)"""
+_EXTENDED = ("left_steps", "right_steps", "left_inspected", "right_inspected", "seed_start", "seed_end")
+_EXTENDED_SQL = """SELECT th.rec, (s0 - coalesce(l.steps, 0))::INT AS start, (s1 + coalesce(r.steps, 0))::INT AS "end", coalesce(l.steps, 0)::INT AS left_steps, coalesce(r.steps, 0)::INT AS right_steps,
+  coalesce(l.seen, 0)::INT AS left_inspected, coalesce(r.seen, 0)::INT AS right_inspected, s0::INT AS seed_start, s1::INT AS seed_end, round(base, 6) AS residue_baseline, round(ref, 6) AS residue_core_reference, round(thr, 6) AS residue_threshold
+  FROM th LEFT JOIN ex l ON l.rec = th.rec AND l.side = 'l' LEFT JOIN ex r ON r.rec = th.rec AND r.side = 'r'"""
+
+
+def _extended(out: DataFrame) -> DataFrame:
+    rounded = [F.round(c, 6).alias(c) for c in ("residue_baseline", "residue_core_reference", "residue_threshold")]
+    return out.select("rec", *[F.col(c).cast("int").alias(c) for c in ("start", "end", *_EXTENDED)], *rounded)
+
+
+@query(f"""WITH {_RESIDUE_SQL}, cu AS (SELECT rec, side, k, sum(a) OVER (PARTITION BY rec, side ORDER BY k) AS total FROM st),
+bs AS (SELECT rec, side, max(total) AS top, max(k) AS seen FROM cu GROUP BY 1, 2), ex AS (SELECT rec, side, seen, CASE WHEN top > 0 THEN min(k) FILTER (total = top) ELSE 0 END AS steps FROM cu JOIN bs USING (rec, side) GROUP BY rec, side, seen, top)
+{_EXTENDED_SQL}""")
 def extend_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.extend_intervals(_calls(spark, sf_dir), _residue_scores(spark, sf_dir))
+    return _extended(rg.extend_intervals(_calls(spark, sf_dir), _residue_scores(spark, sf_dir)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RESIDUE_SQL}, lm AS (SELECT * FROM st WHERE k <= 46),
+wk AS (SELECT rec, side, k, a AS total, greatest(a, 0) AS best, CASE WHEN a > 0 THEN 1 ELSE 0 END AS steps, CASE WHEN a > 0 THEN 0 ELSE 1 END AS losses FROM lm WHERE k = 1
+  UNION ALL SELECT w.rec, w.side, l.k, w.total + l.a, greatest(w.best, w.total + l.a), CASE WHEN w.total + l.a > w.best THEN l.k ELSE w.steps END, CASE WHEN l.a > 0 THEN 0 ELSE w.losses + 1 END
+  FROM wk w JOIN lm l ON l.rec = w.rec AND l.side = w.side AND l.k = w.k + 1 WHERE w.losses < 12),
+ex AS (SELECT rec, side, arg_max(steps, k) AS steps, max(k) AS seen FROM wk GROUP BY 1, 2)
+{_EXTENDED_SQL}""")
 def extend_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rg.extend_intervals(_calls(spark, sf_dir), _residue_scores(spark, sf_dir), patience_periods=1.0, extra_periods=4.0)
+    return _extended(rg.extend_intervals(_calls(spark, sf_dir), _residue_scores(spark, sf_dir), patience_periods=1.0, extra_periods=4.0))
 
 
 @query()

@@ -106,6 +106,14 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BRO
     return F.broadcast(df) if size["n"] <= limit and size["b"] <= most_bytes else df
 
 
+def bounded_side(df: DataFrame, limit: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast; one that ``small_side`` would not mark is an error. For joins without a key, which have no other way."""
+    size = df.select(_width(df).alias("w")).limit(limit + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0)).alias("b")).first()
+    if size["n"] > limit or size["b"] > most_bytes:
+        raise ValueError(f"a list of more than {limit} rows or {most_bytes} bytes can't meet every record: give it the record's key")
+    return F.broadcast(df)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Cut the Arrow batches of this session's Python functions at BATCH_BYTES, so that rows with long texts don't come by ten thousands; a lower setting stays. Its workers give freed memory back."""
     for name, value in WORKER_MEMORY.items():
