@@ -19,12 +19,13 @@ def stripped(text: Column) -> Column:
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    """Chunks of FASTA text without their leading ``>`` (value) -> record_id, sequence, one row a record."""
-    each = raw.select(F.explode(F.split("value", _INNER)).alias("value"))
+    """Chunks of FASTA text without their leading ``>`` (value) -> record_id, sequence, one row a record; other columns stay."""
+    others = [c for c in raw.columns if c != "value"]
+    each = raw.select(F.explode(F.split("value", _INNER)).alias("value"), *others)
     lines = F.transform(F.split("value", r"\r\n|\r|\n"), stripped)
     head = F.regexp_extract(F.get(lines, F.lit(0)), r"\A(\S*)", 1)
     joined = F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "")
-    return each.select(head.alias("record_id"), strip_stop(joined).alias("sequence"))
+    return each.select(head.alias("record_id"), strip_stop(joined).alias("sequence"), *others)
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from cadenza.functions import calibration as cal
-from cadenza.plans.prediction import flatten_features, topology_control_z
+from cadenza.plans.prediction import flatten_features, teacher_states, topology_control_z
+from cadenza.plugins import one_to_one
 
 
 def test_from_fasta_to_json(spark, tmp_path):
@@ -44,6 +45,12 @@ def test_from_fasta_to_json(spark, tmp_path):
         sz, gz = ((logit(p) - m) / s for p, (m, s) in ((state, cal.TEACHER_LOGIT), (whole, cal.GLOBAL_LOGIT)))
         base = 0.5 * sz + 0.5 * r["topology_control_z"]
         assert r["primary_score"] == pytest.approx(0.75 * base + 0.25 * gz) and r["discovery_score"] == pytest.approx((sz + gz) / 2)
+        assert r["primary_score_field"] == "discovery_score" and r["evidence_status"].startswith("UNVERIFIED") and r["interpretation"]
+        assert r["length_scope"] == {"above_evaluated_length": False, "evaluated": 1732, "maximum": 2046}
+        layers = r["frozen_spectrum"]["layers"]
+        assert layers.keys() == {"13", "35"} and r["frozen_spectrum"]["score"] == pytest.approx(np.mean([v["length_residual_z"] for v in layers.values()]))
+        assert r["candidate_periods"] == sorted(r["candidate_periods"]) and r["teacher_state_summary"] is None
+    assert a["wedge_call"]["period"] in a["candidate_periods"]
     audit = [json.loads(x) for f in (tmp_path / "out.audit").glob("part-*") for x in f.read_text().splitlines()]
     assert audit[0]["records"] == 2 and audit[0]["elapsed"] > 0
 
@@ -59,3 +66,27 @@ def test_control_z_and_features(spark):
         features.select(flatten_features(F.col("f"), ["a", "c"]).alias("v")).collect()
     with pytest.raises(ValueError, match="unique"):
         flatten_features(F.col("f"), ["a", "a"])
+
+
+def test_scores_are_one_row_a_record(spark):
+    records = spark.createDataFrame([("a",), ("b",)], "record_id string")
+    scores = lambda rows: one_to_one(records, spark.createDataFrame(rows, "record_id string, p double")).collect()
+    assert sorted(map(tuple, scores([("b", 0.5), ("a", None)]))) == [("a", None), ("b", 0.5)]
+    for rows, words in (([("a", 0.1)], "no scores: b"), ([("a", 0.1), ("b", 0.1), ("a", 0.2)], "more than once: a"), ([("a", 0.1), ("b", 0.1), ("c", 0.2)], "of no record: c"), ([("a", 0.1), ("b", 0.1), (None, 0.2)], "of no record: null")):
+        with pytest.raises(Exception, match=words):
+            scores(rows)
+
+
+def test_teacher_states_of_tiles(spark):
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(70, 4)) * 2
+    rows = [("a", s, c, p - s + 32, p - s + 32, float(x[p, c])) for s in (0, 64) for p in range(s, min(s + 64, 70)) for c in range(4)]
+    logits = spark.createDataFrame(rows, "record_id string, core_start int, channel int, ti int, tj int, logit double")
+    out = teacher_states(logits, spark.createDataFrame([("a", 70)], "record_id string, length int"), ["p", "q", "r"]).first()
+    state = 1 / (1 + np.exp(-x[:, 0]))
+    power = np.exp(x[:, 1:])
+    assert out.state_probability == pytest.approx(state.mean()) and out.teacher_state_summary.q90_probability == pytest.approx(np.quantile(state, 0.9))
+    assert [out.class_means[c] for c in "pqr"] == pytest.approx(list((power / power.sum(1, keepdims=True)).mean(0)))
+    hits = state >= 0.5
+    runs = max(len(r) for r in "".join("x" if h else " " for h in hits).split(" "))
+    assert out.teacher_state_summary.longest_run_length == runs and out.teacher_state_summary.longest_run_fraction == pytest.approx(runs / 70)
