@@ -17,20 +17,45 @@ from cadenza.session import bounded_batches, materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found stay, columns unchanged.
+
+    A null, empty or letterless text is of no language and goes; a null lang, source or doc_id
+    is kept; repeated rows are judged alike and all stay; ties between languages go to the
+    first by name; texts of any length are read whole; an empty table gives an empty table.
+    """
     bounded_batches(spark)
     return langid.keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, columns unchanged.
+
+    It is that with the smallest doc_id (a null one comes last), of equal ids that with the
+    smallest set of shingles; of repeated rows one stays. Documents without words are linked
+    with nothing and all stay; texts of any length are read whole; an empty table gives an
+    empty table.
+    """
     bounded_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's rate says, columns unchanged.
+
+    A null source is a source, the last; a document without words goes by its source's rate,
+    and a source without any words is not taken; a null doc_id draws by its text; repeated
+    rows draw alike; long texts weigh all their words; an empty table gives an empty table.
+    """
     return mixing.mix_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4,096 tokens: a row per piece.
+
+    A null or empty text has its closing id alone; a null doc_id is packed like any other;
+    repeated rows are packed once each; a long text is cut into full windows and a rest; ties
+    in length are packed by id; an empty table gives an empty table.
+    """
     import public_tokenizers
 
     bounded_batches(spark)
