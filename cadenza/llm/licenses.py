@@ -1,24 +1,27 @@
 """License scan by sentence rules, with DataFrame functions alone.
 
 A text is split into sentences; each is normalised (A-Z lower-cased, every run of other
-characters than a-z and 0-9 one blank) and looked up among known licence sentences. A
-sentence that is unknown as a whole is looked up line by line, since headings often
-lack a full stop. Lines of comment marks alone count as empty, and marks at a line's
-start vanish with the other punctuation. The identifiers found, in the text's order, form
-a sequence; licence rules are tried in their order, each takes all its occurrences out of
-the sequence, where a gap stays: what stood on its two sides never becomes neighbours.
+characters than a-z and 0-9 one blank, a list's number or letter in front left out) and
+looked up among known licence sentences. A known sentence may have slots ``{}`` where files
+name their own holders. A sentence that is unknown as a whole is looked up line by line,
+since headings often lack a full stop. Lines of comment marks alone count as empty, and marks
+at a line's start vanish with the other punctuation. The identifiers found, in the text's
+order, form a sequence in which unknown sentences are gaps; licence rules are tried in their
+order, each takes all its occurrences out of the sequence, where a gap stays too. A rule never
+matches across a gap: a licence with a clause of its own isn't taken for the one without.
 
 Defined cases: a null or empty text has no sentence and no licence; a licence is named
 once, however often it occurs; what no rule takes is left in ``unmatched``; repeated
 rows, null ids and extra columns pass through unchanged (working columns carry the
 prefix ``__lic_``), but for columns named sentence_ids, licenses or unmatched, which the
 results replace; an empty table gives an empty table. Texts of any length are read
-whole.
+whole; a slot holds ``HOLDER`` characters at most.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,9 @@ SENTENCES: list[tuple[str, str]] = [
     ("MITNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
     ("MITWarranty", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT'),
     ("MITLiability", "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE"),
-    ("X11Name", "Except as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium"),
+    ("JSONGood", "The Software shall be used for Good, not Evil"),
+    ("X11Name", "Except as contained in this notice, the name of {} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from {}"),
+    ("X11Name", "Except as contained in this notice, the names of {} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from {}"),
     ("NCSAPermission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal with the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
     ("NCSASource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimers"),
     ("NCSABinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimers in the documentation and/or other materials provided with the distribution"),
@@ -82,15 +87,21 @@ SENTENCES: list[tuple[str, str]] = [
     ("BSDSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
     ("BSDBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
     ("BSDAdvertising", "All advertising materials mentioning features or use of this software must display the following acknowledgement"),
-    ("BSDEndorse", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BSDEndorse", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("BSDWarranty", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
-    ("BSDWarranty", "THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("BSDAcknowledgement", "This product includes software developed by {}"),
+    ("BSDEndorse", "Neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the name of {} nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the names of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "Neither the names of {} nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDEndorse", "The names of {} may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSDWarranty", 'THIS SOFTWARE IS PROVIDED BY {} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED'),
     ("ZlibAsIs", "This software is provided 'as-is', without any express or implied warranty"),
     ("ZlibLiability", "In no event will the authors be held liable for any damages arising from the use of this software"),
     ("ZlibPermission", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
     ("ZlibOrigin", "The origin of this software must not be misrepresented"),
     ("ZlibClaim", "you must not claim that you wrote the original software"),
+    ("ZlibCredit", "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required"),
+    ("ZlibCredit", "If you use this software in a product, an acknowledgement in the product documentation would be appreciated but is not required"),
     ("ZlibAltered", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
     ("ZlibNotice", "This notice may not be removed or altered from any source distribution"),
     ("BSLPermission", 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following'),
@@ -128,15 +139,15 @@ SENTENCES: list[tuple[str, str]] = [
     ("CCBYNCND4", "Licensed under CC BY-NC-ND 4.0"),
     ("CC0", "This work is dedicated to the public domain under the CC0 1.0 Universal license"),
 ]
-#: Ordered rules: a licence and the sequence of identifiers that states it. Longer statements come first.
+#: Ordered rules: a licence and the sequence of identifiers that states it; one with a question mark may be missing. Longer statements come first.
 RULES: list[tuple[str, list[str]]] = [
     ("Apache-2.0", ["ApacheGrant", "ApacheUse", "ApacheCopyAt", "ApacheUrl", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheUse", "ApacheCopy", "ApacheAsIs", "ApacheSee"]),
     ("Apache-2.0", ["ApacheGrant", "ApacheUse"]),
     ("Apache-2.0", ["ApacheShort"]),
+    ("JSON", ["MITPermission", "MITNotice", "JSONGood", "MITWarranty", "MITLiability?"]),
     ("X11", ["MITPermission", "MITNotice", "MITWarranty", "MITLiability", "X11Name"]),
-    ("MIT", ["MITPermission", "MITNotice", "MITWarranty", "MITLiability"]),
-    ("MIT", ["MITPermission", "MITNotice", "MITWarranty"]),
+    ("MIT", ["MITPermission", "MITNotice", "MITWarranty", "MITLiability?"]),
     ("MIT-0", ["MIT0Permission", "MITWarranty", "MITLiability"]),
     ("MIT", ["MITShort"]),
     ("NCSA", ["NCSAPermission", "NCSASource", "NCSABinary"]),
@@ -167,11 +178,11 @@ RULES: list[tuple[str, list[str]]] = [
     ("AGPL-3.0-only", ["AGPL3Terms"]),
     ("GFDL-1.3-or-later", ["GFDL13", "GFDLSections", "GFDLCopy"]),
     ("GFDL-1.3-or-later", ["GFDL13"]),
-    ("BSD-4-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDAdvertising", "BSDEndorse", "BSDWarranty"]),
+    ("BSD-4-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDAdvertising", "BSDAcknowledgement?", "BSDEndorse", "BSDWarranty"]),
     ("BSD-3-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDEndorse", "BSDWarranty"]),
     ("BSD-2-Clause", ["BSDGrant", "BSDSource", "BSDBinary", "BSDWarranty"]),
     ("BSD-1-Clause", ["BSDGrant", "BSDSource", "BSDWarranty"]),
-    ("Zlib", ["ZlibAsIs", "ZlibLiability", "ZlibPermission", "ZlibOrigin", "ZlibClaim", "ZlibAltered", "ZlibNotice"]),
+    ("Zlib", ["ZlibAsIs", "ZlibLiability", "ZlibPermission", "ZlibOrigin", "ZlibClaim", "ZlibCredit?", "ZlibAltered", "ZlibNotice"]),
     ("BSL-1.0", ["BSLPermission"]),
     ("BSL-1.0", ["BSLShort"]),
     ("Unlicense", ["UnlicenseFree", "UnlicenseAnyone"]),
@@ -197,84 +208,123 @@ RULES: list[tuple[str, list[str]]] = [
     ("CC-BY-NC-ND-4.0", ["CCBYNCND4"]),
     ("CC0-1.0", ["CC0"]),
 ]
-#: Every known sentence holds one of these, so a text without them needs no splitting.
-HINTS = ("licen", "copyright", "warrant", "redistribut", "permi", "software", "source", "eupl", "invariant")
 #: A full stop and the like, or an empty line; a line of comment marks alone is empty.
 SENTENCE_END = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D#*/%-]*\n"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_MARK = "^(?:[0-9]{1,2}|[a-d]|i{1,3})(?: |$)"
+#: Stands for unknown sentences, and where a rule took its identifiers.
+GAP = "|"
+SLOT = "{}"
+#: Most characters that the slots of a sentence hold together.
+HOLDER = 200
+
+
 def normal(sentence: str) -> str:
-    return re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip(" ")
+    return re.sub(_MARK, "", re.sub("[^a-z0-9]+", " ", sentence.translate(str.maketrans(_UPPER, _LOWER))).strip(" "))
 
 
 def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+    return F.regexp_replace(F.trim(F.regexp_replace(F.translate(sentence, _UPPER, _LOWER), "[^a-z0-9]+", " ")), _MARK, "")
 
 
-def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
-    """The identifiers of the known sentences of a text, in its order."""
-    known = F.create_map(*[F.lit(x) for k, v in {normal(s): i for i, s in sentences}.items() for x in (k, v)])
+def _forms(sentences: list[tuple[str, str]]) -> tuple[dict[str, str], dict[str, str]]:
+    """Normal sentence -> identifier, and for those with slots, pattern of LIKE -> identifier."""
+    plain = {normal(s): i for i, s in sentences if SLOT not in s}
+    slots = {" % ".join(filter(None, map(normal, s.split(SLOT)))) + " %" * s.endswith(SLOT): i for i, s in sentences if SLOT in s}
+    return plain, slots
+
+
+def hints(sentences: list[tuple[str, str]]) -> list[str]:
+    """Words of which each sentence holds one at least, so that a text without them needs no splitting: each time the word that most sentences hold, long ones first of all."""
+    left = [{w for part in s.split(SLOT) for w in normal(part).split()} for _, s in sentences]
+    left = [({w for w in words if len(w) > 5} or words) for words in left]
+    out = []
+    while left := [words for words in left if words]:
+        count = Counter(w for words in left for w in words)
+        out.append(min(count, key=lambda w: (-count[w], w)))
+        left = [words for words in left if out[-1] not in words]
+    return out
+
+
+def marked_sentences(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
+    """The identifiers of a text's known sentences, in its order, and a gap for each unknown one."""
+    plain, slots = _forms(sentences)
+    known = F.create_map(*[F.lit(x) for k, v in plain.items() for x in (k, v)]) if plain else F.create_map().cast("map<string, string>")
+
+    def identify(words: Column) -> Column:
+        held = [F.when(words.like(p) & (F.length(words) <= len(p) + HOLDER), F.lit(i)) for p, i in slots.items()]
+        return F.coalesce(F.try_element_at(known, words), *held)
+
+    def of_lines(part: Column) -> Column:
+        found = F.transform(F.transform(F.split(part, "\n"), _normal), lambda w: F.when(w != "", F.coalesce(identify(w), F.lit(GAP))))
+        return F.filter(found, lambda x: x.isNotNull())
 
     def of(part: Column) -> Column:
-        whole = F.element_at(known, _normal(part))
-        lines = F.filter(F.transform(F.split(part, "\n"), lambda x: F.element_at(known, _normal(x))), lambda x: x.isNotNull())
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
+        whole = F.transform(F.array(_normal(part)), identify)  # in an array, so that it is evaluated once
+        return F.element_at(F.transform(whole, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(of_lines(part))), 1)
 
     found = F.flatten(F.transform(F.split(text, SENTENCE_END), of))
-    return F.when(text.rlike("(?i)" + "|".join(HINTS)), found).otherwise(F.array().cast("array<string>"))
+    return F.when(text.rlike("(?i)" + "|".join(hints(sentences))), found).otherwise(F.array().cast("array<string>"))
 
 
-#: Stands where a rule took its identifiers.
-GAP = "|"
+def sentence_ids(text: Column, sentences: list[tuple[str, str]] = SENTENCES) -> Column:
+    """The identifiers of the known sentences of a text, in its order."""
+    return F.filter(marked_sentences(text, sentences), lambda x: x != GAP)
 
 
-def _tag(identifiers: list[str]) -> str:
-    return "".join(f"<{i}>" for i in identifiers)
+def _pattern(identifiers: list[str]) -> str:
+    return "".join(f"(?:<{i[:-1]}>)?" if i.endswith("?") else f"<{i}>" for i in identifiers)
 
 
-def match_rules(identifiers: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
+def match_rules(marked: Column, rules: list[tuple[str, list[str]]] = RULES) -> Column:
     """Struct of what no rule took (tagged identifiers in a row) and the licences found, in the rules' order."""
-    sequence = F.concat(F.lit(""), F.array_join(F.transform(identifiers, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
-    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_tag(ids)).alias("tag")) for name, ids in rules])
-    start = F.struct(sequence.alias("rest"), F.array().cast("array<string>").alias("found"))
+    tagged = F.transform(marked, lambda x: F.when(x == GAP, x).otherwise(F.concat(F.lit("<"), x, F.lit(">"))))
+    ordered = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(_pattern(ids)).alias("pattern")) for name, ids in rules])
+    start = F.struct(F.concat(F.lit(""), F.array_join(tagged, "")).alias("rest"), F.array().cast("array<string>").alias("found"))
 
     def step(held: Column, rule: Column) -> Column:
-        hit = F.contains(held["rest"], rule["tag"])
-        return F.struct(
-            F.replace(held["rest"], rule["tag"], F.lit(GAP)).alias("rest"),
-            F.when(hit, F.array_union(held["found"], F.array(rule["name"]))).otherwise(held["found"]).alias("found"),
-        )
+        left = F.regexp_replace(held["rest"], rule["pattern"], F.lit(GAP))
+        found = F.when(left != held["rest"], F.array_union(held["found"], F.array(rule["name"]))).otherwise(held["found"])
+        return F.struct(left.alias("rest"), found.alias("found"))
 
     return F.aggregate(ordered, start, step, lambda held: F.struct(F.replace(held["rest"], F.lit(GAP), F.lit("")).alias("rest"), held["found"].alias("found")))
 
 
 def scan(docs: DataFrame, sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:
     """docs with sentence_ids, licenses (arrays) and unmatched (string)."""
-    marked = docs.withColumn("__lic_ids", sentence_ids(F.coalesce(F.col("text"), F.lit("")), sentences))
-    matched = marked.withColumn("__lic_hit", match_rules(F.col("__lic_ids"), rules))
-    return matched.withColumns({"sentence_ids": F.col("__lic_ids"), "licenses": F.col("__lic_hit.found"), "unmatched": F.col("__lic_hit.rest")}).drop("__lic_ids", "__lic_hit")
+    marked = docs.withColumn("__lic_ids", marked_sentences(F.coalesce(F.col("text"), F.lit("")), sentences))
+    none = F.struct(F.lit("").alias("rest"), F.array().cast("array<string>").alias("found"))
+    known = F.filter("__lic_ids", lambda x: x != GAP)
+    matched = marked.withColumn("__lic_hit", F.when(F.exists("__lic_ids", lambda x: x != GAP), match_rules(F.col("__lic_ids"), rules)).otherwise(none))
+    return matched.withColumns({"sentence_ids": known, "licenses": F.col("__lic_hit.found"), "unmatched": F.col("__lic_hit.rest")}).drop("__lic_ids", "__lic_hit")
 
 
 def scan_sql() -> str:
     """The same over the table documents, in DuckDB's SQL: a step per rule."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in {normal(s): i for i, s in SENTENCES}.items())
-    clean = lambda x: f"trim(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
+    plain, slots = _forms(SENTENCES)
+    known = ", ".join(f"({quoted(k)}, {quoted(v)})" for k, v in plain.items())
+    clean = lambda x: f"regexp_replace(trim(regexp_replace(translate({x}, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), '{_MARK}', '')"
+    held = "CASE " + " ".join(f"WHEN words LIKE {quoted(p)} AND len(words) <= {len(p) + HOLDER} THEN {quoted(i)}" for p, i in slots.items()) + " END"
     steps, last = [], "r0"
     for k, (name, ids) in enumerate(RULES, 1):
-        tag = quoted(_tag(ids))
-        named = f"CASE WHEN contains(rest, {tag}) AND NOT list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END"
-        steps.append(f"r{k} AS (SELECT rn, doc_id, n, {named} AS found, replace(rest, {tag}, '{GAP}') AS rest FROM {last})")
+        pattern = quoted(_pattern(ids))
+        named = f"CASE WHEN regexp_matches(rest, {pattern}) AND NOT list_contains(found, {quoted(name)}) THEN list_append(found, {quoted(name)}) ELSE found END"
+        steps.append(f"r{k} AS (SELECT rn, doc_id, n, {named} AS found, regexp_replace(rest, {pattern}, '{GAP}', 'g') AS rest FROM {last})")
         last = f"r{k}"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
 s AS (SELECT rn, unnest(regexp_split_to_array(text, '{SENTENCE_END}')) AS part, generate_subscripts(regexp_split_to_array(text, '{SENTENCE_END}'), 1) AS i FROM d),
-w AS (SELECT s.*, k.id AS whole FROM s LEFT JOIN known k ON k.sentence = {clean('part')}),
+c AS (SELECT *, {clean('part')} AS words FROM s),
+w AS (SELECT c.*, coalesce(k.id, {held}) AS whole FROM c LEFT JOIN known k ON k.sentence = words),
 l AS (SELECT rn, i, unnest(string_split(part, chr(10))) AS line, generate_subscripts(string_split(part, chr(10)), 1) AS j FROM w WHERE whole IS NULL),
-f AS (SELECT rn, i, 0 AS j, whole AS id FROM w WHERE whole IS NOT NULL UNION ALL SELECT rn, i, j, k.id FROM l JOIN known k ON k.sentence = {clean('line')}),
-a AS (SELECT rn, count(*) AS n, string_agg('<' || id || '>', '' ORDER BY i, j) AS rest FROM f GROUP BY rn),
+m AS (SELECT rn, i, j, {clean('line')} AS words FROM l),
+f AS (SELECT rn, i, 0 AS j, whole AS id FROM w WHERE whole IS NOT NULL
+      UNION ALL SELECT rn, i, j, coalesce(k.id, {held}, '{GAP}') FROM m LEFT JOIN known k ON k.sentence = words WHERE words <> ''),
+a AS (SELECT rn, count(*) FILTER (id <> '{GAP}') AS n, string_agg(CASE WHEN id = '{GAP}' THEN id ELSE '<' || id || '>' END, '' ORDER BY i, j) AS rest FROM f GROUP BY rn),
 r0 AS (SELECT d.rn, d.doc_id, coalesce(n, 0)::BIGINT AS n, []::VARCHAR[] AS found, coalesce(rest, '') AS rest FROM d LEFT JOIN a ON a.rn = d.rn),
 {", ".join(steps)}
 SELECT doc_id, n AS n_sentences, array_to_string(found, ',') AS licenses, replace(rest, '{GAP}', '') AS unmatched FROM {last}
