@@ -16,8 +16,8 @@ substrings of the distinct hosts are joined to the words' counts, the tokens of
 hosts and paths to the tokens' counts. The driver gets their sums and the seeds' counts.
 
 Defined cases: a null url, or one without ``://``, has empty host and path; it has no
-words and the class with the larger prior; a run of more than 63 letters, longer than a
-host label may be, is one word; equal scores mean allow; the longest fitting
+words and the class with the larger prior; runs of letters of any length are split, and words
+of any length counted; equal scores mean allow; the longest fitting
 rule wins (host and path together), then the longer host, then the smaller string; a
 null html has no words; an empty table gives an empty table; extra columns are ignored
 except for page_id and url.
@@ -40,8 +40,6 @@ from cadenza.session import materialize, small_side
 BLOCK, ALLOW = "block", "allow"
 #: Words whose presence in a host labels an example for block, and which are themselves texts of that class.
 SEEDS = ("adult", "ads", "bets", "casino", "gambling", "pills", "poker", "porn", "sex", "spam", "track", "viagra", "xxx")
-# Fixed value: letters of a host label at most.
-LABEL = 63
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of a task's counter before they go on to the shuffle.
 _HELD = 200_000
@@ -84,7 +82,7 @@ class Segmenter:
     """
 
     def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
-        self.counts = counts
+        self.counts, self.lengths = counts, sorted({len(w) for w in counts if w})
         self.log_total = math.log(max(1, sum(counts.values()) if total is None else total))
         self.split = lru_cache(100_000)(self._split)
 
@@ -94,15 +92,28 @@ class Segmenter:
         return self.log_total - math.log(n) if n else self.log_total + math.log(10) * len(word)
 
     def _split(self, run: str) -> tuple[str, ...]:
-        if len(run) > LABEL:
-            return (run,)
-        best = [0.0] + [math.inf] * len(run)
-        back = [0] * (len(run) + 1)
+        """Of equally likely splits that with the longer last word, and so on to the front.
+
+        Two unknown words in a row are never likelier than one, so the best unknown word that
+        ends at a place is a running minimum; known words have a few lengths. So a run of any
+        length takes time in proportion.
+        """
+        unit, best, back = math.log(10), [0.0] * (len(run) + 1), [0] * (len(run) + 1)
+        gap, gap_at = math.inf, 0
         for end in range(1, len(run) + 1):
-            for begin in range(end):
-                cost = best[begin] + self._cost(run[begin:end])
-                if cost < best[end]:
-                    best[end], back[end] = cost, begin
+            own = best[end - 1] - unit * (end - 1)
+            if own < gap:
+                gap, gap_at = own, end - 1
+            cost, begin = gap + self.log_total + unit * end, gap_at
+            for size in self.lengths:
+                if size > end:
+                    break
+                n = self.counts.get(run[end - size : end])
+                if n:
+                    known = best[end - size] + self.log_total - math.log(n)
+                    if known < cost or (known == cost and end - size < begin):
+                        cost, begin = known, end - size
+            best[end], back[end] = cost, begin
         out, end = [], len(run)
         while end:
             out.append(run[back[end] : end])
@@ -192,12 +203,12 @@ def _parts(rows: DataFrame, parts, name: str) -> DataFrame:
 
 
 def page_words(pages: DataFrame) -> DataFrame:
-    """Counts of all words of all pages' text, tags left out: word, n. Words that no host label can hold share the entry ''."""
+    """Counts of all words of all pages' text, tags left out: word, n."""
     tag, word = re.compile(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I), re.compile(r"[^\W\d_]+")
 
     def step(held: Counter, html: str | None) -> None:
         if html:
-            held.update((w if len(w) <= LABEL else "",) for w in word.findall(tag.sub(" ", html).lower()))
+            held.update((w,) for w in word.findall(tag.sub(" ", html).lower()))
 
     return materialize(_counted(pages.select("html"), step, 1).withColumnRenamed("k0", "word"), "page-words")
 
@@ -206,15 +217,17 @@ def segment(hosts: DataFrame, counts: DataFrame, seeds: tuple[str, ...] = SEEDS)
     """hosts (host), distinct, and counts (word, n) of all words -> host, words.
 
     Seed words count as a tenth of the most frequent word at least. A host's task gets the
-    counts of just those words that are substrings of its runs.
+    counts of just those words that are substrings of its runs: all substrings as long as
+    some word are joined to the counts.
     """
-    sums = counts.agg(F.max(F.when(F.col("word") != "", F.col("n"))).alias("most"), F.sum("n").alias("total")).first()
+    sums = counts.agg(F.max("n").alias("most"), F.sum("n").alias("total")).first()
+    lengths = sorted(r.size for r in counts.select(F.char_length("word").alias("size")).distinct().collect())  # a row per length of a word
     own = {r.word: r.n for r in counts.filter(F.col("word").isin(*seeds)).collect()}
     raised = {w: max((sums.most or 1) // 10, own.get(w, 0), 1) for w in seeds}
     total = (sums.total or 0) + sum(n - own.get(w, 0) for w, n in raised.items())
 
     def pieces(host: str) -> list[str]:
-        return list({run[i:j] for run in runs(host) if len(run) <= LABEL for i in range(len(run)) for j in range(i + 1, len(run) + 1)})
+        return list({run[i : i + size] for run in runs(host) for size in lengths for i in range(len(run) - size + 1)})
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -98,6 +98,14 @@ def test_verdicts_are_not_the_seed_list(spark):
     assert out[1002].verdict == ALLOW and all(out[i].verdict == BLOCK for i, _, _ in bad) and all(out[i].verdict == ALLOW for i, _, _ in good)
 
 
+def test_runs_beyond_a_host_label_are_split(spark):
+    """A run of 80 letters and one of 63 are treated alike, and so is a word of 70."""
+    long = "regenbogen" * 7
+    rows = [(0, f"http://{'gardenhouse' * 7}xyz.org/", f"garden house {long}"), (1, f"http://my{long}garden.org/", "my garden house")]
+    out = {r.page_id: r.words for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), []).collect()}
+    assert out[0] == ["garden", "house"] * 7 + ["xyz", "org"] and out[1] == ["my", long, "garden", "org"]
+
+
 def test_long_words_and_runs(spark):
     word, run = "donau" * 6, "ab" * 40
     rows = [(0, f"http://my{word}garden.org/", f"<p>my {word} garden {'x' * 5000}</p>"), (1, f"http://{run}.org/", run), (2, "http://" + "y" * 30_000 + ".org/", "")]
