@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Equal documents of a task that are dealt to one shard, and distinct ones whose number is kept.
 ALIKE, COUNTED = 64, 50_000
-#: Entries of a worker's word cache, about 150 bytes each; it starts anew when full.
-CACHE_WORDS = 650_000
+#: Bytes of a worker's word cache, about; it starts anew when full.
+CACHE_BYTES = 64 << 20
+#: Bytes of an entry besides its word and ids: dictionary slot, string and number objects, place.
+_ENTRY_BYTES = 150
 #: Bytes of text that are tokenised at once.
 SLICE_BYTES = 2_000_000
 _PUNCTUATION = b".,;:!?"
@@ -44,7 +46,8 @@ class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, word by word.
 
     Such a tokenizer's pre-tokens never span white space, and its normaliser lower-cases,
-    so a text's ids are those of its words in a row. Distinct words are encoded once.
+    so a text's ids are those of its words in a row. Distinct words are encoded once. A
+    tokenizer of another make is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,6 +55,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        whole, parts = (["Ab1 cD.\n\tEf"], ["ab1", "cd.", "ef"])
+        ids = [[i for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False) for i in e.ids] for x in (whole, parts)]
+        if ids[0] != ids[1]:
+            raise ValueError(f"this tokenizer doesn't treat a text as its lower-cased words in a row: {path}")
         self.known: dict[bytes, int] = {}
         self._reset()
 
@@ -59,7 +66,7 @@ class WordTokenizer:
         self.known.clear()
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
-        self.used, self.count = 0, 0
+        self.used, self.count, self.bytes = 0, 0, 0
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
@@ -80,10 +87,11 @@ class WordTokenizer:
             self.known[w] = self.count + k
         self.count += len(words)
         self.used += len(flat)
+        self.bytes += len(words) * _ENTRY_BYTES + sum(map(len, words)) + 4 * len(flat)
 
     def _entries(self, words: list[bytes]) -> np.ndarray:
         """Cache entries of distinct words; a word and its trailing mark are learnt apart."""
-        if len(self.known) > CACHE_WORDS:
+        if self.bytes > CACHE_BYTES:
             self._reset()
         known, split, fresh = self.known, {}, {}
         for w in words:

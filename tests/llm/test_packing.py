@@ -35,6 +35,19 @@ def test_word_tokenizer_on_edges(text):
     assert flat.tolist() == ids_of(text)[:-1].tolist()
 
 
+def test_tokenizers_of_another_make_are_refused():
+    with pytest.raises(ValueError, match="lower-cased words"):
+        packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_the_word_cache_starts_anew_when_full(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 3000)
+    coder, texts = packing.WordTokenizer(PATH), [" ".join(f"w{k}x{j}," for j in range(20)) for k in range(30)]
+    for text in texts + texts:
+        assert coder.encode(pa.array([text]))[0].tolist() == ids_of(text)[:-1].tolist()
+        assert len(coder.known) < 200
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=80))
 def test_best_fit_decreasing_is_what_a_plain_search_gives(lengths):
