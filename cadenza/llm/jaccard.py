@@ -49,6 +49,7 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.components import connected_components
 from cadenza.llm.frequent import most_frequent
+from cadenza.llm.rows import packed_rows
 from cadenza.llm.shingles import shingle_sets, sliced
 from cadenza.session import materialize, small_side
 
@@ -574,12 +575,16 @@ def components_of(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
-    """Of each component one row stays; columns unchanged. Documents without words stay.
+    """Of each component one row stays; columns unchanged, whatever their names. Documents without words stay.
 
     That row has the smallest id (a null id comes last), of equal ids the smallest set key.
     Rows are decided by id where it names one row, and by id and set key where it is null or
     repeated, so rows of other components are left alone.
     """
+    return _keep_one(packed_rows(docs, "doc_id", "text"), k, percent).select("row.*")
+
+
+def _keep_one(docs: DataFrame, k: int, percent: int) -> DataFrame:
     rows, frequent = _scanned(docs, k)
     named = small_side(_classes(rows, _roots(docs, k, percent, frequent)))
     lost = ~F.col("keeper.doc_id").eqNullSafe(F.col("doc_id")) | (F.col("keeper.key") != F.col("key"))

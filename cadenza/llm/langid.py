@@ -28,8 +28,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadenza.llm.packing import by_bytes
+from cadenza.llm.rows import packed_rows
+from cadenza.session import materialize
 
 UNDETERMINED = "und"
+#: N-grams of all languages together that the driver and each task may hold, some 100 bytes each.
+PROFILE_ROWS = 5_000_000
 #: Bytes of text whose n-grams are coded at once; a longer text is coded alone.
 SLICE = 400_000
 #: Past the last assigned block of letters.
@@ -139,9 +143,15 @@ class Profiles:
 
 
 def identify(docs: DataFrame, top: int = 300) -> DataFrame:
-    """docs with held_out, lang_pred and score; learnt from the rows that aren't held out."""
+    """docs with held_out, lang_pred and score (which replace columns of these names; all others stay); learnt from the rows that aren't held out.
+
+    The profiles go to every task: languages of more than ``PROFILE_ROWS`` n-grams in all are an error.
+    """
     training = docs.filter(~is_held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    profiles = Profiles(language_profiles(training, top).toPandas(), top)  # top rows per language
+    learnt = materialize(language_profiles(training, top), "language-profiles")
+    if learnt.count() > PROFILE_ROWS:
+        raise ValueError(f"profiles of more than {PROFILE_ROWS} n-grams: the column lang holds too many values")
+    profiles = Profiles(learnt.toPandas(), top)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -151,13 +161,12 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
             out += [shared.value.predict(codes) for codes in gram_codes(_texts(column.slice(a, b - a)))]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    found = predict(F.col("text"))
-    return docs.withColumn("held_out", is_held_out(F.col("doc_id"))).withColumn("__lang", found).withColumns(
-        {"lang_pred": F.col("__lang.lang_pred"), "score": F.col("__lang.score")}
-    ).drop("__lang")
+    judged = packed_rows(docs, "doc_id", "text").select("row", is_held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text")).alias("found"))
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
+    return judged.select(*others, "held_out", "found.lang_pred", "found.score")
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0, top: int = 300) -> DataFrame:
     """The documents whose language is found, with a score of min_score or more; columns unchanged."""
-    plain = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "text", "lang")
-    return identify(plain, top).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("__row.*")
+    plain = packed_rows(docs, "doc_id", "text", "lang")
+    return identify(plain, top).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select("row.*")

@@ -9,7 +9,7 @@ Defined cases: a null or empty text has size 0 and is emitted by the same rule;
 sources form one source of their own, ordered last; a null doc_id draws by the hash of
 its text; repeated rows draw alike; an empty table gives an empty table; a source of
 size 0 has target 0 and rate 0. Extra columns pass through ``mix_documents`` untouched,
-whatever their names (working columns carry the prefix ``__mix_``).
+whatever their names.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadenza.llm.rows import packed_rows
 from cadenza.session import materialize, small_side
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,5 +108,6 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_rep
     t = small_side(materialize(targets, "mix-targets"))
     rate = F.when(F.col("__mix_total") > 0, F.col("__mix_target") / F.col("__mix_total")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + (draw(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    joined = docs.join(t, docs["source"].eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copies", copies)
-    return joined.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies")))).select(*docs.columns)
+    rows = packed_rows(docs, "doc_id", "source", "text")
+    joined = rows.join(t, F.col("source").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copies", copies)
+    return joined.withColumn("__mix_i", F.explode(F.array_repeat(F.lit(1), F.col("__mix_copies")))).select("row.*")
