@@ -4,7 +4,7 @@ A text is split into sentences; each is normalised (A-Z lower-cased, every run o
 characters than a-z and 0-9 one blank, a list's number or letter in front left out) and
 looked up among known licence sentences. A known sentence may have slots ``{}`` where files
 name their own holders. A sentence that is unknown as a whole is looked up line by line,
-since headings often lack a full stop. Lines of comment marks alone count as empty, and marks
+since headings often lack a full stop; the full stop of ``Inc.`` and the like ends none where the sentence goes on. Lines of comment marks alone count as empty, and marks
 at a line's start vanish with the other punctuation. The identifiers found, in the text's
 order, form a sequence in which unknown sentences are gaps; licence rules are tried in their
 order, each takes all its occurrences out of the sequence, where a gap stays too. A rule never
@@ -210,6 +210,8 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: A full stop and the like, or an empty line; a line of comment marks alone is empty.
 SENTENCE_END = r"[.;:!?]+(?:[\x20\x09-\x0D]+|\z)|\n[\x20\x09\x0D#*/%-]*\n"
+#: A company's abbreviation whose full stop doesn't end a sentence, for it goes on in small letters, marks or AND.
+ABBREVIATION = r"((?i:\b(?:inc|corp|ltd|co|llc)))\.([\x20\x09-\x0D]+(?:[^A-Z\x20\x09-\x0D]|AND\b))"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -265,7 +267,8 @@ def marked_sentences(text: Column, sentences: list[tuple[str, str]] = SENTENCES)
         whole = F.transform(F.array(_normal(part)), identify)  # in an array, so that it is evaluated once
         return F.element_at(F.transform(whole, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(of_lines(part))), 1)
 
-    found = F.flatten(F.transform(F.split(text, SENTENCE_END), of))
+    whole = F.regexp_replace(text, ABBREVIATION, "$1$2")
+    found = F.flatten(F.transform(F.split(whole, SENTENCE_END), of))
     return F.when(text.rlike("(?i)" + "|".join(hints(sentences))), found).otherwise(F.array().cast("array<string>"))
 
 
@@ -316,7 +319,7 @@ def scan_sql() -> str:
         last = f"r{k}"
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
+d AS (SELECT row_number() OVER () AS rn, doc_id, regexp_replace(coalesce(text, ''), '{ABBREVIATION}', '\\1\\2', 'g') AS text FROM documents),
 s AS (SELECT rn, unnest(regexp_split_to_array(text, '{SENTENCE_END}')) AS part, generate_subscripts(regexp_split_to_array(text, '{SENTENCE_END}'), 1) AS i FROM d),
 c AS (SELECT *, {clean('part')} AS words FROM s),
 w AS (SELECT c.*, coalesce(k.id, {held}) AS whole FROM c LEFT JOIN known k ON k.sentence = words),

@@ -27,7 +27,7 @@ def known_as(words):
 
 def brute(text):
     ids = []
-    for part in re.split(licenses.SENTENCE_END.replace(r"\z", r"\Z"), text or ""):
+    for part in re.split(licenses.SENTENCE_END.replace(r"\z", r"\Z"), re.sub(licenses.ABBREVIATION, r"\1\2", text or "")):
         whole = known_as(licenses.normal(part))
         ids += [whole] if whole else [known_as(licenses.normal(x)) or "|" for x in part.split("\n") if licenses.normal(x)]
     rest, found = "".join(i if i == "|" else f"<{i}>" for i in ids), []
@@ -87,7 +87,7 @@ ENDORSE = """3. Neither the name of {holder} nor the names of its contributors m
 """
 
 
-@pytest.mark.parametrize("holder", ["Google Inc.", "the University of X, Y-Z & Sons", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "Anna-Lena Øst", "3D Co"])
+@pytest.mark.parametrize("holder", ["Google Inc.", "FOO CORP. AND CONTRIBUTORS", "the University of X, Y-Z & Sons", "THE COPYRIGHT HOLDERS AND CONTRIBUTORS", "Anna-Lena Øst", "3D Co"])
 def test_holders_and_clauses_of_their_own(spark, holder):
     texts = {
         "BSD-3-Clause": BSD.format(clause=ENDORSE.format(holder=holder.rstrip(".")), holder=holder),
