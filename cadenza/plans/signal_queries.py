@@ -149,9 +149,15 @@ def extend_stopping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extended(rg.extend_intervals(_calls(spark, sf_dir), _residue_scores(spark, sf_dir), patience_periods=1.0, extra_periods=4.0))
 
 
-@query()
+#: Half precision: 11 significant bits, steps of 2^-24 below 2^-14, halves to even.
+_HALF_STEP = "pow(2::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10)"
+
+
+@query(f"""WITH v AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+SELECT vec_id, pos::INT AS pos, CASE WHEN x = 0 THEN 0.0 ELSE round_even(x / {_HALF_STEP}, 0) * {_HALF_STEP} END + 0.0 AS half FROM v""")
 def fp16_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", sp.half_precision(F.col("embedding")).alias("half"))
+    halves = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(sp.half_precision(F.col("embedding"))).alias("pos", "half"))
+    return halves.select("vec_id", "pos", F.col("half").cast("double") + 0.0).toDF("vec_id", "pos", "half")
 
 
 @query()
