@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadenza.functions import calibration as cal
 from cadenza.functions import spectral as sp
 from cadenza.operators import intervals as iv
 from cadenza.operators import registration as rg
@@ -93,9 +94,43 @@ def scan_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("record_id", "start", "end", F.col("physical.score").alias("physical_score"), F.col("physical.period").alias("physical_period"), F.col("factor_max.factor").alias("factor"), F.col("exact.score").alias("exact_score"), F.col("repetita.zmax").alias("zmax"))
 
 
-@query()
+def _local_sql() -> str:
+    return ", ".join(f"({k}, {', '.join(f'({c!r})::DOUBLE' for c in (*v['coefficients'], v['mean'], v['sd']))})" for k, v in cal.LOCAL.items())
+
+
+_LARGEST = max(_SIZES)
+#: Spectra of the windows' diagonal profiles by sums of cosines, their combs, and the layers' calibrated scores.
+_FUSED_SQL = f"""{mq.APC}, sz AS (SELECT rec, length, unnest(list_distinct([{', '.join(f'least(length, {n})' for n in _SIZES)}, CASE WHEN length < {_LARGEST} THEN length ELSE least(length, {_SIZES[-1]}) END]))::INT AS w FROM lens),
+wd AS (SELECT DISTINCT rec, length, w, unnest(list_append(range(0, length - w + 1, greatest(16, round_even(w * 0.25, 0)::INT)), length - w))::INT AS s FROM sz),
+pf AS (SELECT wd.rec, layer, length, w, s, j - i - 1 AS k, w - 1 AS n, avg(v) AS x FROM wd JOIN mat ON mat.rec = wd.rec AND i >= s AND j < s + w AND j > i GROUP BY ALL),
+no AS (SELECT *, unnest(range(-sd, sd + 1)) AS d FROM (SELECT *, greatest(5, least(31, CASE WHEN n % 2 = 1 THEN n ELSE n - 1 END)) // 2 AS sd FROM pf)),
+md AS (SELECT o.rec, o.layer, o.w, o.s, o.k, median(p.x) AS base FROM no o JOIN pf p ON p.rec = o.rec AND p.layer = o.layer AND p.w = o.w AND p.s = o.s AND p.k = greatest(0, least(o.n - 1, o.k + o.d)) GROUP BY ALL),
+rz AS (SELECT pf.* EXCLUDE (x), x - base AS x FROM pf JOIN md USING (rec, layer, w, s, k)),
+dt AS (SELECT *, (x - avg(x) OVER g) - regr_slope(x, k) OVER g * (k - avg(k) OVER g) AS y FROM rz WINDOW g AS (PARTITION BY rec, layer, w, s)),
+tp AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * k / (n - 1)) AS taper, y / stddev_pop(y) OVER (PARTITION BY rec, layer, w, s) AS u FROM dt),
+ft AS (SELECT rec, layer, length, w, s, n, b, sum(u * taper * cos(2 * pi() * ((b * k) % n) / n)) AS re, sum(u * taper * sin(2 * pi() * ((b * k) % n) / n)) AS im, sum(taper * taper) AS norm
+       FROM (SELECT *, unnest(range(0, n // 2 + 1)) AS b FROM tp) GROUP BY ALL),
+lv AS (SELECT rec, layer, length, w, s, n, b, n // 2 AS most, ln(1 + (re * re + im * im) / norm) AS y FROM ft),
+nb AS (SELECT *, unnest(range(-sd, sd + 1)) AS d FROM (SELECT *, least(15, greatest(5, ((most + 1) // 8) | 1)) // 2 AS sd FROM lv)),
+mb AS (SELECT o.rec, o.layer, o.w, o.s, o.b, median(p.y) AS base FROM nb o JOIN lv p ON p.rec = o.rec AND p.layer = o.layer AND p.w = o.w AND p.s = o.s AND p.b = greatest(0, least(o.most, o.b + o.d)) GROUP BY ALL),
+lf AS (SELECT lv.*, y - base AS x FROM lv JOIN mb USING (rec, layer, w, s, b)),
+c1 AS (SELECT rec, layer, w, s, median(x) AS mid FROM lf WHERE b >= 2 GROUP BY ALL), c2 AS (SELECT lf.rec, lf.layer, lf.w, lf.s, any_value(mid) AS mid, 1.4826 * median(abs(x - mid)) AS scale FROM lf JOIN c1 USING (rec, layer, w, s) WHERE b >= 2 GROUP BY ALL),
+zs AS (SELECT rec, layer, length, w, s, n, most, list((x - mid) / scale ORDER BY b) AS z FROM lf JOIN c2 USING (rec, layer, w, s) GROUP BY ALL),
+fb AS (SELECT *, unnest(range(greatest(3, ceil(n / least(250, n / 3.0::DOUBLE))::INT), least(most, floor(n / 5.0::DOUBLE)::INT) + 1)) AS b FROM zs),
+fk AS (SELECT *, unnest(range(1, least(8, most // b) + 1)) AS k FROM fb WHERE most // b >= 2),
+pk AS (SELECT rec, layer, length, w, s, n, b, k, list_max(z[greatest(1, k * b - 1) + 1 : least(most, k * b + 1) + 1]) AS v FROM fk),
+sc AS (SELECT rec, layer, length, w, s, n, b, round(sum(greatest(0, v - 1) / sqrt(k::DOUBLE)) / sqrt(sum(1 / k::DOUBLE)), 9) AS score, count(*) FILTER (v >= 2.5) AS hits FROM pk GROUP BY ALL),
+bs AS (SELECT *, row_number() OVER (PARTITION BY rec, layer, w, s ORDER BY score DESC, hits DESC, b) AS q FROM sc),
+lc(layer, a0, a1, a2, mu, sd) AS (VALUES {_local_sql()}),
+zz AS (SELECT rec, layer, w, s, n / b AS period, hits, (ln(1 + score) - (a0 + a1 * log2(w) + a2 * log2(length)) - mu) / sd AS z FROM bs JOIN lc USING (layer) WHERE q = 1)"""
+
+
+@query(f"""WITH {_FUSED_SQL} SELECT rec, s AS start, s + w AS "end", w AS window_size, round(avg(z), 5) AS score, round(arg_max(period, z), 6) AS period, arg_max(hits, z)::INT AS n_harmonics, arg_max(layer, z)::INT AS source_layer,
+  round(max(z) FILTER (layer = 13), 5) AS z13, round(max(z) FILTER (layer = 35), 5) AS z35 FROM zz GROUP BY rec, s, w""")
 def fused_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spx.fused_windows(spx.score_profiles(spx.window_profiles(mq.matrix(spark, sf_dir), _windows(spark, sf_dir))), mq.lengths(spark, sf_dir))
+    out = spx.fused_windows(spx.score_profiles(spx.window_profiles(mq.matrix(spark, sf_dir), _windows(spark, sf_dir))), mq.lengths(spark, sf_dir))
+    layers = [F.round(F.element_at("layer_residual_z", F.lit(str(k))), 5).alias(f"z{k}") for k in cal.LAYERS]
+    return out.select("rec", "start", "end", "window_size", F.round("score", 5).alias("score"), F.round("period", 6).alias("period"), "n_harmonics", "source_layer", *layers)
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
