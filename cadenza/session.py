@@ -84,6 +84,16 @@ def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs.
+
+    Spark deletes them when the driver's collector finds their plans unused, which a large
+    heap may put off for half an hour; a job of several written steps calls this between them,
+    so that its disk holds one step's shuffles and not all.
+    """
+    spark._jvm.System.gc()
+
+
 def _width(df: DataFrame) -> Column:
     """Bytes of a row, about."""
     out = F.lit(8 * len(df.columns)).cast("long")
