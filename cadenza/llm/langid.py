@@ -162,8 +162,9 @@ def identify(docs: DataFrame, top: int = 300) -> DataFrame:
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
     judged = packed_rows(docs, "doc_id", "text").select("row", is_held_out(F.col("doc_id")).alias("held_out"), predict(F.col("text")).alias("found"))
-    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("held_out", "lang_pred", "score")]
-    return judged.select(*others, "held_out", "found.lang_pred", "found.score")
+    own = {"held_out": F.col("held_out"), "lang_pred": F.col("found.lang_pred"), "score": F.col("found.score")}
+    placed = [own.get(c, F.col(f"row.`{c}`")) for c in docs.columns]
+    return judged.select(*placed, *[v for k, v in own.items() if k not in docs.columns])
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.0, top: int = 300) -> DataFrame:
