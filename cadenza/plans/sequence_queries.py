@@ -211,8 +211,8 @@ def operational_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {LAYERS_SQL}, {spectrum_sql()}, {_OP_SQL} SELECT {_OP_OUT} FROM opz")
 def rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions written as nested JSON strings, read back, and calibrated anew from their raw values."""
-    layers = layers(spark, sf_dir).groupBy("record").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("string"), F.struct(F.col("score").alias("raw_score"))))).alias("layers"))
-    stored = layers.select("record", F.to_json(F.struct("length", F.struct("layers").alias("frozen_spectrum"))).alias("prediction"))
+    nested = layers(spark, sf_dir).groupBy("record").agg(F.first("length").alias("length"), F.map_from_entries(F.collect_list(F.struct(F.col("layer").cast("string"), F.struct(F.col("score").alias("raw_score"))))).alias("layers"))
+    stored = nested.select("record", F.to_json(F.struct("length", F.struct("layers").alias("frozen_spectrum"))).alias("prediction"))
     read = stored.select("record", F.from_json("prediction", "length long, frozen_spectrum struct<layers: map<string, struct<raw_score: double>>>").alias("p"))
     again = read.select("record", F.col("p.length").alias("length"), F.explode("p.frozen_spectrum.layers").alias("layer", "v")).select("record", "length", F.col("layer").cast("int").alias("layer"), F.col("v.raw_score").alias("score"))
     out = _operational(cal.spectrum_score(again, "record"))

@@ -3,6 +3,7 @@
 import math
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from cadenza.functions import sequence as sq
 from cadenza.functions import table_functions
 from cadenza.operators import intervals as iv
 from cadenza.operators import ranking
+from cadenza.plans import sequence_queries
 
 
 def test_dense_ranks(spark):
@@ -135,3 +137,14 @@ def test_router_models_are_checked(spark):
     for bad in (None, float("nan"), float("inf")):
         with pytest.raises(Exception, match="router feature"):
             spark.createDataFrame([(0.5, bad)], "a double, b double").select(*cal.router_probabilities([F.col("a"), F.col("b")], good)).collect()
+
+
+def test_rescored_predictions_equal_the_sql(spark, sf_dir):
+    """Scores calibrated anew from stored predictions are those of the tables' own values."""
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW orders AS SELECT * FROM '{sf_dir}/orders.parquet'")
+    want = sorted(duck.execute(sequence_queries.SQL["rescore"]).fetchall())
+    got = sorted(map(tuple, sequence_queries.rescore(spark, sf_dir).collect()))
+    assert want and len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], abs=1e-8)
