@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,15 +40,27 @@ CACHE_BYTES = 64 << 20
 _ENTRY_BYTES = 150
 #: Bytes of text that are tokenised at once.
 SLICE_BYTES = 2_000_000
-_PUNCTUATION = b".,;:!?"
+#: Kinds of bytes: white space, letters, digits, marks, and those whose words the tokenizer cuts itself.
+_BLANK, _LETTER, _DIGIT, _MARK, _OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, _OTHER, np.uint8)
+    for k in range(0x21, 0x7F):
+        c = chr(k)
+        out[k] = _DIGIT if c.isdigit() else _OTHER if c in "'<" else _LETTER if c.isalpha() else _MARK
+    out[[32, *range(9, 14)]] = _BLANK
+    return out
 
 
 class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space, word by word.
+    """Ids of texts by a tokenizer that drops white space, part by part.
 
-    Such a tokenizer's pre-tokens never span white space, and its normaliser lower-cases,
-    so a text's ids are those of its words in a row. Distinct words are encoded once. A
-    tokenizer of another make is refused.
+    Such a tokenizer's pre-tokens never span white space, and its normaliser lower-cases, so
+    a text's ids are those of its words in a row. A word of plain characters is cut here as
+    its pre-tokenizer does: runs of letters, single digits, runs of marks; another (with an
+    apostrophe, a ``<`` or a character beyond Latin-1's letters) is one part. Distinct parts are encoded
+    once. A tokenizer of another make is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,10 +68,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        whole, parts = (["Ab1 cD.\n\tEf"], ["ab1", "cd.", "ef"])
+        whole, parts = ["Ab1 cD.\n\tEf g12-h..,_iÉß\"#z/9"], "ab 1 cd . ef g 1 2 - h ..,_ iéß \"# z / 9".split()
         ids = [[i for e in self.tokenizer.encode_batch_fast(x, add_special_tokens=False) for i in e.ids] for x in (whole, parts)]
-        if ids[0] != ids[1]:
+        stop = self.tokenizer.encode(".", add_special_tokens=False).ids
+        if ids[0] != ids[1] or len(stop) != 1:
             raise ValueError(f"this tokenizer doesn't treat a text as its lower-cased words in a row: {path}")
+        self.stop, self.kinds = stop[0], _kinds()
+        # words that may hold an added token are left whole
+        self.kinds[[t.content.encode()[0] for t in self.tokenizer.get_added_tokens_decoder().values()]] = _OTHER
         self.known: dict[bytes, int] = {}
         self._reset()
 
@@ -69,67 +86,85 @@ class WordTokenizer:
         self.used, self.count, self.bytes = 0, 0, 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
+        """Encode distinct parts: many at once with stops between them, those that hold a stop one by one."""
+        plain, dotted = [w for w in words if b"." not in w], [w for w in words if b"." in w]
+        for at in range(0, len(plain), 20_000):
+            part = plain[at : at + 20_000]
+            texts = [b" . ".join([*part[k : k + 200], b""]).decode() for k in range(0, len(part), 200)]
+            flat = np.fromiter(chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+            stops = np.flatnonzero(flat == self.stop)  # no other part has this id
+            if len(stops) != len(part):
+                raise ValueError("the tokenizer's ids of a stop are ambiguous")
+            self._append(part, np.delete(flat, stops), np.diff(stops, prepend=-1) - 1)
+        for at in range(0, len(dotted), 20_000):
+            part = dotted[at : at + 20_000]
             coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            self._append(part, coded)
+            self._append(part, np.fromiter(chain.from_iterable(coded), np.uint32), np.array([len(c) for c in coded]))
 
-    def _append(self, words: list[bytes], coded: list[list[int]]) -> None:
-        flat = np.fromiter((i for c in coded for i in c), np.uint32)
+    def _append(self, words: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
         while self.used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         while self.count + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[self.used : self.used + len(flat)] = flat
-        ends = self.used + np.cumsum([len(c) for c in coded])
-        self.starts[self.count + 1 : self.count + 1 + len(words)] = ends
-        for k, w in enumerate(words):
-            self.known[w] = self.count + k
+        self.starts[self.count + 1 : self.count + 1 + len(words)] = self.used + np.cumsum(lengths)
+        self.known.update(zip(words, range(self.count, self.count + len(words)), strict=True))
         self.count += len(words)
         self.used += len(flat)
         self.bytes += len(words) * _ENTRY_BYTES + sum(map(len, words)) + 4 * len(flat)
 
     def _entries(self, words: list[bytes]) -> np.ndarray:
-        """Cache entries of distinct words; a word and its trailing mark are learnt apart."""
+        """Cache entries of distinct parts."""
         if self.bytes > CACHE_BYTES:
             self._reset()
-        known, split, fresh = self.known, {}, {}
-        for w in words:
-            if w not in known:
-                stem = w.rstrip(_PUNCTUATION)
-                if len(stem) < len(w) and stem.isalpha():
-                    split[w] = (stem, w[len(stem) :])
-                    for part in split[w]:
-                        if part not in known:
-                            fresh[part] = None
-                else:
-                    fresh[w] = None
-        if fresh:
-            self._learn(list(fresh))
-        if split:
-            cut = self.ids, self.starts
-            whole = [np.concatenate([cut[0][cut[1][k] : cut[1][k + 1]] for k in (known[a], known[b])]).tolist() for a, b in split.values()]
-            self._append(list(split), whole)
+        known = self.known
+        if fresh := [w for w in words if w not in known]:
+            self._learn(fresh)
         return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
+    def _parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts in a row, and where each text's parts end."""
+        kinds = self.kinds[data]
+        lead = np.flatnonzero(data == 0xC3)  # U+00C0 to U+00FF, letters but for two signs
+        lead = lead[(data[lead + 1] & 0xDF) != 0x97]
+        kinds[lead], kinds[lead + 1] = _LETTER, _LETTER
+        ink = kinds != _BLANK
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        if len(other := np.flatnonzero(kinds == _OTHER)):  # their words stay whole
+            cut = np.flatnonzero(np.append(~ink, True) | edge)  # white space, and the texts' first bytes
+            blank = np.append(~ink, True)[cut]
+            last = np.searchsorted(cut, other, "right") - 1
+            inside = np.zeros(len(data) + 1, np.int32)
+            np.add.at(inside, cut[last] + blank[last], 1)
+            np.add.at(inside, cut[last + 1], -1)
+            kinds[inside.cumsum()[:-1] > 0] = _OTHER
+        begin = edge[:-1].copy()
+        begin[1:] |= (kinds[1:] != kinds[:-1]) | (kinds[1:] == _DIGIT)
+        begin &= ink
+        filled = np.flatnonzero(ink)
+        first = np.flatnonzero(begin[filled])
+        starts = np.append(first, len(filled))
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data[filled])])
+        return parts, np.searchsorted(filled[first], offsets[1:])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (no nulls) in a row, and where each text's ids end."""
-        lists = pc.ascii_split_whitespace(_lowered(texts))
-        flat = pc.dictionary_encode(lists.flatten())
-        words = [w.encode() for w in flat.dictionary.to_pylist()]
-        entry = self._entries(words) if words else np.zeros(0, np.int64)
-        lengths = self.starts[entry + 1] - self.starts[entry]
+        parts, ends = self._parts(*_lowered(texts))
+        flat = parts.dictionary_encode()
+        if not len(flat):
+            return np.zeros(0, np.uint32), ends
+        entry = self._entries(flat.dictionary.to_pylist())
         at = flat.indices.to_numpy(zero_copy_only=False)
-        each = lengths[at] if len(at) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        total = int(ends[-1])
-        where = np.arange(total) - np.repeat(ends[:-1], each) + np.repeat(self.starts[entry][at] if len(at) else at, each)
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return self.ids[where], ends[offsets[1:]]
+        starts = self.starts[entry]
+        each = (self.starts[entry + 1] - starts)[at]
+        until = np.append(0, np.cumsum(each))
+        where = np.arange(until[-1]) + np.repeat(starts[at] - until[:-1], each)
+        return self.ids[where], until[ends]
 
 
-def _lowered(texts: pa.Array) -> pa.Array:
-    """The texts with A-Z lower-cased, except where a special token may be spelt."""
+def _lowered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the texts with A-Z lower-cased, except where a special token may be spelt, and where each text begins and the last ends."""
     whole = pa.concat_arrays([pc.cast(texts, pa.large_binary()).take(pa.array(np.arange(len(texts))))])  # own buffers, from offset 0
     offsets = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1) if len(whole) else np.zeros(1, np.int64)
     raw = whole.buffers()[2].to_pybytes() if len(whole) and whole.buffers()[2] else b""
@@ -140,7 +175,7 @@ def _lowered(texts: pa.Array) -> pa.Array:
         for k in marked.tolist():
             patched[offsets[k] : offsets[k + 1]] = raw[offsets[k] : offsets[k + 1]]
         data = bytes(patched)
-    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
+    return np.frombuffer(data, np.uint8), offsets
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

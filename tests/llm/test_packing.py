@@ -35,6 +35,18 @@ def test_word_tokenizer_on_edges(text):
     assert flat.tolist() == ids_of(text)[:-1].tolist()
 
 
+def test_words_that_differ_in_marks_share_their_parts():
+    """Telephone numbers and marked words add no entries of their own; every id stays the tokenizer's."""
+    words = [f"(716)-{k}," for k in range(300)] + [f"héllo{m}" for m in (".", ",", "!?", "...", ";")] + ["HÉLLO×3÷ß", "e\u0301a.", "ΣΑΣ.", "l'été's", "\x1c", "\u3000", "<|endoftext|>,B", "a_b<c"]
+    coder, own = packing.WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    flat, ends = coder.encode(pa.array([" ".join(words), "", *words]))
+    begin = 0
+    for text, end in zip([" ".join(words), "", *words], ends.tolist(), strict=True):
+        assert flat[begin:end].tolist() == own.encode(text, add_special_tokens=False).ids
+        begin = end
+    assert len(coder.known) < 50
+
+
 def test_tokenizers_of_another_make_are_refused():
     with pytest.raises(ValueError, match="lower-cased words"):
         packing.WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
