@@ -162,3 +162,41 @@ def test_beam_search_improves_and_norms_are_those_of_the_sums():
         assert np.allclose((sums**2).sum(1), norm)
         errors.append(((x - sums) ** 2).sum())
     assert errors[1] < errors[0]
+
+
+def hard(shape):
+    """Rows whose near ones the codes can't tell apart: many tight groups, few of great length, many dimensions."""
+    draw = np.random.default_rng(12)
+    if shape == "tight":
+        return (draw.normal(size=(12, 24))[draw.integers(0, 12, 6000)] + np.where(np.arange(6000) % 2, 1e-4, 1.0)[:, None] * draw.normal(size=(6000, 24))).astype("f4")
+    if shape == "far":
+        return (1000 + draw.normal(size=(6000, 24)) * np.exp(3 * draw.normal(size=(6000, 1)))).astype("f4")
+    return draw.normal(size=(4000, 384)).astype("f4")
+
+
+@pytest.mark.parametrize("shape", ["tight", "far", "wide"])
+def test_the_nearest_are_exact_on_hard_rows(spark, shape):
+    x = hard(shape)
+    wide = x.astype(float)
+    got: dict = {}
+    for r in additive_ann.nearest(frame(spark, x, 5)).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    for q in range(0, len(x), 100):
+        away = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        away[q] = np.inf
+        near = np.lexsort((np.arange(len(x)), away))[:10]
+        assert [got[q][k][0] for k in range(1, 11)] == near.tolist()
+        assert np.allclose([got[q][k][1] for k in range(1, 11)], away[near], rtol=1e-12)
+
+
+def test_most_rows_are_not_compared():
+    """Of clustered vectors the codes' bounds leave less than a tenth for the exact comparison."""
+    x = clustered(20_000, 64, 10, 5).astype(float)
+    centre = x[:4000].mean(0)
+    books = additive_ann.fit(x[:4000] - centre)
+    scan = additive_ann.Scan(books, centre, np.arange(64), x[:64], 10, 200)
+    for at in range(0, len(x), 2000):
+        part = x[at : at + 2000]
+        codes, norm, error = books.coded(part - centre, 4)
+        scan.see(np.arange(at, at + 2000), codes.T, norm, error, part)
+    assert scan.compared < 0.1 * 64 * len(x), scan.compared
