@@ -406,12 +406,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, batch_text: int = BATC
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    release_shuffles(spark)
+    release_shuffles(spark)  # what earlier queries left
     keyed = _keyed(docs).filter("doc_id is not null and text is not null")
     size = keyed.agg(F.sum(F.octet_length("text").cast("long")).alias("s")).first()["s"] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = materialize(shared_anchors(keyed, window, max(parts, -(-size // BUCKET_BYTES)), batch_text, frequent), "repeats-anchors")
-    release_shuffles(spark)  # the anchors' exchange, and what earlier queries left
+    found = materialize(shared_anchors(keyed, window, max(parts, -(-size // BUCKET_BYTES)), batch_text, frequent), "repeats-anchors", drop_shuffles=True)
     # frequent anchors: at most MOST_FREQUENT, for each stands for more than a share of all words
     floor = max(frequent, size // (2 * MOST_FREQUENT))
     often = np.array([r.key for r in found.filter(F.col("frequent") > floor).select("key").collect()], np.int64).view(np.uint64)
@@ -426,8 +425,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, batch_text: int = BATC
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, **bounds: int) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept: the words that no repeat covers, joined by one space. ``bounds``: see ``repeated_spans``."""
-    spans = materialize(repeated_spans(docs, window, **bounds), "repeats-spans")
-    release_shuffles(docs.sparkSession)  # the texts' and pieces' exchanges
+    spans = materialize(repeated_spans(docs, window, **bounds), "repeats-spans", drop_shuffles=True)
     known = _keyed(docs).withColumn("key", F.when(F.col("doc_id").isNotNull(), F.col("key"))).join(spans.hint("shuffle_hash"), "key", "left")
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 

@@ -3,6 +3,7 @@
 import os
 import subprocess
 import sys
+import tempfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,3 +61,28 @@ def test_bounded_batches(spark):
         assert long.mapInPandas(lambda frames: (f.assign(n=len(f))[["n"]] for f in frames), "n long").agg(F.max("n")).first()[0] < 1000
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_written_step_leaves_no_shuffle_files():
+    """Of two steps, that which drops its shuffles leaves no file of them; the setting is as before."""
+    script = """
+import glob, sys, time
+from cadenza.session import local_session, materialize
+from pyspark.sql import functions as F
+spark = local_session(2, 4)
+root = spark.sparkContext.getConf().get("spark.local.dir")
+files = lambda: glob.glob(root + "/**/shuffle_*.data", recursive=True)
+wide = spark.range(1000).groupBy(F.col("id") % 7).agg(F.collect_list("id").alias("ids"))
+assert materialize(wide, "t", drop_shuffles=True).count() == 7
+end = time.time() + 30
+while len(files()) > 1 and time.time() < end:  # the count's own
+    time.sleep(0.2)
+assert len(files()) <= 1, files()
+assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+kept = materialize(wide, "t")
+assert len(files()) > 1
+"""
+    with tempfile.TemporaryDirectory() as folder:
+        env = {**os.environ, "PYTHONPATH": ROOT, "PYSPARK_SUBMIT_ARGS": f"--conf spark.local.dir={folder} pyspark-shell"}
+        done = subprocess.run([sys.executable, "-c", script], env=env, capture_output=True, text=True, timeout=240)
+    assert done.returncode == 0, done.stderr[-2000:]
