@@ -280,3 +280,13 @@ def test_diagonal_tracks_are_exact_in_any_order(spark, backwards):
     z = F.floor(F.col("z") * 1000)
     out = mx.diagonal_tracks(_lone_values(spark, backwards), 95).select("rec", "pos", z.alias("z")).collect()
     assert sorted(map(tuple, out)) == [(rec, i, 2500 if i == rec % 5 else 0) for rec in range(10) for i in range(5)]
+
+
+def test_turned_tracks_hold_exact_values_in_any_order(spark):
+    """phase_randomize floors thousandths of the tracks it turns; each holds one 2500, however its rows came."""
+    def turned(backwards):
+        tracks = mx.diagonal_tracks(_lone_values(spark, backwards), 95).withColumn("z", F.floor(F.col("z") * 1000))
+        return sorted(map(tuple, mx.phase_randomized(tracks, "null-1").select("rec", "layer", "sep", "pos", "z").collect()))
+
+    out = turned(False)
+    assert out == turned(True) and [r[4] for r in out if r[4]] == [2500] * 10
