@@ -50,7 +50,7 @@ def test_scan_scores_each_window_in_few_calls(spark, monkeypatch):
     one = ws._piece
     monkeypatch.setattr(ws, "_piece", lambda codes, *a: calls.append(len(codes)) or one(codes, *a))
     ws.scores_of([text], [128], [np.arange(0, 8873, 32)])
-    assert sum(calls) == 278 and len(calls) == 3
+    assert sum(calls) == 278 and len(calls) == 2
 
 
 def test_amplitudes_agree(spark):
@@ -59,5 +59,8 @@ def test_amplitudes_agree(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(list(enumerate(texts)), "k int, s string").select("k", sp.amplitude_features(F.col("s")).alias("r")).collect()
-    bad = [(texts[r.k][:20], got[r.k]["repetita"], r.r.asDict()) for r in rows if not _alike(got[r.k]["repetita"], r.r.asDict())]
-    assert not bad
+    for r in rows:
+        own, want = got[r.k]["repetita"], r.r.asDict()
+        if abs(want["zmax"]) < 1e-12:  # where the largest amplitude is rounding, its place means nothing
+            own, want = ({k: v for k, v in x.items() if k not in ("bin", "factor", "period")} for x in (own, want))
+        assert _alike(own, want), (texts[r.k][:20], own, want)
