@@ -26,8 +26,9 @@ def test_scores_agree_with_single_windows(n):
     own = pd.Series(texts)
     for name, f in (("physical", sp.factor_call), ("exact", sp.exact_call)):
         assert all(_alike(g[name], w) for g, w in zip(got, f.func(own).to_dict("records"), strict=True)), name
-    for g, w in zip(got, sp.single_factor_call.func(own).to_dict("records"), strict=True):
-        assert g["factor_max"]["factor"] == w["factor"] and _alike(g["factor_max"]["call"], w["call"])
+    for text, g, w in zip(texts, got, sp.single_factor_call.func(own).to_dict("records"), strict=True):
+        tied = len(set(text)) < 3  # all factors of two residues have one spectrum, and rounding picks among them
+        assert (tied or g["factor_max"]["factor"] == w["factor"]) and _alike(g["factor_max"]["call"], w["call"])
 
 
 @pytest.mark.parametrize("width", [3, 5, 7, 9, 11, 13, 15])
